@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.op01_pii import op1_pii
+from millrace.llm.op02_mixing import op2_mixing
 from millrace.llm.op07_jaccard import op7_jaccard
+from millrace.llm.op09_bpe import op9_bpe
 from millrace.llm.op10_language import op10_language
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_jaccard": op7_jaccard, "op10_language": op10_language}
+    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op7_jaccard": op7_jaccard, "op9_bpe": op9_bpe, "op10_language": op10_language, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
