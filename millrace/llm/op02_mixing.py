@@ -7,7 +7,8 @@ parts are rounded together. Two documents at a time move words between their pro
 that keeps both expectations, until one of the two is integral; so a source's expected words stay constant to the
 last pair. Rows are dealt into buckets by a hash of their id, each bucket leaves one fractional document a source,
 and these residuals meet in a reduction tree of FAN buckets a node until one remains, which is rounded to the
-nearer side: a source misses its target by half of one document at most.
+nearer side: a source misses its target by half of one document at most. Long documents pair first, so that the one
+that is left over tends to be short.
 
 Random numbers come from hashes of ids, sizes and levels, so reruns agree. Null texts and texts without words have
 size 0 and take nothing. Repeated rows count as documents of their own; equal ones are interchangeable. Only the
@@ -49,9 +50,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     own = own.withColumn("level", (F.sum("source_size").over(everything) * share - before) / rest)
-    fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    own = own.withColumn("level", F.min(fits).over(everything))
-    return own.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    # The level rises as long as the next source is capped below it, and falls from then on: the highest one holds.
+    own = own.withColumn("level", F.max("level").over(everything))
+    return own.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
 def round_group(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -76,7 +77,7 @@ def round_group(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np
 
 def _level(level: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["source", "doc_id", "size", "copies"], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(["source", "size", "doc_id", "copies"], ascending=[True, False, True, True], na_position="last").reset_index(drop=True)
         p = rows["p"].to_numpy(dtype=float, copy=True)
         size = rows["size"].to_numpy(dtype=float)
         for source, at in rows.groupby("source", dropna=False, sort=False).indices.items():
