@@ -6,9 +6,10 @@ puts frequent shingles last and the rest by hash; candidates must then also shar
 under further orders (other hashes), and only pairs that pass all are compared in full.
 
 Equal sets are one class from the start. Groups that share a prefix shingle are handled by size: small ones list
-their pairs within the length filter; large ones (families of near copies) first link each member to a few
-pseudo-random hubs, and after those links are verified and merged, list only pairs of members that are still in
-different components. So no group is expanded into all its pairs, and no link that changes a component is lost.
+their pairs within the length filter; large ones (families of near copies) first link each member to their few
+most connected members within the length filter, and after those links are verified and merged, list only pairs of members that are still in
+different components; the largest are compared in blocks by matrix products that return links only. So no group is
+expanded into all its pairs, and no link that changes a component is lost.
 
 Nothing that grows with the corpus reaches the driver: the list of frequent shingles and the Bloom filter of
 candidates have fixed sizes; beyond them the join is slower, with the same result. Null and empty texts have no
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import batches, stash, table
-from millrace.llm.components import components
+from millrace.llm.components import components, forest
 from millrace.llm.shingles import column_bytes, mix, shingle_sets
 
 THRESHOLD = (75, 100)  # similarity as a fraction
@@ -33,7 +34,9 @@ FREQUENT = 16  # a shingle of this many classes goes last in the order ...
 MOST_FREQUENT = 1 << 18  # ... for so many shingles at most
 LOCAL = 3  # counts below this within one batch of texts are not reported
 SMALL_GROUP = 4
-HUBS = 4
+HUBS = 2
+LARGE_GROUP = 64  # groups beyond this are compared in blocks of
+BLOCK = 512  # members, as matrix products
 BLOOM_BITS = 1 << 25
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 BYTES = 6  # of each hash, kept for the comparison in full
@@ -58,25 +61,51 @@ def _record(schema: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema)
 
 
-def _scan(width: int):
-    """Rows (kind 0: position, doc_id, n, sig) for texts and (kind 1: shingle, count) for those frequent in a batch."""
+def filter_prefix(s: np.ndarray, threshold, seed: int = ORDERS[0]) -> bytes:
+    """The prefix of a set under another order, as the upper 32 bits of its hashes."""
+    p, k = mix(s ^ np.uint64(seed)), len(s) - need(len(s), threshold) + 1
+    if k < len(p):
+        p = np.partition(p, k - 1)[:k]
+    return np.sort((p >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, threshold=THRESHOLD) -> bool:
+    """Whether two prefixes under one order allow the overlap that the threshold asks for.
+
+    Up to the smaller last entry both sets are known, so the overlap is at most what is shared there and the rest
+    of either set. Two entries of slack cover hashes that agree in their upper bits.
+    """
+    if min(nx, ny) < need(max(nx, ny), threshold):
+        return False
+    last = min(x[-1], y[-1])
+    a, b = int(np.searchsorted(x, last, side="right")), int(np.searchsorted(y, last, side="right"))
+    shared = int(np.isin(x[:a], y[:b]).sum()) if a and b else 0
+    most = shared + 2 + min(nx - a, ny - b)
+    return (threshold[0] + threshold[1]) * most >= threshold[0] * (nx + ny)
+
+
+def _scan(width: int, threshold):
+    """Rows (kind 0: doc_id, n, sig, prefix under the filtering order) for texts and (kind 1: shingle, count) for those frequent in a batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = ["kind", "doc_id", "n", "sig"], set()
+        names, seen = ["kind", "doc_id", "n", "sig", "prefix"], set()
         for batch in batches(it):
             sets = _sets(batch, width)
             sigs = [signature(s) if len(s) else None for s in sets]
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            yield _record(names, np.zeros(len(n), np.int32), batch.column(0), n, pa.array(sigs, pa.int64()))
-            fresh = []
+            fresh, prefixes = [], []
             for s, g in zip(sets, sigs):
                 if g is not None and g not in seen:
                     seen.add(g)
                     fresh.append(s)
+                    prefixes.append(filter_prefix(s, threshold))
+                else:
+                    prefixes.append(None)
+            yield _record(names, np.zeros(len(n), np.int32), batch.column(0), n, pa.array(sigs, pa.int64()), pa.array(prefixes, pa.binary()))
             if fresh:
                 token, count = np.unique(np.concatenate(fresh), return_counts=True)
                 token, count = token[count >= LOCAL].view(np.int64), count[count >= LOCAL].astype(np.int64)
-                yield _record(names, np.ones(len(token), np.int32), token, count, pa.nulls(len(token), pa.int64()))
+                yield _record(names, np.ones(len(token), np.int32), token, count, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()))
 
     return run
 
@@ -132,14 +161,14 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
 
 def _merged(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
     t = pa.Table.from_batches(parts)
-    return {c: t.column(c).to_numpy() for c in t.column_names}
+    return {c: t.column(c).to_numpy() if not pa.types.is_nested(t.schema.field(c).type) else np.array([*t.column(c).to_pylist(), None], dtype=object)[:-1] for c in t.column_names}
 
 
 def _pairs(threshold):
-    """From rows (token, sig, n) sorted by token: pairs of small groups, and hot rows (token, sig, n, hub) of large ones."""
+    """From rows (token, sig, n) sorted by token: pairs (sig, other) of small groups, and hot rows (token, sig, n, group size) of large ones."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "sig", "n", "hub"]
+        names = ["token", "sig", "n", "other"]
         for rows in _groups(it):
             token, sig, n = rows["token"], rows["sig"], rows["n"]
             same = np.zeros(len(token), dtype=bool)
@@ -168,10 +197,34 @@ def _pairs(threshold):
             hot = size[group] > SMALL_GROUP
             if hot.any():
                 token, sig, n = token[hot], sig[hot], n[hot]
-                order = np.lexsort((mix(sig.view(np.uint64) ^ mix(token.view(np.uint64))), token))
-                token, sig, n = token[order], sig[order], n[order]
-                first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-                yield _record(names, token, sig, n, np.repeat(sig[first], np.diff(np.append(first, len(token)))))
+                yield _record(names, token, sig, n, size[group][hot])
+
+    return run
+
+
+def _hub_pairs(threshold):
+    """From rows (token, sig, n, weight) sorted by token: each member with the heaviest members of its group within the length filter."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(it):
+            order = np.lexsort((rows["sig"], -rows["weight"], rows["token"]))
+            token, sig, n = rows["token"][order], rows["sig"][order], rows["n"][order].astype(np.int64)
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(first, len(token)))
+            start, last = np.repeat(first, size), np.repeat(first + size, size)
+            left = np.full(len(token), HUBS)
+            out = []
+            for k in range(4 * HUBS):
+                hub = start + k
+                ok = np.flatnonzero((hub < last) & (left > 0))
+                hub = hub[ok]
+                ok = ok[(sig[hub] != sig[ok]) & (np.minimum(n[hub], n[ok]) >= need(np.maximum(n[hub], n[ok]), threshold))]
+                hub = start[ok] + k
+                left[ok] -= 1
+                out.append((sig[ok], sig[hub]))
+            x, y = (np.concatenate(v) for v in zip(*out))
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            yield _record(["a", "b"], both[:, 0].copy(), both[:, 1].copy())
 
     return run
 
@@ -186,7 +239,8 @@ def _late_pairs(threshold):
                 sig, n, comp = rows["sig"][a:b], rows["n"][a:b], rows["component"][a:b]
                 order = np.lexsort((sig, n))
                 sig, n, comp = sig[order], n[order], comp[order]
-                before = [set(rows["before"][a:b][i]) for i in order]
+                held = rows["before"][a:b]
+                before = [set(held[i]) for i in order]
                 for i in range(len(sig)):
                     end = int(np.searchsorted(n, n[i] * threshold[1] // threshold[0], side="right"))
                     j = i + 1 + np.flatnonzero((comp[i + 1 : end] != comp[i]) & (sig[i + 1 : end] != sig[i]))
@@ -252,7 +306,7 @@ def _unpack(b: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold=THRESHOLD, orders=ORDERS) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, threshold=THRESHOLD, orders=ORDERS[1:]) -> bool:
     """Whether two sorted sets reach the threshold: prefix filters under further orders first, then the full count."""
     if min(len(x), len(y)) < need(max(len(x), len(y)), threshold):
         return False
@@ -281,12 +335,91 @@ def _verify(threshold):
     return run
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, threshold, name: str) -> DataFrame:
-    """The pairs (a, b) of classes that reach the threshold."""
-    left = sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return stash(both.mapInArrow(_verify(threshold), "a long, b long"), name)
+def _filter(threshold):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            a, b = batch.column(0), batch.column(1)
+            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            x, y = batch.column(4), batch.column(5)
+            keep = [may_link(np.frombuffer(x[i].as_buffer(), np.uint32), np.frombuffer(y[i].as_buffer(), np.uint32), n[i], m[i], threshold) for i in range(len(n))]
+            keep = pa.array(keep, pa.bool_())
+            yield _record(["a", "b"], a.filter(keep), b.filter(keep))
+
+    return run
+
+
+def _near(pairs: DataFrame, classes: DataFrame, threshold, name: str) -> DataFrame:
+    """The pairs (a, b) of classes that pass the prefix filter under another order."""
+    left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x"))
+    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
+    near = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y")
+    return stash(near.mapInArrow(_filter(threshold), "a long, b long"), name)
+
+
+def _fetch(docs: DataFrame, keys: DataFrame, width: int, name: str) -> DataFrame | None:
+    """(sig, hashes) of the classes in keys (sig) and perhaps a few more; None for no keys."""
+    flat = bloom(keys, "sig")
+    if not flat.any():
+        return None
+    wanted = docs.sparkSession.sparkContext.broadcast(flat)
+    return stash(docs.mapInArrow(_wanted_sets(width, wanted), "sig long, hashes binary"), name).dropDuplicates(["sig"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig")))
+
+
+def _compare(near: DataFrame, sets: DataFrame | None, threshold) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, compared in full."""
+    if sets is None:
+        return near.limit(0)
+    both = near.join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
+
+
+def _counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of the sets share."""
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    owner, inverse = owner[count[inverse] > 1], inverse[count[inverse] > 1]
+    columns, inverse = np.unique(inverse, return_inverse=True)
+    total = np.zeros((len(rows), len(rows)), dtype=np.float32)
+    for low in range(0, len(columns), 4096):
+        here = (inverse >= low) & (inverse < low + 4096)
+        m = np.zeros((len(rows), min(4096, len(columns) - low)), dtype=np.float32)
+        m[owner[here], inverse[here] - low] = 1
+        total += m @ m.T
+    return total
+
+
+def _blocks(threshold):
+    """From rows (key, block, low, high, sig, n, component, before, hashes) sorted by key: links of the two blocks of a key."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(it):
+            first = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
+            for a, b in zip(first, np.append(first[1:], len(rows["key"]))):
+                block, low, high, sig, n, comp = (rows[c][a:b] for c in ("block", "low", "high", "sig", "n", "component"))
+                n = n.astype(np.int64)
+                want = np.triu(comp[:, None] != comp[None, :], 1)
+                want &= np.minimum(n[:, None], n[None, :]) >= need(np.maximum(n[:, None], n[None, :]), threshold)
+                if low[0] != high[0]:
+                    want &= block[:, None] != block[None, :]
+                if want.any():
+                    want &= _counts([np.asarray(x, dtype=np.int64) for x in rows["before"][a:b]]) == 0
+                i, j = np.nonzero(want)
+                if not len(i):
+                    continue
+                used, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+                shared = _counts([_unpack(rows["hashes"][a:b][k]) for k in used])
+                both = shared[where[: len(i)], where[len(i) :]].astype(np.int64)
+                ok = threshold[1] * both >= threshold[0] * (n[i] + n[j] - both)
+                if ok.any():
+                    x, y = forest(sig[i[ok]], sig[j[ok]])
+                    yield _record(["a", "b"], x, y)
+
+    return run
 
 
 def _merge_labels(first: DataFrame, again: DataFrame) -> DataFrame:
@@ -301,33 +434,45 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    scan = stash(docs.mapInArrow(_scan(width), "kind int, doc_id long, n long, sig long"), "shingle-scan")
+    scan = stash(docs.mapInArrow(_scan(width, threshold), "kind int, doc_id long, n long, sig long, prefix binary"), "shingle-scan")
     counted = scan.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = counted.orderBy(F.desc("n"), "doc_id").limit(MOST_FREQUENT).select("doc_id").toArrow().column(0).to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
+    classes = scan.where("kind = 0 and prefix is not null").select("sig", "n", "prefix").dropDuplicates(["sig"])
     prefixes = docs.mapInArrow(_prefixes(width, threshold, frequent), "token long, sig long, n int")
-    dealt = prefixes.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").sortWithinPartitions("token")
-    found = stash(dealt.mapInArrow(_pairs(threshold), "token long, sig long, n int, hub long"), "prefix-groups")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prefixes.repartition(parts, "token").sortWithinPartitions("token")
+    found = stash(dealt.mapInArrow(_pairs(threshold), "token long, sig long, n int, other long"), "prefix-groups")
     hot = found.where("token is not null")
-    ranked = hot.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy("token")))
-    hubs = ranked.where((F.col("rank") <= HUBS) & (F.col("sig") != F.col("hub"))).select("sig", "hub")
-    pairs = found.where("token is null").select("sig", "hub").unionByName(hubs)
-    pairs = stash(pairs.select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct(), "pairs")
-    keys = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).unionByName(hot.select("sig")).distinct()
-    wanted = spark.sparkContext.broadcast(bloom(keys, "sig"))
-    sets = docs.mapInArrow(_wanted_sets(width, wanted), "sig long, hashes binary").dropDuplicates(["sig"])
-    sets = stash(sets, "sets")
-    labels = components(_compare(pairs, sets, threshold, "links"))
+    # The original of a family shares more of its shingles, with more members, than its copies do.
+    weight = hot.groupBy("sig").agg((F.sum("other") / F.max("n")).alias("weight"))
+    members = hot.join(weight, "sig").select("token", "sig", "n", "weight").repartition(parts, "token").sortWithinPartitions("token")
+    hubs = members.mapInArrow(_hub_pairs(threshold), "a long, b long")
+    pairs = found.where("token is null").select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).unionByName(hubs)
+    pairs = stash(pairs.distinct(), "pairs")
+    near = _near(pairs, classes, threshold, "near")
+    links = stash(_compare(near, _fetch(docs, _ends(near), width, "sets"), threshold), "links")
+    labels = stash(components(links), "labels")
 
     at = hot.select("token", "sig", "n").join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("component"))
-    mixed = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    open_rows = at.join(mixed, "token", "left_semi")
-    lists = open_rows.groupBy("sig", "n", "component").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    each = lists.select("sig", "n", "component", "tokens", F.posexplode("tokens").alias("place", "token"))
-    each = each.select("token", "sig", "n", "component", F.expr("slice(tokens, greatest(1, place - 15), least(16, place))").alias("before"))
-    each = each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").sortWithinPartitions("token")
-    late = stash(each.mapInArrow(_late_pairs(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "late-pairs")
-    late_links = _compare(late, sets, threshold, "late-links")
+    mixed = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("token", "size")
+    lists = at.join(mixed, "token").groupBy("sig", "n", "component").agg(F.array_sort(F.collect_list(F.struct("token", "size"))).alias("tokens"))
+    each = lists.select("sig", "n", "component", "tokens", F.posexplode("tokens").alias("place", "own"))
+    each = stash(each.select("own.token", "own.size", "sig", "n", "component", F.expr("slice(tokens.token, greatest(1, place - 15), least(16, place))").alias("before")), "open-groups")
+    small = each.where(F.col("size") <= LARGE_GROUP).drop("size").repartition(parts, "token").sortWithinPartitions("token")
+    late = small.mapInArrow(_late_pairs(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    late = _near(late.join(pairs, ["a", "b"], "left_anti"), classes, threshold, "late-near")
+    large = each.where(F.col("size") > LARGE_GROUP)
+    sets = _fetch(docs, _ends(late).unionByName(large.select("sig")).distinct(), width, "late-sets")
+    late_links = _compare(late, sets, threshold)
+    if sets is not None:
+        blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
+        large = large.withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int"))
+        dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "token", "sig", "n", "component", "before")
+        dealt = dealt.join(sets, "sig").select(F.xxhash64("token", "low", "high").alias("key"), "block", "low", "high", "sig", "n", "component", "before", "hashes")
+        late_links = late_links.unionByName(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_blocks(threshold), "a long, b long"))
+    late_links = stash(late_links, "late-links")
     lifted = late_links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     again = components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     labels = _merge_labels(labels, again)
