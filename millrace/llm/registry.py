@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.op01_pii import op1_pii
 from millrace.llm.op02_mixing import op2_mixing
+from millrace.llm.op03_quality import op3_quality
+from millrace.llm.op04_html import op4_html
+from millrace.llm.op05_tokens import op5_tokens
+from millrace.llm.op06_neardup import op6_neardup
 from millrace.llm.op07_jaccard import op7_jaccard
+from millrace.llm.op08_ann import op8_ann
 from millrace.llm.op09_bpe import op9_bpe
 from millrace.llm.op10_language import op10_language
 
@@ -20,7 +25,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_mixing": op2_mixing, "op7_jaccard": op7_jaccard, "op9_bpe": op9_bpe, "op10_language": op10_language, "pipeline": pipeline}
+    found = (op1_pii, op2_mixing, op3_quality, op4_html, op5_tokens, op6_neardup, op7_jaccard, op8_ann, op9_bpe, op10_language, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
