@@ -192,7 +192,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     queries = good.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     blocks = max(1, math.ceil(rows / every / QUERIES))
     points = good.select("vec_id", "size", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("query"))
-    asked = queries.select("vec_id", "size", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"))
+    asked = queries.select("vec_id", "size", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"))
     found = points.unionByName(asked).groupBy("size", "shard", "block").applyInArrow(_shards(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
