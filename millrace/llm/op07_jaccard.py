@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,12 @@ def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
     return shingle_sets(*column_bytes(batch.column(batch.schema.get_field_index("text"))), width)
 
 
+def _text_hashes(batch: pa.RecordBatch) -> np.ndarray:
+    data, offsets = column_bytes(batch.column(batch.schema.get_field_index("text")))
+    raw = memoryview(data)
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.uint64).view(np.int64)
+
+
 def _record(schema: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema)
 
@@ -88,7 +95,7 @@ def _scan(width: int, threshold):
     """Rows (kind 0: doc_id, n, sig, prefix under the filtering order) for texts and (kind 1: shingle, count) for those frequent in a batch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = ["kind", "doc_id", "n", "sig", "prefix"], set()
+        names, seen = ["kind", "doc_id", "n", "sig", "prefix", "hash"], set()
         for batch in batches(it):
             sets = _sets(batch, width)
             sigs = [signature(s) if len(s) else None for s in sets]
@@ -101,11 +108,11 @@ def _scan(width: int, threshold):
                     prefixes.append(filter_prefix(s, threshold))
                 else:
                     prefixes.append(None)
-            yield _record(names, np.zeros(len(n), np.int32), batch.column(0), n, pa.array(sigs, pa.int64()), pa.array(prefixes, pa.binary()))
+            yield _record(names, np.zeros(len(n), np.int32), batch.column(0), n, pa.array(sigs, pa.int64()), pa.array(prefixes, pa.binary()), _text_hashes(batch))
             if fresh:
                 token, count = np.unique(np.concatenate(fresh), return_counts=True)
                 token, count = token[count >= LOCAL].view(np.int64), count[count >= LOCAL].astype(np.int64)
-                yield _record(names, np.ones(len(token), np.int32), token, count, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()))
+                yield _record(names, np.ones(len(token), np.int32), token, count, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.int64()))
 
     return run
 
@@ -148,12 +155,10 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
         if edge == 0 and rest and rest[-1].column(0)[-1].as_py() == token[-1]:
             rest.append(batch)
             continue
-        if rest and edge == 0:
+        if edge:
+            rest.append(batch.slice(0, edge))
+        if rest:
             yield _merged(rest)
-            rest = [batch]
-            continue
-        rest.append(batch.slice(0, edge))
-        yield _merged(rest)
         rest = [batch.slice(edge)]
     if rest:
         yield _merged(rest)
@@ -280,19 +285,18 @@ def in_bloom(x: np.ndarray, flat: np.ndarray) -> np.ndarray:
 
 
 def _wanted_sets(width: int, wanted):
-    """(sig, hashes) of classes that the filter may hold; six bytes of each hash."""
+    """(sig, hashes) of classes whose text's hash the filter may hold; six bytes of each shingle's hash."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches(it):
-            sets = [s for s in _sets(batch, width) if len(s)]
-            sigs = np.array([signature(s) for s in sets], dtype=np.int64)
-            hit = in_bloom(sigs, wanted.value)
+            hit = in_bloom(_text_hashes(batch), wanted.value)
+            sets = [s for s in _sets(batch.filter(pa.array(hit)), width) if len(s)] if hit.any() else []
             out = []
-            for i in np.flatnonzero(hit).tolist():
-                if (g := int(sigs[i])) not in seen:
+            for s in sets:
+                if (g := signature(s)) not in seen:
                     seen.add(g)
-                    out.append((g, sets[i].view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()))
+                    out.append((g, s.view(np.uint8).reshape(-1, 8)[:, 8 - BYTES :].tobytes()))
             if out:
                 yield _record(["sig", "hashes"], pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary()))
 
@@ -356,9 +360,9 @@ def _near(pairs: DataFrame, classes: DataFrame, threshold, name: str) -> DataFra
     return stash(near.mapInArrow(_filter(threshold), "a long, b long"), name)
 
 
-def _fetch(docs: DataFrame, keys: DataFrame, width: int, name: str) -> DataFrame | None:
+def _fetch(docs: DataFrame, keys: DataFrame, classes: DataFrame, width: int, name: str) -> DataFrame | None:
     """(sig, hashes) of the classes in keys (sig) and perhaps a few more; None for no keys."""
-    flat = bloom(keys, "sig")
+    flat = bloom(classes.select("sig", "hash").join(keys, "sig", "left_semi"), "hash")
     if not flat.any():
         return None
     wanted = docs.sparkSession.sparkContext.broadcast(flat)
@@ -393,31 +397,56 @@ def _counts(rows: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def _wanted(rows: dict[str, np.ndarray], threshold) -> np.ndarray:
+    """Which pairs of one block pair's rows are to be compared: other components, like sizes, no earlier common token."""
+    n, comp = rows["n"].astype(np.int64), rows["component"]
+    want = np.triu(comp[:, None] != comp[None, :], 1)
+    want &= np.minimum(n[:, None], n[None, :]) >= need(np.maximum(n[:, None], n[None, :]), threshold)
+    if rows["low"][0] != rows["high"][0]:
+        want &= rows["block"][:, None] != rows["block"][None, :]
+    if want.any():
+        want &= _counts([np.asarray(x, dtype=np.int64) for x in rows["before"]]) == 0
+    return want
+
+
+def _by_key(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for rows in _groups(it):
+        first = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
+        for a, b in zip(first, np.append(first[1:], len(rows["key"]))):
+            yield {c: x[a:b] for c, x in rows.items()}
+
+
+_DEALT = "key long, block int, low int, high int, sig long, n int, component long, before array<long>"
+
+
+def _needed(threshold):
+    """The rows of block pairs (sorted by key) that take part in a comparison: most groups repeat an earlier one and drop out."""
+    names = [x.split()[0] for x in _DEALT.split(", ")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(it):
+            want = _wanted(rows, threshold)
+            use = np.flatnonzero(want.any(axis=0) | want.any(axis=1))
+            if len(use):
+                yield _record(names, *(pa.array([rows[c][i] for i in use], pa.list_(pa.int64())) if c == "before" else rows[c][use] for c in names))
+
+    return run
+
+
 def _blocks(threshold):
-    """From rows (key, block, low, high, sig, n, component, before, hashes) sorted by key: links of the two blocks of a key."""
+    """From the needed rows with hashes, sorted by key: links, thinned to a spanning forest of each block pair."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _groups(it):
-            first = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
-            for a, b in zip(first, np.append(first[1:], len(rows["key"]))):
-                block, low, high, sig, n, comp = (rows[c][a:b] for c in ("block", "low", "high", "sig", "n", "component"))
-                n = n.astype(np.int64)
-                want = np.triu(comp[:, None] != comp[None, :], 1)
-                want &= np.minimum(n[:, None], n[None, :]) >= need(np.maximum(n[:, None], n[None, :]), threshold)
-                if low[0] != high[0]:
-                    want &= block[:, None] != block[None, :]
-                if want.any():
-                    want &= _counts([np.asarray(x, dtype=np.int64) for x in rows["before"][a:b]]) == 0
-                i, j = np.nonzero(want)
-                if not len(i):
-                    continue
-                used, where = np.unique(np.concatenate([i, j]), return_inverse=True)
-                shared = _counts([_unpack(rows["hashes"][a:b][k]) for k in used])
-                both = shared[where[: len(i)], where[len(i) :]].astype(np.int64)
-                ok = threshold[1] * both >= threshold[0] * (n[i] + n[j] - both)
-                if ok.any():
-                    x, y = forest(sig[i[ok]], sig[j[ok]])
-                    yield _record(["a", "b"], x, y)
+        for rows in _by_key(it):
+            i, j = np.nonzero(_wanted(rows, threshold))
+            if not len(i):
+                continue
+            n, sig = rows["n"].astype(np.int64), rows["sig"]
+            shared = _counts([_unpack(x) for x in rows["hashes"]])
+            both = shared[i, j].astype(np.int64)
+            ok = threshold[1] * both >= threshold[0] * (n[i] + n[j] - both)
+            if ok.any():
+                yield _record(["a", "b"], *forest(sig[i[ok]], sig[j[ok]]))
 
     return run
 
@@ -434,11 +463,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    scan = stash(docs.mapInArrow(_scan(width, threshold), "kind int, doc_id long, n long, sig long, prefix binary"), "shingle-scan")
+    scan = stash(docs.mapInArrow(_scan(width, threshold), "kind int, doc_id long, n long, sig long, prefix binary, hash long"), "shingle-scan")
     counted = scan.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = counted.orderBy(F.desc("n"), "doc_id").limit(MOST_FREQUENT).select("doc_id").toArrow().column(0).to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
-    classes = scan.where("kind = 0 and prefix is not null").select("sig", "n", "prefix").dropDuplicates(["sig"])
+    classes = scan.where("kind = 0 and prefix is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("hash").alias("hash"))
     prefixes = docs.mapInArrow(_prefixes(width, threshold, frequent), "token long, sig long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = prefixes.repartition(parts, "token").sortWithinPartitions("token")
@@ -451,7 +480,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     pairs = found.where("token is null").select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).unionByName(hubs)
     pairs = stash(pairs.distinct(), "pairs")
     near = _near(pairs, classes, threshold, "near")
-    links = stash(_compare(near, _fetch(docs, _ends(near), width, "sets"), threshold), "links")
+    links = stash(_compare(near, _fetch(docs, _ends(near), classes, width, "sets"), threshold), "links")
     labels = stash(components(links), "labels")
 
     at = hot.select("token", "sig", "n").join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("component"))
@@ -463,15 +492,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     late = small.mapInArrow(_late_pairs(threshold), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     late = _near(late.join(pairs, ["a", "b"], "left_anti"), classes, threshold, "late-near")
     large = each.where(F.col("size") > LARGE_GROUP)
-    sets = _fetch(docs, _ends(late).unionByName(large.select("sig")).distinct(), width, "late-sets")
+    blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
+    large = large.withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = large.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    dealt = dealt.select(F.xxhash64("token", "low", "high").alias("key"), "block", "low", "high", "sig", "n", "component", "before")
+    dealt = stash(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_needed(threshold), _DEALT), "blocks")
+    sets = _fetch(docs, _ends(late).unionByName(dealt.select("sig")).distinct(), classes, width, "late-sets")
     late_links = _compare(late, sets, threshold)
     if sets is not None:
-        blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
-        large = large.withColumn("block", F.pmod(F.xxhash64("sig"), blocks).cast("int"))
-        dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "token", "sig", "n", "component", "before")
-        dealt = dealt.join(sets, "sig").select(F.xxhash64("token", "low", "high").alias("key"), "block", "low", "high", "sig", "n", "component", "before", "hashes")
-        late_links = late_links.unionByName(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_blocks(threshold), "a long, b long"))
+        full = dealt.join(sets, "sig").select("key", "block", "low", "high", "sig", "n", "component", "before", "hashes")
+        late_links = late_links.unionByName(full.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_blocks(threshold), "a long, b long"))
     late_links = stash(late_links, "late-links")
     lifted = late_links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     again = components(lifted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
