@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import catalog, conversation, relational, retrieval, streams  # noqa: F401 - each adds its queries
+from millrace.plans import catalog, retrieval  # each module of queries adds its own
 
 FLAGSHIP = retrieval.e06_hybrid_search
 
