@@ -76,3 +76,10 @@ def cleaned(text, steps: tuple[tuple[str, str, str], ...]) -> Column:
 def seed_of(text) -> Column:
     """A non-negative 31-bit seed from a text's SHA-256."""
     return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(0x7FFFFFFF))
+
+
+def script(text) -> Column:
+    """ja, zh, mixed (Han and Latin), latin or unknown, by the letters a text holds."""
+    c = F.col(text) if isinstance(text, str) else text
+    latin = c.rlike("[A-Za-z]")
+    return F.when(c.rlike("[぀-ヿ]"), "ja").when(c.rlike("[一-鿿]"), F.when(latin, "mixed").otherwise("zh")).when(latin, "latin").otherwise("unknown")

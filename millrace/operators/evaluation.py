@@ -43,3 +43,10 @@ def bootstrap(groups: DataFrame, value: str, key: str, rounds: int = 1000, seed:
     means = each.groupBy("round").agg((F.sum(F.col("w") * F.col("s")) / F.greatest(F.lit(1), F.sum(F.col("w") * F.col("n")))).alias("m"))
     spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return per.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(spread)
+
+
+def percentiles_at(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(keys, one column a place): percentile_at() for several definitions in one sort of each group."""
+    w = Window.partitionBy(*keys)
+    counted = rows.where(F.col(value).isNotNull()).select(*keys, value, F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(value)).alias("_at"))
+    return counted.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == place, F.col(value))).alias(name) for name, place in places.items()])

@@ -33,7 +33,7 @@ def query_postings(docs: DataFrame, queries: DataFrame, id: str = "doc_id", text
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score, hits, matched, rank): the top k by unrounded score, ties to the larger id."""
+    """(query_id, id, score, hits, matched, rank): the top k by score, ties to the larger id (to nine places: sums come in any order)."""
     posted = query_postings(docs, queries, id, text)
     df = posted.groupBy("token").agg(F.count("*").alias("df"))
     each = posted.join(queries.distinct(), "token").join(df, "token").crossJoin(F.broadcast(statistics(docs, id, text)))
@@ -41,7 +41,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text:
     norm = F.when(F.col("avg_len") > 0, k1 * (1 - b + b * F.col("token_count") / F.col("avg_len"))).otherwise(k1)
     each = each.withColumn("part", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm))
     scored = each.groupBy("query_id", id).agg(F.sum("part").alias("score"), F.sum("tf").alias("hits"), F.count("*").alias("matched"))
-    return top(scored, k, F.desc("score"), F.desc(id))
+    return top(scored, k, F.desc(F.round("score", 9)), F.desc(id))
 
 
 def dot(a, b) -> Column:

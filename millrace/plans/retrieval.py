@@ -17,7 +17,7 @@ st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len) FROM len):
 df AS (SELECT token, count(*) AS df FROM post WHERE token IN (SELECT token FROM q) GROUP BY 1),
 sc AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS score, sum(tf) AS hits, count(*) AS matched
   FROM post JOIN q USING (token) JOIN df USING (token) JOIN len USING (doc_id), st GROUP BY 1, 2),
-bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM sc)"""
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS rank FROM sc)"""
 VEC = """vq AS (SELECT vec_id + 1 AS query_id, embedding AS query FROM embeddings WHERE vec_id < 3),
 vs AS (SELECT query_id, vec_id, list_dot_product(embedding::DOUBLE[], query::DOUBLE[]) AS score FROM embeddings, vq),
 de AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM vs)"""
