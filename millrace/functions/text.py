@@ -83,3 +83,17 @@ def script(text) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     latin = c.rlike("[A-Za-z]")
     return F.when(c.rlike("[぀-ヿ]"), "ja").when(c.rlike("[一-鿿]"), F.when(latin, "mixed").otherwise("zh")).when(latin, "latin").otherwise("unknown")
+
+
+def escaped(text) -> Column:
+    """Ampersands and angle brackets as character references."""
+    c = F.col(text) if isinstance(text, str) else text
+    for plain, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(plain), F.lit(reference))
+    return c
+
+
+def json_part(text) -> Column:
+    """From the first opening brace to the last closing one; null without them."""
+    found = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(found != "", found)
