@@ -1,20 +1,21 @@
-"""Byte-level BPE over whole texts with the tokenizers library, one call per distinct unit of text.
+"""Byte-level BPE over whole texts with the tokenizers library, one call per distinct word of text.
 
 A boundary before a single space between two visible characters is always a boundary of the tokenizer's pieces, so
-texts fall into units that encode alone as they do in context. Each worker remembers the ids of units it has seen
-(at most MEMO of them); new ones go to the library in one batch. Texts where a space stands between other white
-space, or that spell an added token, go to the library whole.
+texts fall into units (a space and what follows it) that encode alone as they do in context. Each worker remembers the
+ids of units it has seen (2 * MEMO of them at most: when one generation is full, the one before it goes). New units go
+to the library many to a string, and the ids are cut apart where a token begins with a space: only a unit's first one
+does. Texts where a space stands between other white space, or that spell an added token, go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
-MEMO = 250_000
+MEMO = 300_000
+TOGETHER = 256  # new units in one string
 _APART = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -53,39 +54,64 @@ class Encoder:
         self.tokenizer.no_padding()
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         letters = byte_of_letter()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.pieces = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.pieces[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.sizes = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        self.spaced = np.array([p[:1] == b" " for p in self.pieces])
         self.decimals = [str(i).encode() for i in range(len(self.pieces))]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the ids of words after a space."""
+        plain, odd = [], []
+        for w in words:
+            (plain if w.split() == [w] else odd).append(w)  # no white space of any kind inside, and not empty
+        for at in range(0, len(plain), 64 * TOGETHER):
+            blocks = [plain[k : k + TOGETHER] for k in range(at, min(at + 64 * TOGETHER, len(plain)), TOGETHER)]
+            for block, ids in zip(blocks, self._whole([" " + " ".join(b) for b in blocks])):
+                flat = np.frombuffer(ids, dtype="<u4")
+                edges = [*np.flatnonzero(self.spaced[flat]).tolist(), len(flat)]
+                if len(edges) != len(block) + 1 or edges[0] != 0:
+                    odd += block
+                    continue
+                self.memo.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(block, edges, edges[1:]))
+        if odd:
+            self.memo.update(zip(odd, self._whole([" " + w for w in odd])))
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        out: list[bytes] = [b""] * len(texts)
-        units: dict[int, list[str]] = {}
+            self.memo, self.older = {}, self.memo
+        whole, units = [], {}
         for i, text in enumerate(texts):
             if _APART.search(text) or any(a in text for a in self.added):
-                out[i] = self._whole([text])[0]
+                whole.append(i)
             elif text:
-                first, *rest = text.split(" ")
-                units[i] = [first, *[" " + u for u in rest]]
-        memo = self.memo
-        new = {u for u in chain.from_iterable(units.values()) if u not in memo}
+                units[i] = text.split(" ")
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else []):
+            out[i] = ids
+        firsts = {own[0] for own in units.values()}
+        heads = dict(zip(firsts, self._whole(list(firsts))))
+        rest = {i: own[1:] for i, own in units.items()}
+        new = set().union(*rest.values()).difference(self.memo)
+        if new and self.older:
+            known = [w for w in new if w in self.older]
+            self.memo.update((w, self.older[w]) for w in known)
+            new.difference_update(known)
         if new:
-            new = sorted(new)
-            for at in range(0, len(new), 5000):
-                memo.update(zip(new[at : at + 5000], self._whole(new[at : at + 5000])))
-        for i, own in units.items():
-            out[i] = b"".join(map(memo.__getitem__, own))
+            self._learn([*new])
+        find = self.memo.__getitem__
+        for i, own in rest.items():
+            out[i] = heads[units[i][0]] + b"".join(map(find, own))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -74,12 +74,13 @@ def safe_points(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero((data[1:-1] == 32) & _VISIBLE[data[:-2]] & _VISIBLE[data[2:]]) + 1
 
 
-def assemble(data: np.ndarray, edges: np.ndarray, ids: list[np.ndarray], encoder: Encoder) -> np.ndarray:
-    """The ids of a whole text from those of its chunks; joins are encoded again until both sides agree."""
-    safe = safe_points(data)
-    text = data.tobytes()
-    out: list[np.ndarray] = []
-    done, n = 0, len(data)  # ids of the text up to `done` are in out
+def kept_parts(data: np.ndarray, edges: np.ndarray, ids: list[np.ndarray], encoder: Encoder) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, end, ids) of the stretches of a text whose ids those of its chunks are; what lies between is encoded again.
+
+    A chunk's ids are kept from its first to its last safe point at which one of its tokens ends; a chunk without such
+    places is encoded again as a whole, together with the stretches at its sides.
+    """
+    safe, n = safe_points(data), len(data)
     for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
         ends = np.concatenate([[a], a + np.cumsum(encoder.sizes[ids[k]])])
         inner = safe[np.searchsorted(safe, a) : np.searchsorted(safe, b, side="right")].tolist()
@@ -87,15 +88,33 @@ def assemble(data: np.ndarray, edges: np.ndarray, ids: list[np.ndarray], encoder
         high = [n] if b == n else inner[::-1]
         start = next((p for p in low if ends[np.searchsorted(ends, p)] == p), None)
         stop = next((p for p in high if ends[min(np.searchsorted(ends, p), len(ends) - 1)] == p), None)
-        if start is None or stop is None or stop <= start:
-            continue  # no agreement inside this chunk: the stretch grows over it
-        if start > done:
-            out.append(np.frombuffer(encoder.encode(text[done:start].decode()), dtype="<u4"))
-        out.append(ids[k][np.searchsorted(ends, start) : np.searchsorted(ends, stop)])
-        done = stop
-    if done < n:
-        out.append(np.frombuffer(encoder.encode(text[done:].decode()), dtype="<u4"))
-    return np.concatenate(out) if out else np.zeros(0, dtype="<u4")
+        if start is not None and stop is not None and stop > start:
+            yield start, stop, ids[k][np.searchsorted(ends, start) : np.searchsorted(ends, stop)]
+
+
+def assemble_batch(texts: list[np.ndarray], edges: list[np.ndarray], ids: list[list[np.ndarray]], encoder: Encoder) -> list[np.ndarray]:
+    """The ids of whole texts from those of their chunks; all stretches around joins are encoded together."""
+    out: list[list[np.ndarray | None]] = []
+    waiting: list[str] = []
+    for data, cut, own in zip(texts, edges, ids):
+        raw, done, row = data.tobytes(), 0, []
+        for start, stop, kept in kept_parts(data, cut, own, encoder):
+            if start > done:
+                waiting.append(raw[done:start].decode())
+                row.append(None)
+            row.append(kept)
+            done = stop
+        if done < len(raw):
+            waiting.append(raw[done:].decode())
+            row.append(None)
+        out.append(row)
+    again = iter(encoder.encode_batch(waiting))
+    whole = [[np.frombuffer(next(again), dtype="<u4") if x is None else x for x in row] for row in out]
+    return [np.concatenate(row) if row else np.zeros(0, dtype="<u4") for row in whole]
+
+
+def assemble(data: np.ndarray, edges: np.ndarray, ids: list[np.ndarray], encoder: Encoder) -> np.ndarray:
+    return assemble_batch([data], [edges], [ids], encoder)[0]
 
 
 def _digest(ids: np.ndarray, encoder: Encoder) -> tuple[int, str, str]:
@@ -171,14 +190,14 @@ def _encode_chunks(path: str | None):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        last, known = None, {}
+        kind, known = "<u2" if len(encoder.pieces) <= 1 << 16 else "<u4", {}
         for batch in batches(it, "body", 1 << 21):
             rows, places, ids = [], [], []
-            for h, body, at, where in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if h != last:
-                    last, known = h, {}
-                if body not in known:
-                    known[body] = np.frombuffer(encoder.encode(body.decode()), dtype="<u4").astype("<u2" if len(encoder.pieces) <= 1 << 16 else "<u4").tobytes()
+            bodies = batch.column(1).to_pylist()
+            known = {b: known[b] for b in bodies if b in known}  # a chunk's holders may stand in two batches
+            new = [*dict.fromkeys(b for b in bodies if b not in known)]
+            known.update((b, np.frombuffer(c, dtype="<u4").astype(kind).tobytes()) for b, c in zip(new, encoder.encode_batch([b.decode() for b in new])))
+            for body, at, where in zip(bodies, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 rows += at
                 places += where
                 ids += [known[body]] * len(at)
@@ -194,33 +213,31 @@ def _second_pass(path: str | None, keep_ids: bool):
         encoder = Encoder.of(path)
         kind = "<u2" if len(encoder.pieces) <= 1 << 16 else "<u4"
         names = ["doc_id", "ids", "n", "named", "back"]
-        text, doc_id, given = None, None, {}
-
-        def finish() -> tuple:
-            data = np.frombuffer(text, dtype=np.uint8)
-            edges = chunks(data)
-            rest = [k for k in range(len(edges) - 1) if k not in given]
-            coded = dict(zip(rest, encoder.encode_batch([text[edges[k] : edges[k + 1]].decode() for k in rest])))
-            ids = [np.frombuffer(given[k], dtype=kind).astype("<u4") if k in given else np.frombuffer(coded[k], dtype="<u4") for k in range(len(edges) - 1)]
-            ids = assemble(data, edges, ids, encoder)
-            return (doc_id, ids.tobytes() if keep_ids else None, *_digest(ids, encoder))
-
-        def record(rows: list[tuple]) -> pa.RecordBatch:
+
+        def finished(held: list[tuple]) -> pa.RecordBatch:
+            """held: (doc_id, text, ids of its repeated chunks by place)."""
+            texts = [np.frombuffer(text, dtype=np.uint8) for _, text, _ in held]
+            edges = [chunks(t) for t in texts]
+            rest = [[k for k in range(len(e) - 1) if k not in given] for e, (_, _, given) in zip(edges, held)]
+            coded = iter(encoder.encode_batch([h[1][e[k] : e[k + 1]].decode() for h, e, ks in zip(held, edges, rest) for k in ks]))
+            ids = [[np.frombuffer(given[k], dtype=kind).astype("<u4") if k in given else np.frombuffer(next(coded), dtype="<u4") for k in range(len(e) - 1)] for e, (_, _, given) in zip(edges, held)]
+            rows = [(h[0], i.tobytes() if keep_ids else None, *_digest(i, encoder)) for h, i in zip(held, assemble_batch(texts, edges, ids, encoder))]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()])], names=names)
 
+        held: list[tuple] = []
+        size = 0
         for batch in batches(it, "body", 1 << 21):
-            out = []
             for place, i, body in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 if place < 0:
-                    if text is not None:
-                        out.append(finish())
-                    text, doc_id, given = body, i, {}
+                    if size >= 1 << 21:
+                        yield finished(held)
+                        held, size = [], 0
+                    held.append((i, body, {}))
+                    size += len(body)
                 else:
-                    given[place] = body
-            if out:
-                yield record(out)
-        if text is not None:
-            yield record([finish()])
+                    held[-1][2][place] = body
+        if held:
+            yield finished(held)
 
     return run
 
