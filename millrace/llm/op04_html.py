@@ -4,7 +4,8 @@ A page becomes a sequence of words, which score positive, and tags, which score
 contiguous stretch with the largest sum, the content region. The weights are log-odds of lying inside the article,
 counted over labelled pages: those of a bounded sample whose article is marked (article, main, or an articleBody
 element). Words in elements that are never content (navigation, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments of readers) score negative and are left out of the text, even inside the region.
+forms, scripts, styles, comments of readers) are left out of the text, even inside the region, and score a little below
+zero, so that an advert in the middle of an article does not cut it in two.
 
 Inside the region, block elements part the text into blocks; character references are decoded, white space inside
 a block becomes one space, and blocks are joined by an empty line. Null and empty pages give an empty text.
@@ -44,7 +45,7 @@ _NEVER_HINT = re.compile(
 _ARTICLE_HINT = re.compile(r"articleBody", re.I)
 
 #: Weights where nothing was labelled: of a word, of a word that is never content, of a tag not named.
-DEFAULT = {"": 1.0, "never": -1.5, "tag": -1.5, "p": -0.3, "br": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "h1": -0.3, "h2": -0.3, "li": -1.0, "a": -2.0}
+DEFAULT = {"": 1.0, "never": -0.05, "tag": -1.5, "p": -0.3, "br": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "h1": -0.3, "h2": -0.3, "li": -1.0, "a": -2.0}
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
@@ -99,7 +100,7 @@ def learn_weights(pages: list[str]) -> dict[str, float]:
     total_in, total_out = sum(inside.values()), sum(outside.values())
     odds = lambda k: math.log((inside[k] + 1) / (total_in + 2) * (total_out + 2) / (outside[k] + 1))
     weights = {k: min(-0.1, max(-4.0, odds(k) - odds(""))) for k in {*inside, *outside} if k}
-    return weights | {"": max(0.3, min(2.0, odds(""))), "never": -0.8, "tag": -1.0}
+    return weights | {"": max(0.3, min(2.0, odds(""))), "never": -0.05, "tag": -1.0}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -121,7 +122,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
     for kind, value, never, _ in tokens(page):
         parts.append((kind, value, never))
         if kind == "tag":
-            scores.append(weights.get(value.lstrip("/"), other) * (0.25 if never else 1))
+            scores.append(weights.get(value.lstrip("/"), other) * (0.05 if never else 1))
         else:
             n = value.count(" ") + 1 if not value.isspace() else 0
             scores.append(n * (never_word if never else word))
