@@ -9,7 +9,8 @@ Equal sets are one class from the start. Groups that share a prefix shingle are
 their pairs within the length filter; large ones (families of near copies) first link each member to their few
 most connected members within the length filter, and after those links are verified and merged, list only pairs of members that are still in
 different components; the largest are compared in blocks by matrix products that return links only. So no group is
-expanded into all its pairs, and no link that changes a component is lost.
+expanded into all its pairs, and no link that changes a component is lost; full sets travel only for members that the
+filter under another order leaves.
 
 Nothing that grows with the corpus reaches the driver: the list of frequent shingles and the Bloom filter of
 candidates have fixed sizes; beyond them the join is slower, with the same result. Null and empty texts have no
@@ -33,7 +34,8 @@ from millrace.llm.shingles import column_bytes, mix, shingle_sets
 THRESHOLD = (75, 100)  # similarity as a fraction
 FREQUENT = 16  # a shingle of this many classes goes last in the order ...
 MOST_FREQUENT = 1 << 18  # ... for so many shingles at most
-LOCAL = 3  # counts below this within one batch of texts are not reported
+LOCAL = 3  # counts below this within one task (or MOST_COUNTED shingles of it) are not reported
+MOST_COUNTED = 1 << 23
 SMALL_GROUP = 4
 HUBS = 2
 LARGE_GROUP = 64  # groups beyond this are compared in blocks of
@@ -92,27 +94,37 @@ def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, threshold=THRESHOLD
 
 
 def _scan(width: int, threshold):
-    """Rows (kind 0: doc_id, n, sig, prefix under the filtering order) for texts and (kind 1: shingle, count) for those frequent in a batch."""
+    """Rows (kind 0: doc_id, n, sig, prefix under the filtering order) for texts and (kind 1: shingle, count) for those frequent in a task."""
+    names = ["kind", "doc_id", "n", "sig", "prefix", "hash"]
+
+    def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
+        token = np.sort(np.concatenate(sets))
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        count = np.diff(np.append(first, len(token)))
+        token, count = token[first[count >= LOCAL]].view(np.int64), count[count >= LOCAL]
+        return _record(names, np.ones(len(token), np.int32), token, count.astype(np.int64), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.int64()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = ["kind", "doc_id", "n", "sig", "prefix", "hash"], set()
+        seen, held, size = set(), [], 0
         for batch in batches(it):
             sets = _sets(batch, width)
             sigs = [signature(s) if len(s) else None for s in sets]
-            n = np.array([len(s) for s in sets], dtype=np.int64)
-            fresh, prefixes = [], []
+            prefixes = []
             for s, g in zip(sets, sigs):
                 if g is not None and g not in seen:
                     seen.add(g)
-                    fresh.append(s)
+                    held.append(s)
+                    size += len(s)
                     prefixes.append(filter_prefix(s, threshold))
                 else:
                     prefixes.append(None)
+            n = np.array([len(s) for s in sets], dtype=np.int64)
             yield _record(names, np.zeros(len(n), np.int32), batch.column(0), n, pa.array(sigs, pa.int64()), pa.array(prefixes, pa.binary()), _text_hashes(batch))
-            if fresh:
-                token, count = np.unique(np.concatenate(fresh), return_counts=True)
-                token, count = token[count >= LOCAL].view(np.int64), count[count >= LOCAL].astype(np.int64)
-                yield _record(names, np.ones(len(token), np.int32), token, count, pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.int64()))
+            if size >= MOST_COUNTED:
+                yield frequent(held)
+                held, size = [], 0
+        if held:
+            yield frequent(held)
 
     return run
 
@@ -419,16 +431,52 @@ def _by_key(it: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
 _DEALT = "key long, block int, low int, high int, sig long, n int, component long, before array<long>"
 
 
+def _chosen(rows: dict[str, np.ndarray], want: np.ndarray, names: list[str]) -> pa.RecordBatch | None:
+    """The rows of a block pair that take part in a wanted comparison."""
+    use = np.flatnonzero(want.any(axis=0) | want.any(axis=1))
+    if not len(use):
+        return None
+    kinds = {"before": pa.list_(pa.int64()), "prefix": pa.binary()}
+    return _record(names, *(pa.array([rows[c][i] for i in use], kinds[c]) if c in kinds else rows[c][use] for c in names))
+
+
 def _needed(threshold):
     """The rows of block pairs (sorted by key) that take part in a comparison: most groups repeat an earlier one and drop out."""
     names = [x.split()[0] for x in _DEALT.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(it):
-            want = _wanted(rows, threshold)
-            use = np.flatnonzero(want.any(axis=0) | want.any(axis=1))
-            if len(use):
-                yield _record(names, *(pa.array([rows[c][i] for i in use], pa.list_(pa.int64())) if c == "before" else rows[c][use] for c in names))
+            if (out := _chosen(rows, _wanted(rows, threshold), names)) is not None:
+                yield out
+
+    return run
+
+
+def _may_link_matrix(rows: dict[str, np.ndarray], want: np.ndarray, threshold) -> np.ndarray:
+    """may_link() for the wanted pairs of a block pair."""
+    i, j = np.nonzero(want)
+    if not len(i):
+        return want
+    prefix = [np.frombuffer(x, np.uint32) for x in rows["prefix"]]
+    last = np.array([p[-1] for p in prefix])
+    upto = np.stack([np.searchsorted(p, last, side="right") for p in prefix])  # entries of each up to each one's last
+    n = rows["n"].astype(np.int64)
+    low = np.where(last[i] <= last[j], i, j)
+    most = _counts(prefix)[i, j].astype(np.int64) + 2 + np.minimum(n[i] - upto[i, low], n[j] - upto[j, low])
+    ok = (threshold[0] + threshold[1]) * most >= threshold[0] * (n[i] + n[j])
+    out = np.zeros_like(want)
+    out[i[ok], j[ok]] = True
+    return out
+
+
+def _filtered(threshold):
+    """The needed rows that still take part after the filter under another order."""
+    names = [x.split()[0] for x in (_DEALT + ", prefix binary").split(", ")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_key(it):
+            if (out := _chosen(rows, _may_link_matrix(rows, _wanted(rows, threshold), threshold), names)) is not None:
+                yield out
 
     return run
 
@@ -438,7 +486,7 @@ def _blocks(threshold):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(it):
-            i, j = np.nonzero(_wanted(rows, threshold))
+            i, j = np.nonzero(_may_link_matrix(rows, _wanted(rows, threshold), threshold))
             if not len(i):
                 continue
             n, sig = rows["n"].astype(np.int64), rows["sig"]
@@ -497,10 +545,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     dealt = large.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = dealt.select(F.xxhash64("token", "low", "high").alias("key"), "block", "low", "high", "sig", "n", "component", "before")
     dealt = stash(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_needed(threshold), _DEALT), "blocks")
+    dealt = dealt.join(classes.select("sig", "prefix"), "sig").select(*dealt.columns, "prefix").repartition(parts, "key").sortWithinPartitions("key")
+    dealt = stash(dealt.mapInArrow(_filtered(threshold), f"{_DEALT}, prefix binary"), "near-blocks")
     sets = _fetch(docs, _ends(late).unionByName(dealt.select("sig")).distinct(), classes, width, "late-sets")
     late_links = _compare(late, sets, threshold)
     if sets is not None:
-        full = dealt.join(sets, "sig").select("key", "block", "low", "high", "sig", "n", "component", "before", "hashes")
+        full = dealt.join(sets, "sig").select("key", "block", "low", "high", "sig", "n", "component", "before", "prefix", "hashes")
         late_links = late_links.unionByName(full.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_blocks(threshold), "a long, b long"))
     late_links = stash(late_links, "late-links")
     lifted = late_links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
