@@ -3,8 +3,9 @@
 Vectors are dealt into shards of about SHARD rows by a hash of their id. In a shard, points are inserted in batches:
 a greedy beam search over the graph so far proposes neighbours, and relaxed distance pruning keeps the diverse ones (a
 candidate goes when a kept neighbour is closer to it, by the factor ALPHA, than the point itself); reverse edges are
-added and pruned likewise, in two passes over all points. A query's beam search runs in every shard; the shards'
-best are scored again by the exact inner product in double precision and merged.
+added and pruned likewise, in two passes over all points. Each graph is built once and written in the shared folder;
+every block of queries then reads it. A query's beam search runs in every shard; the shards' best are scored again by
+the exact inner product in double precision and merged.
 
 For the graph, largest inner product becomes nearest distance by one added component that gives all vectors of a
 shard the same length. Equal vectors are one graph node that lists all its ids. Shards of fewer than BRUTE distinct
@@ -17,9 +18,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +41,10 @@ BATCH = 500
 class Graph:
     """Rows of `points` with equal lengths, and the out-edges of each (padded by -1)."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, edges: np.ndarray | None = None, entry: int | None = None):
         self.points = points.astype(np.float32)
-        self.edges = np.full((len(points), DEGREE), -1, dtype=np.int32)
-        self.entry = int((self.points @ self.points.mean(axis=0)).argmax())
+        self.edges = np.full((len(points), DEGREE), -1, dtype=np.int32) if edges is None else edges
+        self.entry = int((self.points @ self.points.mean(axis=0)).argmax()) if entry is None else entry
 
     def search(self, queries: np.ndarray, beam: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The best nodes of each query by inner product, best first (-1 pads), with their products."""
@@ -138,17 +141,41 @@ class Graph:
             self.edges[nodes[here]] = self.prune(nodes[here], np.concatenate([self.edges[nodes[here]], new], axis=1))
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, product) of each query's best in one shard, without itself."""
+class Shard(NamedTuple):
+    """One shard's distinct vectors, the ids that each stands for (those of node j at starts[j]:starts[j + 1]), and the graph's edges and entry."""
+
+    distinct: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    edges: np.ndarray  # empty for a shard that is compared in full
+    entry: int
+
+
+def _level(distinct: np.ndarray) -> np.ndarray:
+    """The vectors with one component more, all of length 1."""
+    squares = (distinct**2).sum(axis=1)
+    longest = float(squares.max())
+    return np.concatenate([distinct, np.sqrt(np.maximum(longest - squares, 0))[:, None]], axis=1) / math.sqrt(longest)
+
+
+def build_shard(ids: np.ndarray, x: np.ndarray) -> Shard:
     distinct, where = np.unique(x, axis=0, return_inverse=True)
+    where = where.ravel()
     order = np.lexsort((ids, where))
     starts = np.searchsorted(where[order], np.arange(len(distinct) + 1))
     if len(distinct) <= BRUTE:
+        return Shard(distinct, ids[order], starts, np.zeros((0, DEGREE), np.int32), 0)
+    graph = Graph(_level(distinct)).build()
+    return Shard(distinct, ids[order], starts, graph.edges, graph.entry)
+
+
+def search_shard(shard: Shard, query_ids: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, product) of each query's best in one shard, without itself."""
+    distinct, ids, starts = shard.distinct, shard.ids, shard.starts
+    if not len(shard.edges):
         nodes = np.tile(np.arange(len(distinct)), (len(q), 1))
     else:
-        longest = float((distinct**2).sum(axis=1).max())
-        extra = np.sqrt(np.maximum(longest - (distinct**2).sum(axis=1), 0))[:, None]
-        graph = Graph(np.concatenate([distinct, extra], axis=1) / math.sqrt(longest)).build()
+        graph = Graph(_level(distinct), shard.edges, shard.entry)
         flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
         nodes = np.concatenate([graph.search(flat[i : i + BATCH], SEARCH_BEAM)[0] for i in range(0, len(q), BATCH)])[:, : 2 * k]
     out: list[tuple[int, int, float]] = []
@@ -159,19 +186,38 @@ def search_shard(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
         for j in np.argsort(-dot, kind="stable").tolist():
             if len(best) > k and dot[j] < best[k][0]:
                 break
-            best += [(float(dot[j]), v) for v in ids[order[starts[hit[j]] : starts[hit[j] + 1]][: k + 1]].tolist() if v != own]
+            best += [(float(dot[j]), v) for v in ids[starts[hit[j]] : starts[hit[j] + 1]][: k + 1].tolist() if v != own]
         best.sort(key=lambda b: (-b[0], b[1]))
         out += [(own, v, d) for d, v in best[:k]]
     a, b, c = zip(*out) if out else ((), (), ())
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(c, dtype=np.float64)
 
 
-def _shards(k: int) -> Callable[[pa.Table], pa.Table]:
+_SHARD = "size int, shard long, vec_id long, query boolean, vector binary, ids binary, starts binary, edges binary, entry int"
+
+
+def _matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = group.column("vec_id").to_numpy()
+    return ids, np.frombuffer(b"".join(group.column("vector").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
+
+
+def _build(group: pa.Table) -> pa.Table:
+    s = build_shard(*_matrix(group))
+    row = [group.column("size")[0].as_py(), group.column("shard")[0].as_py(), None, False, s.distinct.tobytes(), s.ids.tobytes(), s.starts.tobytes(), s.edges.tobytes(), s.entry]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [f.split() for f in _SHARD.split(", ")]
+    return pa.table({name: pa.array([v], kinds[kind]) for v, (name, kind) in zip(row, fields)})
+
+
+def _search(k: int) -> Callable[[pa.Table], pa.Table]:
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids, query = group.column("vec_id").to_numpy(), group.column("query").to_numpy()
-        x = np.frombuffer(b"".join(group.column("vector").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
-        a, b, c = search_shard(ids[~query], x[~query], ids[query], x[query], k) if query.any() and not query.all() else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        shard, asked = group.filter(pc.invert(group.column("query"))).to_pylist(), group.filter(group.column("query"))
+        if not shard or not asked.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        s = shard[0]
+        distinct = np.frombuffer(s["vector"], np.float64).reshape(-1, s["size"])
+        own = Shard(distinct, np.frombuffer(s["ids"], np.int64), np.frombuffer(s["starts"], np.int64), np.frombuffer(s["edges"], np.int32).reshape(-1, DEGREE), s["entry"])
+        a, b, c = search_shard(own, *_matrix(asked), k)
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
     return run
@@ -191,9 +237,11 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     shards = max(1, math.ceil(rows / SHARD))
     queries = good.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     blocks = max(1, math.ceil(rows / every / QUERIES))
-    points = good.select("vec_id", "size", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("query"))
+    points = good.select("vec_id", "size", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
+    graphs = stash(points.groupBy("size", "shard").applyInArrow(_build, _SHARD), "graphs")
+    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.select("vec_id", "size", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"))
-    found = points.unionByName(asked).groupBy("size", "shard", "block").applyInArrow(_shards(k), "query_id long, vec_id long, score double")
+    found = graphs.unionByName(asked, allowMissingColumns=True).groupBy("size", "shard", "block").applyInArrow(_search(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

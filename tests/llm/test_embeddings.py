@@ -87,7 +87,7 @@ def test_ann_query_recall_and_scores(spark):
 def test_graph_search_recall():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 24))
-    a, b, _ = A.search_shard(np.arange(3000), x, np.arange(0, 3000, 60), x[::60])
+    a, b, _ = A.search_shard(A.build_shard(np.arange(3000), x), np.arange(0, 3000, 60), x[::60])
     hit = 0
     for q in range(0, 3000, 60):
         s = x @ x[q]
