@@ -35,11 +35,12 @@ _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(2
 
 def pack(ids: list[int], counts: np.ndarray, tokens: np.ndarray) -> bytes:
     """One block: document ids, tokens of each, and all token ids."""
-    used, inverse, freq = np.unique(tokens, return_inverse=True, return_counts=True)
-    order = np.argsort(-freq, kind="stable")
-    rank = np.empty(len(used), dtype=np.uint32)
-    rank[order] = np.arange(len(used), dtype=np.uint32)
-    codes = rank[inverse]
+    freq = np.bincount(tokens)  # as long as the vocabulary
+    used = np.flatnonzero(freq)
+    order = np.argsort(-freq[used], kind="stable")
+    rank = np.zeros(len(freq), dtype=np.uint32)
+    rank[used[order]] = np.arange(len(used), dtype=np.uint32)
+    codes = rank[tokens]
     lengths = 1 + (codes > 0xFF).astype(np.uint8) + (codes > 0xFFFF) + (codes > 0xFFFFFF)
     padded = np.zeros(-(-len(codes) // 4) * 4, dtype=np.uint8)
     padded[: len(codes)] = lengths - 1
