@@ -25,6 +25,7 @@ ORACLE_SQL = None
 
 
 def _workers(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)  # texts are long: small batches, small workers
     root = os.path.dirname(os.path.abspath(__file__))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):

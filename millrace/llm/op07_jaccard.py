@@ -35,7 +35,7 @@ THRESHOLD = (75, 100)  # similarity as a fraction
 FREQUENT = 16  # a shingle of this many classes goes last in the order ...
 MOST_FREQUENT = 1 << 18  # ... for so many shingles at most
 LOCAL = 3  # counts below this within one task (or MOST_COUNTED shingles of it) are not reported
-MOST_COUNTED = 1 << 23
+MOST_COUNTED = 1 << 22
 SMALL_GROUP = 4
 HUBS = 2
 LARGE_GROUP = 64  # groups beyond this are compared in blocks of
@@ -98,11 +98,12 @@ def _scan(width: int, threshold):
     names = ["kind", "doc_id", "n", "sig", "prefix", "hash"]
 
     def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
-        token = np.sort(np.concatenate(sets))
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        count = np.diff(np.append(first, len(token)))
-        token, count = token[first[count >= LOCAL]].view(np.int64), count[count >= LOCAL]
-        return _record(names, np.ones(len(token), np.int32), token, count.astype(np.int64), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.int64()))
+        every = np.concatenate(sets)
+        sets.clear()
+        every.sort()
+        token = np.unique(every[LOCAL - 1 :][every[LOCAL - 1 :] == every[: len(every) - LOCAL + 1]])
+        count = np.searchsorted(every, token, side="right") - np.searchsorted(every, token)
+        return _record(names, np.ones(len(token), np.int32), token.view(np.int64), count.astype(np.int64), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.int64()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0

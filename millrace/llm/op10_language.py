@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
-        for batch in batches(it, most=1 << 21):
+        for batch in batches(it, most=1 << 20):
             lang, score = labeller.label(texts(batch))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], names=names)
