@@ -58,7 +58,7 @@ def m11_summary_trigger(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(((n >= 20) & (n - 12 >= 12)).alias("due"), F.greatest(F.lit(0), n - 12 - 1).cast("long").alias("covers"))
 
 
-@query()
+@query("SELECT user_id, count(*) FILTER (ms <= first + 172800000) AS kept, count(*) FILTER (ms > first + 172800000) AS late FROM (SELECT user_id, epoch_ms(ts) AS ms, min(epoch_ms(ts)) OVER (PARTITION BY user_id) AS first FROM events) GROUP BY 1")
 def m06_late_drop(spark, sf_dir):
     """Events against a two-day deadline after their user's first: late ones are dropped, the rest counted."""
     return jobs.deadlines(spark, table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), 2 * 86_400_000)

@@ -185,3 +185,15 @@ def test_sources(spark, tmp_path):
         (tmp_path / "files" / name).write_text(name)
     known = spark.createDataFrame([("a.MD",)], "name string")
     assert rows(tables.list_files(spark, f"file://{tmp_path}/files", known=known), "name") == [("b.txt",)]
+
+
+def test_stratified_sample_keeps_a_stratum_and_repeats(spark):
+    from millrace.plans import conversation
+    from tests.conftest import SMALL
+
+    events = {r.event_id: r.event_type for r in spark.read.parquet(f"{SMALL}/events.parquet").collect()}
+    found = sorted(r.event_id for r in conversation.f16_stratified_sample(spark, SMALL).collect())
+    errors = sorted(i for i, t in events.items() if t == "error")
+    assert [i for i in found if events[i] == "error"] == errors
+    assert len(found) == len(set(found)) == len(errors) + min(200, len(events) - len(errors))
+    assert found == sorted(r.event_id for r in conversation.f16_stratified_sample(spark, SMALL).collect())
