@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.retrieval import top
-
-POOL = 48  # candidates a query that a selection looks at: three for each of sixteen places
-
 
 def components(rows: DataFrame, parts: dict[str, Column]) -> DataFrame:
     """Adds `parts` (a struct of the components) and `score`, their sum in the order given."""
@@ -34,12 +30,17 @@ def _greedy(k: int, penalty: float):
     return run
 
 
-def diverse(scored: DataFrame, k: int, penalty: float = 0.12, pool: int = POOL) -> DataFrame:
+def diverse(scored: DataFrame, k: int, penalty: float = 0.12) -> DataFrame:
     """(query_id, id, rank, score): repeatedly the best of (query_id, id, group_id, score), a group already chosen costing a penalty.
 
-    Each pick depends on those before, so a query's best `pool` candidates, found by a window first, meet in one group
-    of that bounded size. Ties go to the smaller id; a null group never costs anything.
+    Each pick depends on those before, so a query's candidates meet in one group of at most k * k + k rows that holds
+    every possible pick: k picks open at most k groups, in the order of their best rows, and take at most the k best
+    rows of each and of the rows without a group. Ties go to the smaller id; a null group never costs anything.
     """
-    best = top(scored, max(k, pool), F.desc("score"), F.asc("id")).drop("rank")
     kind = dict(scored.dtypes)
-    return best.select("query_id", "id", "group_id", F.col("score").cast("double").alias("score")).groupBy("query_id").applyInPandas(_greedy(k, penalty), f"query_id {kind['query_id']}, id {kind['id']}, rank long, score double")
+    own = scored.select("query_id", "id", "group_id", F.col("score").cast("double").alias("score"))
+    w = Window.partitionBy("query_id", "group_id").orderBy(F.desc("score"), F.asc("id"))
+    best = own.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).withColumn("_first", F.first(F.struct("score", "id")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of = Window.partitionBy("query_id", F.col("group_id").isNull()).orderBy(F.desc("_first.score"), F.asc("_first.id"), F.asc("group_id"))
+    pool = best.withColumn("_place", F.dense_rank().over(of)).where(F.col("_place") <= k)
+    return pool.select("query_id", "id", "group_id", "score").groupBy("query_id").applyInPandas(_greedy(k, penalty), f"query_id {kind['query_id']}, id {kind['id']}, rank long, score double")

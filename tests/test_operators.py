@@ -197,3 +197,25 @@ def test_stratified_sample_keeps_a_stratum_and_repeats(spark):
     assert [i for i in found if events[i] == "error"] == errors
     assert len(found) == len(set(found)) == len(errors) + min(200, len(events) - len(errors))
     assert found == sorted(r.event_id for r in conversation.f16_stratified_sample(spark, SMALL).collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_diverse_selection_is_greedy_over_all_rows(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    hot = [(1, i, "hot", 1.0) for i in range(60)]  # more than any fixed pool of the smallest ids
+    rest = [(1, 100 + i, r.choice(["a", "b", "c", None]), r.choice([1.0, 0.95, 0.9, 0.85])) for i in range(40)]
+    many = [(2, i, r.choice([*"abcdefghijklmnop", None]), r.choice([1.0, 0.9, 0.75, 0.5])) for i in range(200)]
+    data = hot + rest + many
+    want = []
+    for q in (1, 2):
+        left, groups = [x for x in data if x[0] == q], set()
+        for n in range(1, 11):
+            cost = lambda x: x[3] - 0.1 * (x[2] in groups)
+            best = min(left, key=lambda x: (-cost(x), x[1]))
+            want.append((q, n, best[1], cost(best)))
+            left.remove(best)
+            groups |= {best[2]} - {None}
+    s = spark.createDataFrame(data, "query_id long, id long, group_id string, score double")
+    assert rows(rank.diverse(s, 10, 0.1), "query_id", "rank", "id", "score") == want
