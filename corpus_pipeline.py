@@ -40,14 +40,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id; rows without an id stay too."""
+    """One document of each group of near duplicates stays, the one with the smallest id; rows without an id stay too.
+
+    A document is an id with a text: copies of both are one, and an id that comes with several texts is as many
+    documents, each of which stays or goes with its own group. Among those of one id in one group, the smallest hash of
+    id and text stays.
+    """
     _workers(spark)
-    found = op07_jaccard.jaccard_components(docs.where(F.col("doc_id").isNotNull()))
-    kept = stash(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    known = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
-    if kept.where("rows > 1").limit(1).count():
-        known = known.dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    own, digest = docs.where(F.col("doc_id").isNotNull()), F.xxhash64("text")
+    several = own.groupBy("doc_id").agg((F.min(digest) < F.max(digest)).alias("several")).where("several").limit(1).count()
+    own = own.withColumn("_key", F.xxhash64("doc_id", "text") if several else F.col("doc_id"))
+    found = op07_jaccard.jaccard_components(own.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
+    if several:
+        named = found.join(own.select("_key", "doc_id").distinct(), "_key")
+        first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
+        known = own.join(stash(first, "kept"), "_key", "left_semi").dropDuplicates(["_key"])
+    else:
+        kept = stash(found.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("rows")), "kept")
+        known = own.join(kept.select("_key"), "_key", "left_semi")
+        if kept.where("rows > 1").limit(1).count():
+            known = known.dropDuplicates(["_key"])
+    return known.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,13 @@ def test_stages_survive_odd_and_empty_tables(spark, odd, empty):
         out = stage(spark, odd, SMALL)
         assert out.count() >= 1 or name == "identify_language"
         assert stage(spark, empty, SMALL).count() == 0
+
+
+def test_an_id_with_two_texts_is_two_documents(spark, empty):
+    text = lambda n: " ".join(f"{n}word{i}" for i in range(60))
+    a, b, c, d = map(text, "abcd")
+    near = a.rsplit(" ", 1)[0]
+    rows = [(1, a), (1, b), (1, a), (2, near), (0, b), (5, c), (5, d), (6, d), (7, "short"), (7, ""), (8, None), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), None, None) for i, t in rows], empty.schema)
+    found = [(r.doc_id, r.text) for r in P.join_near_duplicates(spark, docs, SMALL).collect()]
+    assert Counter(found) == Counter([(1, a), (0, b), (5, c), (5, d), (7, "short"), (7, ""), (8, None), (None, b)])
