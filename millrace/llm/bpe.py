@@ -1,10 +1,12 @@
-"""Byte-level BPE over whole texts with the tokenizers library, one call per distinct word of text.
+"""Byte-level BPE over whole texts with the tokenizers library, one call for each distinct piece of text.
 
 A boundary before a single space between two visible characters is always a boundary of the tokenizer's pieces, so
-texts fall into units (a space and what follows it) that encode alone as they do in context. Each worker remembers the
-ids of units it has seen (2 * MEMO of them at most: when one generation is full, the one before it goes). New units go
-to the library many to a string, and the ids are cut apart where a token begins with a space: only a unit's first one
-does. Texts where a space stands between other white space, or that spell an added token, go to the library whole.
+texts fall into units (a space and what follows it) that encode alone as they do in context. Arrow splits the texts of
+a batch at spaces and numbers their distinct units, so Python looks at each distinct unit of a batch once, and ids are
+gathered by number. Each worker remembers units it has seen (2 * MEMO at most: when one generation is full, the one
+before it goes). New units go to the library many to a string, and the ids are cut apart where a token begins with a
+space: only a unit's first one does. Texts where a space stands between other white space, or that spell an added
+token, go to the library whole.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO = 300_000
 TOGETHER = 256  # new units in one string
@@ -55,6 +59,7 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}  # units that no space stands before
         letters = byte_of_letter()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.pieces = [b""] * (max(vocabulary.values()) + 1)
@@ -67,51 +72,72 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remembers the ids of words after a space."""
-        plain, odd = [], []
-        for w in words:
-            (plain if w.split() == [w] else odd).append(w)  # no white space of any kind inside, and not empty
-        for at in range(0, len(plain), 64 * TOGETHER):
-            blocks = [plain[k : k + TOGETHER] for k in range(at, min(at + 64 * TOGETHER, len(plain)), TOGETHER)]
-            for block, ids in zip(blocks, self._whole([" " + " ".join(b) for b in blocks])):
-                flat = np.frombuffer(ids, dtype="<u4")
-                edges = [*np.flatnonzero(self.spaced[flat]).tolist(), len(flat)]
-                if len(edges) != len(block) + 1 or edges[0] != 0:
-                    odd += block
-                    continue
-                self.memo.update((w, ids[4 * a : 4 * b]) for w, a, b in zip(block, edges, edges[1:]))
+    def _learn(self, units: list[str]) -> None:
+        """Remembers the ids of units after a space."""
+        joined, odd = [], []
+        for u in units:
+            (joined if u and u.strip() == u else odd).append(u)
+        blocks = [joined[k : k + TOGETHER] for k in range(0, len(joined), TOGETHER)]
+        for block, ids in zip(blocks, self._whole([" " + " ".join(b) for b in blocks])):
+            edges = [*(4 * np.flatnonzero(self.spaced[np.frombuffer(ids, dtype="<u4")])).tolist(), len(ids)]
+            if len(edges) == len(block) + 1 and edges[0] == 0:
+                self.memo.update(zip(block, [ids[a:b] for a, b in zip(edges, edges[1:])]))
+            else:
+                odd += block
         if odd:
-            self.memo.update(zip(odd, self._whole([" " + w for w in odd])))
+            self.memo.update(zip(odd, self._whole([" " + u for u in odd])))
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of units after a space."""
+        if len(self.memo) > MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        out = [*map(memo.get, units)]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        if older:
+            memo.update((units[i], older[units[i]]) for i in new if units[i] in older)
+        self._learn([units[i] for i in new if units[i] not in memo])
+        for i in new:
+            out[i] = memo[units[i]]
+        return out
+
+    def _heads(self, units: list[str]) -> list[bytes]:
+        """The ids of units that begin a text."""
+        if len(self.firsts) > MEMO // 4:
+            self.firsts = {}
+        new = [u for u in units if u not in self.firsts]
+        self.firsts.update(zip(new, self._whole(new)))
+        return [*map(self.firsts.__getitem__, units)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo, self.older = {}, self.memo
-        whole, units = [], {}
-        for i, text in enumerate(texts):
-            if _APART.search(text) or any(a in text for a in self.added):
-                whole.append(i)
-            elif text:
-                units[i] = text.split(" ")
+        whole = [i for i, t in enumerate(texts) if _APART.search(t) or any(a in t for a in self.added)]
         out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]) if whole else []):
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
             out[i] = ids
-        firsts = {own[0] for own in units.values()}
-        heads = dict(zip(firsts, self._whole(list(firsts))))
-        rest = {i: own[1:] for i, own in units.items()}
-        new = set().union(*rest.values()).difference(self.memo)
-        if new and self.older:
-            known = [w for w in new if w in self.older]
-            self.memo.update((w, self.older[w]) for w in known)
-            new.difference_update(known)
-        if new:
-            self._learn([*new])
-        find = self.memo.__getitem__
-        for i, own in rest.items():
-            out[i] = heads[units[i][0]] + b"".join(map(find, own))
+        apart = {*whole}
+        rest = [i for i, t in enumerate(texts) if t and i not in apart]
+        if not rest:
+            return out
+        split = pc.split_pattern(pa.array([texts[i] for i in rest], pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        units, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        heads, where = np.unique(at[offsets[:-1]], return_inverse=True)  # no space stands before a text's first unit
+        found = self._units(units) + self._heads([units[h] for h in heads.tolist()])
+        at[offsets[:-1]] = len(units) + where
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+        start = (np.cumsum(size) - size)[at]
+        size = size[at]
+        ends = np.cumsum(size)
+        ids = np.frombuffer(b"".join(found), dtype="<u4")[np.arange(ends[-1]) + np.repeat(start - ends + size, size)]
+        edges = 4 * ends[offsets[1:] - 1]
+        flat, low = ids.tobytes(), 0
+        for i, high in zip(rest, edges.tolist()):
+            out[i] = flat[low:high]
+            low = high
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -8,10 +8,15 @@ looks up each control byte's four lengths in a table and gathers all ranks of a
 File layout of a block, all numbers little-endian: magic `MRT1`, uint32 documents, uint32 tokens, uint32 distinct
 ids; uint64 ids of the documents; uint32 tokens of each; uint32 ids by rank; control bytes; data bytes.
 
-Blocks of about BLOCK tokens are rows (bucket, seq, payload, crc32, n_tokens) of a Parquet table, so that Spark's
-committer makes the write survive lost executors; bucket and seq order them. Buckets are ranges of document ids cut
-at quantiles of the ids alone, so no text is read to find them. A null id sorts first; repeated ids keep a
-defined order (by text). Null and empty texts have the end id only. Other columns are not read.
+Blocks of about BLOCK tokens are rows (part, seq, first, ...) of a Parquet table whose binary column holds the blocks as
+laid out above, so that Spark's committer makes the write survive lost executors; part and seq order them. Texts are
+ranged by document id, and by the text's hash where ids tie; each task encodes its range and writes its blocks in the
+same pass, so texts are shuffled once and ids never. A reader adds up the tokens of each part, at most one row for each
+shuffle partition, and broadcasts where parts start.
+
+A null id sorts first; repeated ids keep a defined order (by the text's hash, then the text). Null and empty texts have
+the end id only, and an empty table gives no rows. Repeated rows give one result each. A text is encoded by one task,
+whatever its length up to Arrow's 2 GB. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,46 +80,34 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, counts, table_[ranks]
 
 
-def _encode(path: str | None, bounds: np.ndarray):
-    """Rows (bucket, doc_id, hash, tokens): the ids of each document with the end id, as uint16 or uint32 bytes."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
-        small = len(encoder.pieces) <= 1 << 16
-        for batch in batches(it):
-            own = texts(batch)
-            coded = [np.frombuffer(b, dtype="<u4") for b in encoder.encode_batch(own)]
-            coded = [np.append(c, np.uint32(END)).astype("<u2" if small else "<u4").tobytes() for c in coded]
-            doc = batch.column(0)
-            bucket = np.searchsorted(bounds, doc.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-            order = [zlib.crc32(t.encode("utf-8", "replace")) for t in own]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), doc, pa.array(order, pa.int64()), pa.array(coded, pa.binary())], names=["bucket", "doc_id", "hash", "tokens"])
-
-    return run
+_BLOCK = "part int, seq int, first long, first_null int, payload binary, crc32 long, n_tokens long"
+_KINDS = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
 
 
 def _write(path: str | None):
-    """From rows sorted by bucket and document: blocks in order."""
-    names = ["bucket", "seq", "first_null", "payload", "crc32", "n_tokens"]
+    """From the documents (doc_id, text) of a range in order: blocks in order."""
+    names = [x.split()[0] for x in _BLOCK.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if len(Encoder.of(path).pieces) <= 1 << 16 else "<u4"
-        bucket, seq, ids, held, size = None, 0, [], [], 0
+        encoder, part = Encoder.of(path), TaskContext.get().partitionId()
+        seq, first, size = 0, 0, 0
+        ids, held = [], []
 
         def block() -> pa.RecordBatch:
-            payload = pack([i or 0 for i in ids], np.array([len(t) for t in held]), np.concatenate(held).astype(np.uint32))
-            row = (bucket, seq, sum(i is None for i in ids), payload, zlib.crc32(payload), size)
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=names)
+            tokens = np.frombuffer(b"".join(held), dtype="<u4")
+            payload = pack([i or 0 for i in ids], np.array([len(t) // 4 for t in held]), tokens)
+            row = (part, seq, first, sum(i is None for i in ids), payload, zlib.crc32(payload), len(tokens))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS)], names=names)
 
-        for batch in it:
-            for b, i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
-                if held and (b != bucket or size >= BLOCK):
+        end = np.array([END], dtype="<u4").tobytes()
+        for batch in batches(it):
+            for i, raw in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts(batch))):
+                if size >= BLOCK:
                     yield block()
-                    seq, ids, held, size = (seq + 1 if b == bucket else 0), [], [], 0
-                bucket = b
+                    seq, first, ids, held, size = seq + 1, first + size, [], [], 0
                 ids.append(i)
-                held.append(np.frombuffer(raw, dtype=kind))
-                size += len(held[-1])
+                held.append(raw + end)
+                size += len(raw) // 4 + 1
         if held:
             yield block()
 
@@ -122,13 +116,10 @@ def _write(path: str | None):
 
 def write_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the blocks of docs (doc_id, text) in the shared folder and returns the table read back."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = docs.agg(F.percentile_approx("doc_id", [k / (4 * parts) for k in range(1, 4 * parts)], 10000)).head()[0] or []
-    bounds = np.unique(np.array(cut, dtype=np.int64))
-    rows = docs.select("doc_id", "text").mapInArrow(_encode(path, bounds), "bucket int, doc_id long, hash long, tokens binary")
-    rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "hash")
-    return stash(rows.mapInArrow(_write(path), "bucket int, seq int, first_null int, payload binary, crc32 long, n_tokens long"), "token-blocks")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).repartitionByRange(parts, *order)
+    return stash(ranged.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(_write(path), _BLOCK), "token-blocks")
 
 
 def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +136,11 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(blocks: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the blocks.
-
-    A block starts after all blocks of smaller buckets (a sum over a few rows for each bucket) and those before it in
-    its own bucket.
-    """
-    sums = blocks.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = blocks.select("bucket", "seq", "n_tokens").withColumn("own", own).join(sums.withColumn("before", before).select("bucket", "before"), "bucket").select("bucket", "seq", (F.col("own") + F.col("before")).alias("first"))
-    rows = blocks.join(places, ["bucket", "seq"]).select("first", "first_null", "payload", "crc32")
+    """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the blocks."""
+    sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("part", before.alias("start"))  # a row for each shuffle partition of the writer
+    rows = blocks.join(F.broadcast(starts), "part").select((F.col("start") + F.col("first")).alias("first"), "first_null", "payload", "crc32")
     return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
