@@ -7,9 +7,14 @@ inside it, so around each join the stretch from the last safe point before it to
 again, and widened until the kept ids on both sides end exactly at the stretch's edges. The ids then equal those of
 the tokenizers library for the whole text, and decoding gives its decode(ids, skip_special_tokens=False).
 
-The set of repeated chunks reaches the tasks as a Bloom filter of fixed size: a false positive costs one needless
-trip of a chunk, nothing else. Chunks are matched by hash and then by their bytes. Null and empty texts give no
-ids. Repeated rows give repeated results; other columns of the input are not read.
+Equal texts of one batch are one text until the end. The set of repeated chunks reaches the tasks as a Bloom filter of
+fixed size: a false positive costs one needless trip of a chunk, nothing else. Chunks are matched by hash and then by
+their bytes. A chunk with more than HOT holders, and more than one in MOST_HOT of all, is dealt into parts that are
+encoded once each, so no task serves all holders of a license line; at most MOST_HOT chunks are that frequent.
+
+Null and empty texts give no ids, an empty table an empty result. Repeated rows, and rows with equal ids, give one
+result each. Texts may be as long as Arrow's batches allow (2 GB); one text is encoded by one task. Other columns of the
+input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +32,12 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import Encoder
 from millrace.llm.common import batches, stash, table
 from millrace.llm.op07_jaccard import bloom, in_bloom
-from millrace.llm.shingles import column_bytes, mix
+from millrace.llm.shingles import mix
 
 WINDOW_STEPS = 5  # 2**5 bytes
 MASK = np.uint64((1 << 11) - 1)  # a cut every 2 KiB on average
 LEAST = 256  # a chunk shorter than this is joined to the one before
+HOT, MOST_HOT = 10_000, 1 << 16
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _P = np.uint64(0xD6E8FEB86659FD93)
 _VISIBLE = np.zeros(256, dtype=bool)
@@ -132,61 +138,94 @@ def _hash(b: bytes) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(b)).astype(np.int64))
 
 
-def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
-    data, offsets = column_bytes(batch.column(batch.schema.get_field_index("text")))
-    return [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+def _texts(batch: pa.RecordBatch) -> dict[bytes, list[int]]:
+    """The distinct texts of a batch with the rows that hold each."""
+    out: dict[bytes, list[int]] = {}
+    for i, raw in enumerate(batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()):
+        out.setdefault(raw or b"", []).append(i)
+    return out
+
+
+def _chunked(docs: dict[bytes, list[int]]) -> tuple[list[list[int]], list[list[int]]]:
+    """The edges and the hashes of each text's chunks."""
+    edges = [chunks(np.frombuffer(d, dtype=np.uint8)).tolist() for d in docs]
+    return edges, [[_hash(d[a:b]) for a, b in zip(e, e[1:]) if b > a] for d, e in zip(docs, edges)]
 
 
 def _chunk_hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(it):
-        found: list[int] = []
-        for data in _texts(batch):
-            edges, text = chunks(data).tolist(), data.tobytes()
-            found += [_hash(text[a:b]) for a, b in zip(edges, edges[1:]) if b > a]
+        found = [h for hashes in _chunked(_texts(batch))[1] for h in hashes]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
 
-#: Rows between the passes. kind 0: finished (doc_id, n, named, back); 1: a waiting text (doc_id, row, body);
-#: 2: a repeated chunk (h, body) with the rows and places that hold it.
-_ROWS = "kind int, doc_id long, row long, h long, body binary, n long, named string, back string, rows array<long>, places array<int>"
-_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+def _hits(hashes: list[list[int]], flat: np.ndarray) -> list[list[int]]:
+    """The places of each text's chunks that the filter may hold."""
+    hit = in_bloom(np.array([h for hs in hashes for h in hs], dtype=np.int64), flat)
+    own = np.cumsum([0, *map(len, hashes)]).tolist()
+    return [np.flatnonzero(hit[a:b]).tolist() for a, b in zip(own, own[1:])]
+
+
+_DONE = ["doc_id", "ids", "n", "named", "back"]
+
 
+def _finished(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=_DONE)
+
+
+def _alone(path: str | None, repeated, keep_ids: bool):
+    """Finished rows of the texts without a repeated chunk."""
 
-def _first_pass(path: str | None, repeated, keep_ids: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, flat = Encoder.of(path), repeated.value
-        row = TaskContext.get().partitionId() << 33
+        encoder = Encoder.of(path)
         for batch in batches(it):
-            rows: list[tuple] = []
             docs = _texts(batch)
-            edges = [chunks(d).tolist() for d in docs]
-            hashes = [[_hash(d[a:b].tobytes()) for a, b in zip(e, e[1:]) if b > a] for d, e in zip(docs, edges)]
-            hit = in_bloom(np.array([h for hs in hashes for h in hs], dtype=np.int64), flat)
-            own = np.cumsum([0] + [len(hs) for hs in hashes])
-            alone = [i for i in range(len(docs)) if not hit[own[i] : own[i + 1]].any()]
-            coded = encoder.encode_batch([docs[i].tobytes().decode() for i in alone])
-            ids_column = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            for i, b in zip(alone, coded):
-                rows.append((0, ids_column[i], None, None, b if keep_ids else None, *_digest(np.frombuffer(b, dtype="<u4"), encoder), None, None))
+            hits = _hits(_chunked(docs)[1], repeated.value)
+            own = [(d, at) for (d, at), hit in zip(docs.items(), hits) if not hit]
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            rows = []
+            for (_, at), b in zip(own, encoder.encode_batch([d.decode() for d, _ in own])):
+                done = (b if keep_ids else None, *_digest(np.frombuffer(b, dtype="<u4"), encoder))
+                rows += [(ids[i], *done) for i in at]
+            yield _finished(rows)
+
+    return run
+
+
+#: kind 1: a waiting text (docs, row, body); 2: a repeated chunk (h, part, body) with the rows and places that hold it.
+_ROWS = "kind int, docs array<long>, row long, h long, part long, body binary, rows array<long>, places array<int>"
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
+_TYPES = [pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+
+def _shared(repeated, hot):
+    """The texts that hold repeated chunks, and these chunks; hot: the number of parts of the most frequent ones by hash."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, turn = TaskContext.get().partitionId() << 33, 0
+        for batch in batches(it):
+            docs, rows = _texts(batch), []
+            edges, hashes = _chunked(docs)
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             held: dict[bytes, tuple[int, list[int], list[int]]] = {}
-            for i in range(len(docs)):
-                if hit[own[i] : own[i + 1]].any():
-                    rows.append((1, ids_column[i], row + i, None, docs[i].tobytes(), None, None, None, None, None))
-                    for k in np.flatnonzero(hit[own[i] : own[i + 1]]).tolist():
-                        body = docs[i][edges[i][k] : edges[i][k + 1]].tobytes()
-                        _, at, places = held.setdefault(body, (hashes[i][k], [], []))
-                        at.append(row + i)
+            for (text, at), e, hs, hit in zip(docs.items(), edges, hashes, _hits(hashes, repeated.value)):
+                if hit:
+                    rows.append((1, [ids[i] for i in at], row, None, None, text, None, None))
+                    for k in hit:
+                        _, holders, places = held.setdefault(text[e[k] : e[k + 1]], (hs[k], [], []))
+                        holders.append(row)
                         places.append(k)
-            rows += [(2, None, None, h, body, None, None, None, at, places) for body, (h, at, places) in held.items()]
-            row += len(docs)
+                    row += 1
+            turn += 1
+            part = (TaskContext.get().partitionId() * 31 + turn) % MOST_HOT
+            rows += [(2, None, None, h, part % hot.value.get(h, 1), body, holders, places) for body, (h, holders, places) in held.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)] if rows else [pa.array([], t) for t in _TYPES], names=_NAMES)
 
     return run
 
 
 def _encode_chunks(path: str | None):
-    """From rows (h, body, rows, places) sorted by h: (row, place, ids) for each holder; each chunk is encoded once."""
+    """From rows (h, body, rows, places) sorted by h: (row, place, ids) for each holder; each chunk of a part is encoded once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
@@ -207,32 +246,34 @@ def _encode_chunks(path: str | None):
 
 
 def _second_pass(path: str | None, keep_ids: bool):
-    """From rows (row, place, doc_id, body) sorted by row and place: a text comes first (place -1), then the ids of its repeated chunks."""
+    """From rows (row, place, docs, body) sorted by row and place: a text comes first (place -1), then the ids of its repeated chunks."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         kind = "<u2" if len(encoder.pieces) <= 1 << 16 else "<u4"
-        names = ["doc_id", "ids", "n", "named", "back"]
 
         def finished(held: list[tuple]) -> pa.RecordBatch:
-            """held: (doc_id, text, ids of its repeated chunks by place)."""
+            """held: (ids of documents, text, token ids of its repeated chunks by place)."""
             texts = [np.frombuffer(text, dtype=np.uint8) for _, text, _ in held]
             edges = [chunks(t) for t in texts]
             rest = [[k for k in range(len(e) - 1) if k not in given] for e, (_, _, given) in zip(edges, held)]
             coded = iter(encoder.encode_batch([h[1][e[k] : e[k + 1]].decode() for h, e, ks in zip(held, edges, rest) for k in ks]))
             ids = [[np.frombuffer(given[k], dtype=kind).astype("<u4") if k in given else np.frombuffer(next(coded), dtype="<u4") for k in range(len(e) - 1)] for e, (_, _, given) in zip(edges, held)]
-            rows = [(h[0], i.tobytes() if keep_ids else None, *_digest(i, encoder)) for h, i in zip(held, assemble_batch(texts, edges, ids, encoder))]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()])], names=names)
+            rows = []
+            for (docs, _, _), own in zip(held, assemble_batch(texts, edges, ids, encoder)):
+                done = (own.tobytes() if keep_ids else None, *_digest(own, encoder))
+                rows += [(d, *done) for d in docs]
+            return _finished(rows)
 
         held: list[tuple] = []
         size = 0
         for batch in batches(it, "body", 1 << 21):
-            for place, i, body in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+            for place, docs, body in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
                 if place < 0:
                     if size >= 1 << 21:
                         yield finished(held)
                         held, size = [], 0
-                    held.append((i, body, {}))
+                    held.append((docs, body, {}))
                     size += len(body)
                 else:
                     held[-1][2][place] = body
@@ -242,6 +283,12 @@ def _second_pass(path: str | None, keep_ids: bool):
     return run
 
 
+def _hot(counts: DataFrame) -> dict[int, int]:
+    """The number of parts of each chunk (h, count) with over HOT holders and over one in MOST_HOT of all: fewer than MOST_HOT."""
+    least = max(HOT, (counts.agg(F.sum("count")).head()[0] or 0) / MOST_HOT)
+    return {h: int(n // least) + 1 for h, n in counts.where(F.col("count") > least).select("h", "count").collect()}
+
+
 def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every row of docs (doc_id, text).
 
@@ -249,17 +296,18 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    repeated = docs.select("text").mapInArrow(_chunk_hashes, "h long").groupBy("h").count().where("count > 1")
+    repeated = stash(docs.select("text").mapInArrow(_chunk_hashes, "h long").groupBy("h").count().where("count > 1"), "repeated")
     flat = spark.sparkContext.broadcast(bloom(repeated, "h"))
-    first = stash(docs.mapInArrow(_first_pass(path, flat, keep_ids), _ROWS), "bpe")
+    hot = spark.sparkContext.broadcast(_hot(repeated))
+    first = stash(docs.mapInArrow(_shared(flat, hot), _ROWS), "bpe")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = first.where("kind = 2").select("h", "body", "rows", "places").repartition(parts, "h").sortWithinPartitions("h")
+    shared = first.where("kind = 2").select("h", "body", "rows", "places", "part").repartition(parts, "h", "part").sortWithinPartitions("h", "part")
     coded = shared.mapInArrow(_encode_chunks(path), "row long, place int, ids binary")
-    waiting = first.where("kind = 1").select("row", F.lit(-1).alias("place"), "doc_id", "body")
-    both = waiting.unionByName(coded.select("row", "place", F.lit(None).cast("long").alias("doc_id"), F.col("ids").alias("body")))
+    waiting = first.where("kind = 1").select("row", F.lit(-1).alias("place"), "docs", "body")
+    both = waiting.unionByName(coded.select("row", "place", F.lit(None).cast("array<long>").alias("docs"), F.col("ids").alias("body")))
     joined = both.repartition(parts, "row").sortWithinPartitions("row", "place")
-    late = joined.mapInArrow(_second_pass(path, keep_ids), "doc_id long, ids binary, n long, named string, back string")
-    out = first.where("kind = 0").select("doc_id", F.col("body").alias("ids"), "n", "named", "back").unionByName(late)
+    done = "doc_id long, ids binary, n long, named string, back string"
+    out = docs.mapInArrow(_alone(path, flat, keep_ids), done).unionByName(joined.mapInArrow(_second_pass(path, keep_ids), done))
     return out.select("doc_id", "ids", F.col("n").alias("n_tokens"), F.col("named").alias("ids_sha256"), F.col("back").alias("decoded_sha256"))
 
 
