@@ -62,6 +62,39 @@ def test_stages_survive_odd_and_empty_tables(spark, odd, empty):
         assert stage(spark, empty, SMALL).count() == 0
 
 
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score string, lang_pred string, copies string, rows string, size string, key string, place string, component_id string, words string"
+
+
+def test_columns_with_an_operator_s_names_pass_through(spark, docs):
+    """score, copies, rows and the like of the input come out of every stage but the last as they went in."""
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, *(f"{n}{r.doc_id}" for n in range(9))) for r in docs.collect()]
+    clashing = spark.createDataFrame(rows, CLASHING)
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, clashing, SMALL)
+        assert out.columns == clashing.columns
+        found = out.collect()
+        assert len(found) > 100
+        assert all(tuple(r)[5:] == tuple(f"{n}{r.doc_id}" for n in range(9)) for r in found)
+        if name != "redact_personal_data":
+            plain = stage(spark, docs, SMALL)
+            assert Counter(tuple(r)[:5] for r in found) == Counter(tuple(r) for r in plain.collect())
+    assert P.encode_tokens(spark, clashing, SMALL).count() == len(rows)
+
+
+def test_copies_of_repeated_rows_are_those_of_the_mix(spark, empty):
+    """Two equal rows with three copies between them give three rows, and rows equal in id and words keep their texts."""
+    text = lambda n, k: " ".join(f"{n}{i}" for i in range(k))
+    rows = [(1, text("a", 9), "s"), (1, text("a", 9), "s"), (1, text("b", 9), "s"), (2, text("c", 40), "s"), (3, text("d", 7), "t"), (None, text("e", 7), None), (None, text("e", 7), None), (5, "", "t")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t), None, None) for i, t, s in rows], empty.schema)
+    found = Counter((r.doc_id, r.source) for r in P.mix_sources(spark, docs, SMALL).collect())
+    want: Counter = Counter()
+    for r in test_mixing.M.mix(docs).collect():
+        want[(r.doc_id, r.source)] += r.copies
+    assert found == +want
+    each = Counter(r.text for r in P.mix_sources(spark, docs, SMALL).collect())
+    assert each[text("a", 9)] <= 4 and all(n <= 2 for t, n in each.items() if t not in (text("a", 9), text("e", 7)))
+
+
 def test_an_id_with_two_texts_is_two_documents(spark, empty):
     text = lambda n: " ".join(f"{n}word{i}" for i in range(60))
     a, b, c, d = map(text, "abcd")
