@@ -1,8 +1,10 @@
 """From raw documents to tokens: identify the language, join near duplicates, redact personal data, mix, encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
-folder and hands the next stage what it reads back. All stages but the last return the columns of documents. Models
-are fitted on a bounded sample of what reaches their stage.
+folder and hands the next stage what it reads back. All stages but the last return the columns of documents, unchanged
+but where a stage says otherwise; columns of any other name, those of an operator's own results included, pass through.
+Models are fitted on a bounded sample of what reaches their stage. An empty table gives an empty table, and texts of
+any length are read whole.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,18 +29,28 @@ ORACLE_SQL = None
 
 
 def _workers(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)  # texts are long: small batches, small workers
     root = os.path.dirname(os.path.abspath(__file__))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
 
 
+def _numbered(docs: DataFrame, *kept: str) -> tuple[DataFrame, list[str]]:
+    """docs with columns c0, c1, .. but for those kept, so that no name clashes with an operator's, and their own names."""
+    return docs.toDF(*[c if c in kept else f"c{i}" for i, c in enumerate(docs.columns)]), docs.columns
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters stay, unchanged; LEAST_SHARE says what little else goes."""
+    """Documents with letters stay, unchanged; LEAST_SHARE says what little else goes.
+
+    Null and empty texts go. Each row is judged by itself: repeated rows stay or go together, and ties between two
+    languages are kept.
+    """
     _workers(spark)
-    found = op10_language.identify(docs, op10_language.learn(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(docs.columns)
+    model = op10_language.learn(docs)
+    plain, names = _numbered(docs, "text")
+    found = op10_language.identify(plain, model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(plain.columns).toDF(*names)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,45 +58,69 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A document is an id with a text: copies of both are one, and an id that comes with several texts is as many
     documents, each of which stays or goes with its own group. Among those of one id in one group, the smallest hash of
-    id and text stays.
+    id and text stays; of rows equal in id and text, the smallest in its other columns. Null and empty texts are near
+    nothing and stay.
     """
     _workers(spark)
-    own, digest = docs.where(F.col("doc_id").isNotNull()), F.xxhash64("text")
-    several = own.groupBy("doc_id").agg((F.min(digest) < F.max(digest)).alias("several")).where("several").limit(1).count()
-    own = own.withColumn("_key", F.xxhash64("doc_id", "text") if several else F.col("doc_id"))
-    found = op07_jaccard.jaccard_components(own.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key")
+    plain, names = _numbered(docs)
+    i, t = (f"c{names.index(c)}" for c in ("doc_id", "text"))
+    own, digest = plain.where(F.col(i).isNotNull()), F.xxhash64(t)
+    several = own.groupBy(i).agg((F.min(digest) < F.max(digest)).alias("several")).where("several").limit(1).count()
+    own = own.withColumn("key", F.xxhash64(i, t) if several else F.col(i))
+    found = op07_jaccard.jaccard_components(own.select(F.col("key").alias("doc_id"), F.col(t).alias("text")))
+    found = found.select(F.col("doc_id").alias("key"), "component_id")
     if several:
-        named = found.join(own.select("_key", "doc_id").distinct(), "_key")
-        first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
-        known = own.join(stash(first, "kept"), "_key", "left_semi").dropDuplicates(["_key"])
+        named = found.join(own.select("key", F.col(i).alias("id")).distinct(), "key")
+        first = named.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+        kept = named.join(first.select(F.col("first.key").alias("key")), "key", "left_semi")
     else:
-        kept = stash(found.where("_key = component_id").groupBy("_key").agg(F.count("*").alias("rows")), "kept")
-        known = own.join(kept.select("_key"), "_key", "left_semi")
-        if kept.where("rows > 1").limit(1).count():
-            known = known.dropDuplicates(["_key"])
-    return known.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+        kept = found.where("key = component_id")
+    kept = stash(kept.groupBy("key").agg(F.count("*").alias("rows")), "kept")
+    known = own.join(kept.select("key"), "key", "left_semi")
+    if kept.where("rows > 1").limit(1).count():
+        order = Window.partitionBy("key").orderBy(*[F.col(c).cast("string") for c in plain.columns if c != t])
+        known = known.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return known.select(plain.columns).unionByName(plain.where(F.col(i).isNull())).toDF(*names)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; spans of personal data give way to their kind, and n_chars follows the text."""
+    """Every document stays; spans of personal data give way to their kind, and n_chars follows the text.
+
+    Null and empty texts stay as they are; repeated rows are redacted alike.
+    """
     _workers(spark)
     redacted = op01_pii.redact(docs, op01_pii.learn(docs))
     return redacted.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, at most twice."""
-    mixed = op02_mixing.mix(docs).where("copies > 0").groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    size = op02_mixing.sized(docs.select("doc_id", "source", "text")).schema["size"].dataType
-    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(op02_mixing.WORD)), F.lit(0)).cast(size))
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), F.col("source").alias("_from"), "copies", "rows")
-    both = own.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")) & F.col("source").eqNullSafe(F.col("_from")))
-    times = F.explode(F.expr("sequence(1, cast(greatest(1, round(copies / rows)) as int))")).alias("_time")
-    return both.select(*docs.columns, times).select(docs.columns)
+    """Each document as often as the mix takes it, at most twice.
+
+    Texts without a word (null and empty ones) are taken never. Rows that are equal in id, source and words are
+    documents of their own; their copies are dealt among them in the order of their texts.
+    """
+    _workers(spark)
+    plain, names = _numbered(docs)
+    i, t, s = (f"c{names.index(c)}" for c in ("doc_id", "text", "source"))
+    words = F.coalesce(F.regexp_count(t, F.lit(op02_mixing.WORD)), F.lit(0)).cast("long")
+    mixed = op02_mixing.mix(plain.select(F.col(i).alias("doc_id"), F.col(s).alias("source"), F.col(t).alias("text")))
+    taken = mixed.groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    taken = stash(taken.where("copies > 0"), "taken")
+    own = plain.withColumn("words", words)
+    both = own.join(taken, F.col(i).eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")) & F.col(s).eqNullSafe(F.col("source")))
+    if taken.where("rows > 1").limit(1).count():
+        order = Window.partitionBy("doc_id", "size", "source").orderBy(F.xxhash64(t), *[F.col(c).cast("string") for c in plain.columns])
+        place = F.when(F.col("rows") > 1, F.row_number().over(order) - 1).otherwise(0)
+        dealt = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("place") < F.col("copies") % F.col("rows"), 1).otherwise(0)
+        both = both.withColumn("place", place).withColumn("copies", dealt).where("copies > 0")
+    return both.select(*plain.columns, F.explode(F.expr("sequence(1, cast(copies as int))"))).select(plain.columns).toDF(*names)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256): ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of each row: ids as little-endian unsigned 32-bit integers.
+
+    Null and empty texts have no ids; repeated rows, and rows with equal ids, give one result each.
+    """
     _workers(spark)
     return op09_bpe.encode(docs, keep_ids=True)
 
