@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); unset, as in tests, a temporary one."""
+    """The folder that the cluster shares (spark.checkpoint.dir); unset in a local session, as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -42,6 +44,13 @@ def bounded_sample(rows: DataFrame, n: int, seed: int = 0, key: str = "doc_id")
     return [r[0] for r in picked.collect()]
 
 
+def one_each(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """One row of each key: the one whose `by` has the smallest hash (equal ones: the smallest), the same on every run."""
+    rest = [c for c in rows.columns if c != key]
+    first = F.min(F.struct(F.xxhash64(by).alias("_hash"), *[F.col(c) for c in [by, *[c for c in rest if c != by]]])).alias("_first")
+    return rows.groupBy(key).agg(first).select(*[c if c == key else f"_first.{c}" for c in rows.columns])
+
+
 def batches(it: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Splits Arrow batches so that a text column's bytes stay near `most`; one longer text comes alone."""
     from millrace.llm.shingles import slices

@@ -8,8 +8,15 @@ forms, scripts, styles, comments of readers) are left out of the text, even insi
 zero, so that an advert in the middle of an article does not cut it in two.
 
 Inside the region, block elements part the text into blocks; character references are decoded, white space inside
-a block becomes one space, and blocks are joined by an empty line. Null and empty pages give an empty text.
-Unclosed and stray tags are tolerated. Repeated rows give repeated results; extra columns are not read.
+a block becomes one space, and blocks are joined by an empty line. Paragraphs, list items, table cells and the like end
+where the next one or their parent ends, as their end tags are optional. An element that is left out by its name or class
+but never closed covers what follows up to the next block that is no list, so a missing end tag does not take the article
+with it. Names and classes that may also head a part of an article (header, legal, copyright, notes on sources) count
+only outside a marked article.
+
+Null and empty pages, and pages without text, give an empty text; an empty table gives no rows. Pages of any length are
+read whole; stray tags are skipped. Of equally good regions the first is taken. Repeated rows give repeated results;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,12 +26,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, bounded_sample, table, texts
+from millrace.llm.common import batches, bounded_sample, one_each, table, texts
 
 MAX_TRAINING = 400  # pages
 _TOKEN = re.compile(
@@ -34,53 +42,136 @@ _TOKEN = re.compile(
 )
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _HINT = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_WORD = re.compile(r"\S+")
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("head nav header footer aside form button menu dialog label input option fieldset object audio video canvas map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promo(?:tion|s)?|sidebars?|side|widgets?|comments?|respond|replies|disqus|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|toolbar|pagination|pager|search|skip|copyright|legal|disclaimer|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
+LISTS = frozenset("ul ol li menu dir".split())
+#: Elements whose end tags are optional: what starts beside each ends it, unless one of the last stands between.
+ENDED_BY = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"table", "tr"}),
+    "th": ({"td", "th"}, {"table", "tr"}),
+    "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
+    "tfoot": ({"tbody", "tr", "td", "th"}, {"table"}),
+    "option": ({"option"}, {"select"}),
+}
+OPTIONAL = frozenset("p li dt dd tr td th thead tbody tfoot option".split())
+
+
+def _hint(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+
+
+_NEVER_HINT = _hint(
+    "ads?|adv|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promo(?:tion|s)?|sidebars?|widgets?|comments?|respond|replies|disqus|menus?|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|alerts?|popup|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|pagination|pager"
 )
+_OUTSIDE_HINT = _hint("side|footer|header|masthead|modal|overlay|login|toolbar|search|skip|copyright|legal|disclaimer|complementary|contentinfo")
 _ARTICLE_HINT = re.compile(r"articleBody", re.I)
 
 #: Weights where nothing was labelled: of a word, of a word that is never content, of a tag not named.
 DEFAULT = {"": 1.0, "never": -0.05, "tag": -1.5, "p": -0.3, "br": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "h1": -0.3, "h2": -0.3, "li": -1.0, "a": -2.0}
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
+class _Elements:
+    """The open elements of a page that matter, and the stretches of tokens that excluded and article elements cover."""
+
+    def __init__(self):
+        self.open: list[tuple[str, list | None]] = []
+        self.count: Counter[str] = Counter()
+        self.inline: Counter[str] = Counter()  # elements that neither end others nor cover anything
+        self.stretches: list[list] = []  # [kind, start, end, closed by its own end tag]
+        self.articles = 0
+
+    def _pop(self, at: int, own: str | None) -> None:
+        name, stretch = self.open.pop()
+        self.count[name] -= 1
+        if stretch:
+            stretch[2], stretch[3] = at, name == own or name in OPTIONAL
+            self.articles -= stretch[0] == "article"
+
+    def start(self, name: str, kind: str | None, at: int) -> None:
+        if name in BLOCKS and self.count["p"]:
+            k = len(self.open) - 1
+            while self.open[k][0] != "p" and self.open[k][0] not in BLOCKS:
+                k -= 1
+            if self.open[k][0] == "p":
+                while len(self.open) > k:
+                    self._pop(at, None)
+        ends, within = ENDED_BY.get(name, ((), ()))
+        if any(self.count[e] for e in ends):
+            k = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] in within), -1) + 1
+            k = next((j for j in range(k, len(self.open)) if self.open[j][0] in ends), len(self.open))
+            while len(self.open) > k:
+                self._pop(at, None)
+        if name in BLOCKS or name in NEVER or kind or self.count[name]:
+            stretch = [kind, at, None, False] if kind else None
+            if stretch:
+                self.stretches.append(stretch)
+                self.articles += kind == "article"
+            self.open.append((name, stretch))
+            self.count[name] += 1
+        else:
+            self.inline[name] += 1
+
+    def end(self, name: str, at: int) -> bool:
+        """Whether the end tag ends something."""
+        if self.count[name] > 0:
+            while self.open[-1][0] != name:
+                self._pop(at, None)
+            self._pop(at, name)
+            return True
+        known = self.inline[name] > 0
+        self.inline[name] -= known
+        return known
+
+    def close(self, at: int) -> None:
+        while self.open:
+            self._pop(at, None)
+
+
+def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, value, excluded, in article): kind is "tag", with the name (and a slash) as value, or "text"."""
-    never: list[str] = []
-    article: list[str] = []
+    parts: list[tuple[str, str]] = []
+    elements = _Elements()
     for m in _TOKEN.finditer(page):
         t = m.group()
         if t[0] != "<" or len(t) == 1:
-            yield "text", t, bool(never), bool(article)
-            continue
-        if m.group(1) or t[1] in "!?":
+            parts.append(("text", t))
             continue
-        found = _NAME.match(t)
+        found = None if m.group(1) or t[1] in "!?" else _NAME.match(t)
         if not found:
             continue
         name = found.group(1).lower()
         if t[1] == "/":
-            if never:
-                if name in never:
-                    del never[len(never) - 1 - never[::-1].index(name) :]
-            elif article and name in article:
-                del article[len(article) - 1 - article[::-1].index(name) :]
-            yield "tag", "/" + name, bool(never), bool(article)
+            if elements.end(name, len(parts)):
+                parts.append(("tag", "/" + name))
             continue
-        hints = " ".join(h.strip("\"'") for h in _HINT.findall(t)) if "=" in t else ""
         if name not in VOID and not t.endswith("/>"):
-            if never:
-                if name == never[0] or name in BLOCKS and name not in ("p", "li", "dd", "dt", "tr", "td", "th"):
-                    never.append(name)
-            elif name in NEVER or hints and name not in ("html", "body", "article", "main") and _NEVER_HINT.search(hints):
-                never.append(name)
-            elif article and name == article[0] or name in ("article", "main") or hints and _ARTICLE_HINT.search(hints):
-                article.append(name)
-        yield "tag", name, bool(never), bool(article)
+            hints = " ".join(h.strip("\"'") for h in _HINT.findall(t)) if "=" in t else ""
+            marks = name in ("article", "main") or bool(hints) and bool(_ARTICLE_HINT.search(hints))
+            plain = name not in ("html", "body", "article", "main") and bool(hints)
+            never = name in NEVER and not (name == "header" and elements.articles) or plain and bool(_NEVER_HINT.search(hints))
+            never = never or plain and not elements.articles and not marks and bool(_OUTSIDE_HINT.search(hints))
+            elements.start(name, "never" if never else "article" if marks else None, len(parts))
+        parts.append(("tag", name))
+    elements.close(len(parts))
+    change = {"never": [0] * (len(parts) + 1), "article": [0] * (len(parts) + 1)}
+    for kind, start, end, own in elements.stretches:
+        if kind == "never" and not own:  # no end tag: up to the next block after some text
+            said = False
+            for k in range(start, end):
+                what, value = parts[k]
+                said |= what == "text" and not value.isspace()
+                if said and what == "tag" and value.lstrip("/") in BLOCKS and value.lstrip("/") not in LISTS:
+                    end = k
+                    break
+        change[kind][start] += 1
+        change[kind][end] -= 1
+    never, article = accumulate(change["never"]), accumulate(change["article"])
+    return [(kind, value, n > 0, a > 0) for (kind, value), n, a in zip(parts, never, article)]
 
 
 def learn_weights(pages: list[str]) -> dict[str, float]:
@@ -90,7 +181,7 @@ def learn_weights(pages: list[str]) -> dict[str, float]:
         own, marked = [], False
         for kind, value, never, article in tokens(page):
             marked |= article
-            key, n = ("", len(_WORD.findall(value))) if kind == "text" else (value.lstrip("/"), 1)
+            key, n = ("", len(value.split())) if kind == "text" else (value.lstrip("/"), 1)
             own.append((key, n, article and not never))
         if marked:
             for key, n, content in own:
@@ -124,8 +215,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
         if kind == "tag":
             scores.append(weights.get(value.lstrip("/"), other) * (0.05 if never else 1))
         else:
-            n = value.count(" ") + 1 if not value.isspace() else 0
-            scores.append(n * (never_word if never else word))
+            scores.append(len(value.split()) * (never_word if never else word))
     low, high = best_run(scores)
     blocks, block = [], []
     for kind, value, never in parts[low:high]:
@@ -144,7 +234,7 @@ def extract(page: str, weights: dict[str, float]) -> str:
 
 def learn(pages: DataFrame, most: int = MAX_TRAINING) -> dict[str, float]:
     ids = bounded_sample(pages.where(F.col("html").isNotNull()), most, seed=3, key="page_id")
-    rows = pages.where(F.col("page_id").isin(ids)).select("page_id", "html").dropDuplicates(["page_id"]).orderBy("page_id").collect() if ids else []
+    rows = one_each(pages.where(F.col("page_id").isin(ids)).select("page_id", "html"), "page_id", "html").orderBy("page_id").collect() if ids else []
     return learn_weights([r.html for r in rows if r.html])
 
 

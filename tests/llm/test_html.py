@@ -1,4 +1,8 @@
+import html
 import itertools
+import re
+
+import pytest
 
 import __spark_entry__ as entry
 from millrace.llm import op04_html as H
@@ -45,3 +49,40 @@ def test_odd_pages(spark):
     assert found[(7, "u")].n_chars == 499999
     assert H.main_text(df.limit(0), H.DEFAULT).count() == 0
     assert H.learn(df.limit(0)) == H.DEFAULT
+
+
+def article(page: str) -> str:
+    """The article of a page of the given tables, by cutting it out of the source."""
+    inside = re.search(r"<article>(.*?)(?:</article>|<footer>|\Z)", page, re.S).group(1)
+    inside = re.sub(r"<script.*?</script>|<!--.*?-->", "", inside, flags=re.S)
+    blocks = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|blockquote|table|tr|td)\b[^>]*>", inside)
+    blocks = [html.unescape(re.sub(r"<br>", " ", re.sub(r"</?(?:b|i|a|em|strong|span)\b[^>]*>", "", x))) for x in blocks]
+    return "\n\n".join(filter(None, (" ".join(b.split()) for b in blocks)))
+
+
+MUTATIONS = {
+    "as they are": lambda h: h,
+    "paragraphs never closed": lambda h: h.replace("</p>", ""),
+    "list items never closed": lambda h: h.replace("</li>", ""),
+    "menu never closed": lambda h: h.replace("</nav>", ""),
+    "advert never closed": lambda h: h.replace("</div>", ""),
+    "article never closed": lambda h: h.replace("</article>", ""),
+    "stray end tags": lambda h: h.replace("<p>", "</span></i><p>").replace("<article>", "</section><article>"),
+    "upper case, attributes": lambda h: h.replace("<p>", "<P CLASS='text' data-x=\"a>b\">").replace("</p>", "</P >"),
+}
+
+
+@pytest.mark.parametrize("name", MUTATIONS)
+def test_every_page_equals_its_article(spark, name):
+    pages = [r.html for r in spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/pages.parquet").collect()]
+    weights = H.learn_weights(pages[::2])
+    for page in pages:
+        assert H.extract(MUTATIONS[name](page), weights) == article(page)
+
+
+def test_optional_end_tags_and_classes_inside_an_article():
+    words = lambda n: " ".join(f"word{n}{i}" for i in range(12))
+    page = f'<article><p>{words(1)}<p class="ad">Buy now<p>{words(2)}<section id="legal"><p>{words(3)}</section><header><h2>{words(4)}</h2></header><ul><li>{words(5)}<li class="share">Share this<li>{words(6)}</ul></article>'
+    assert H.extract(page, H.DEFAULT).split("\n\n") == [words(n) for n in (1, 2, 3, 4, 5, 6)]
+    assert H.extract(f"<body><nav><p>Home<p>{words(1)}<p>{words(2)}</body>", H.DEFAULT).split("\n\n") == [words(1), words(2)]
+    assert H.extract(f'<div id="legal"><p>{words(9)}</div><article><p>{words(1)}\n{words(2)}</article>', H.DEFAULT) == words(1) + " " + words(2)
