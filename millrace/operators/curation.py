@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,26 +35,77 @@ def trigrams(text) -> Column:
     return F.when(size >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.substring(plain, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
 
 
-def near_duplicates(rows: DataFrame, id: str, text: str = "text", threshold: float = 0.75, least: int = 12) -> DataFrame:
-    """(a, b, similarity) of different texts of `least` word characters or more whose trigram Jaccard reaches the threshold.
-
-    Equal texts are one class. Classes meet by the rarest part of their trigrams (a prefix in the order of document
-    frequency, as long as the threshold needs), and only those of like length are verified.
+BLOCK = 512  # classes that one product compares with as many
+
+
+def _blocks(classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """classes with `block`, a number of about `block` classes of like size: the sizes of two near ones are in the same band or in neighbouring ones."""
+    banded = classes.withColumn("band", F.floor(F.ln("n") / F.lit(-math.log(threshold)) + 1e-9).cast("long"))
+    counts = banded.groupBy("band").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("long").alias("blocks"))
+    own = banded.join(F.broadcast(counts), "band")  # one row a band: the logarithm of the longest text
+    return own.withColumn("block", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks")
+
+
+def _products(threshold: float):
+    """From the classes (low, high, block, size, id, grams) of two blocks: the pairs that reach the threshold, by products of 0/1 matrices."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        id, block, low = group.column("id").to_numpy(), group.column("block").to_numpy(), group.column("low")[0].as_py()
+        grams = group.column("grams").combine_chunks()
+        n = grams.value_lengths().to_numpy().astype(np.int64)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == group.column("high")[0].as_py())
+        _, column = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(id)), n)
+        place = np.full((2, len(id)), -1)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        shared = np.zeros((len(left), len(right)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            here = slice(*np.searchsorted(column, (at, at + 4096)))
+            x = np.zeros((2, len(id), 4096), dtype=np.float32)[:, : max(len(left), len(right))]
+            for side in (0, 1):
+                r = place[side, row[here]]
+                x[side, r[r >= 0], column[here][r >= 0] - at] = 1
+            shared += x[0, : len(left)] @ x[1, : len(right)].T
+        near = shared / (n[left][:, None] + n[right][None] - shared) >= threshold - 1e-6
+        i, j = np.nonzero(near)
+        both = shared[i, j].astype(np.float64)
+        similarity = both / (n[left][i] + n[right][j] - both)
+        a, b = id[left][i], id[right][j]
+        size = group.column("size").to_numpy().astype(np.float64)
+        p, q = size[left][i], size[right][j]
+        keep = (similarity >= threshold) & (np.minimum(p, q) >= threshold * np.maximum(p, q)) & (a != b) & ((a < b) | (low != group.column("high")[0].as_py()))
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": similarity[keep]})
+
+    return run
+
+
+def near_duplicates(rows: DataFrame, id: str, text: str = "text", threshold: float = 0.75, least: int = 12, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity) of different texts of `least` word characters or more, of lengths within the threshold, whose
+    trigram Jaccard reaches it.
+
+    Equal texts are one class, and ids are long. Classes of like size fall into blocks. A class meets a block only where
+    one of the rarest of its trigrams (a prefix in the order of document frequency, as long as the threshold needs) is in
+    the prefix of a member, so trigrams join classes with blocks, never classes with classes; those that meet are
+    compared as products of 0/1 matrices. Where the texts share one small alphabet of trigrams, most blocks meet, and
+    work grows with the square of the classes of a size.
     """
-    own = rows.select(id, F.regexp_replace(text, r"[^\p{L}\p{N}_]", "").alias("plain")).where(F.length("plain") >= least)
-    classes = own.groupBy("plain").agg(F.min(id).alias("id")).select("id", F.length("plain").alias("size"), trigrams("plain").alias("grams"))
-    each = classes.select("id", "size", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    own = rows.select(F.col(id).cast("long").alias("id"), F.regexp_replace(text, r"[^\p{L}\p{N}_]", "").alias("plain")).where(F.length("plain") >= least)
+    classes = own.groupBy("plain").agg(F.min("id").alias("id")).select("id", F.length("plain").alias("size"), trigrams("plain").alias("grams"))
+    classes = _blocks(classes.withColumn("n", F.size("grams")), threshold, block)
+    each = classes.select("id", "band", "block", "size", "n", F.explode("grams").alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "gram")
-    prefix = each.join(df, "gram").where("df > 1 or n < 4").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    p = prefix.select("gram", F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("n").alias("n_a"))
-    q = prefix.select("gram", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("n").alias("n_b"))
-    like = (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    pairs = p.join(q, "gram").where((F.col("a") < F.col("b")) & like).select("a", "b").distinct()
-    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(classes.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    scored = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    prefix = each.join(df, "gram").withColumn("place", F.row_number().over(order)).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1) & (F.col("df") > 1))
+    held = prefix.groupBy("gram", F.col("block").alias("other"), F.col("band").alias("other_band")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("members"))
+    like = (F.abs(F.col("band") - F.col("other_band")) <= 1) & (F.col("most") >= threshold * F.col("size")) & (F.col("least") * threshold <= F.col("size")) & ((F.col("block") != F.col("other")) | (F.col("members") > 1))
+    meets = prefix.select("id", "gram", "band", "block", "size").join(held, "gram").where(like).select("id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
+    code = lambda g: sum(F.ascii(F.substring(g, k + 1, 1)).cast("long") * (1 << 21 * k) for k in range(3))  # noqa: E731 - three code points of 21 bits
+    coded = classes.select("id", "block", "size", F.transform("grams", code).alias("grams"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be coalesced
+    return meets.join(coded, "id").repartition(parts, "low", "high").groupBy("low", "high").applyInArrow(_products(threshold), "a long, b long, similarity double")
 
 
 def funnel(rows: DataFrame, reason: str) -> DataFrame:

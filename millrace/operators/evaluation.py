@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +32,37 @@ def consistency(judgments: DataFrame, case: str, winner: str) -> DataFrame:
     return g.select(case, F.when(F.col("n") < 2, "incomplete").when(F.size("w") == 1, F.element_at("w", 1)).otherwise("inconsistent").alias("verdict"))
 
 
-def bootstrap(groups: DataFrame, value: str, key: str, rounds: int = 1000, seed: int = 7) -> DataFrame:
-    """(mean, low, high): a cluster bootstrap over group sums and sizes; the resampling is a Poisson weight per group and round.
+def _resampled(rounds: int, seed: int):
+    """From rows (key, s, n): for each round the weighted sums (round, s, n) of a task's groups."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_rows = np.zeros((2, rounds)), False
+        for batch in it:
+            for key, s, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                weight = np.random.Generator(np.random.Philox(key=[key & (1 << 64) - 1, seed])).poisson(1.0, rounds)
+                total += weight * np.array([[s], [n]], dtype=float)
+                any_rows = True
+        if any_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(total[0]), pa.array(total[1])], names=["round", "s", "n"])
+
+    return run
+
+
+def bootstrap(groups: DataFrame, value: str, key: str, rounds: int = 10_000, seed: int = 7) -> DataFrame:
+    """(mean, low, high): a cluster bootstrap over group sums and sizes; the bounds are the values at the places
+    floor(.025 rounds) and ceil(.975 rounds) - 1 of the sorted means, counted from 0.
 
-    Each round is one group of the aggregation, so rounds run in parallel and no group table is collected.
+    Resampling is a Poisson(1) weight for each group and round, drawn from the group's own seed, so each task adds up its
+    groups for all rounds and hands on one row a round; no group table is collected. Drawing exactly as many groups as
+    there are would need every task to see all of them; the two agree as groups become many.
     """
     per = groups.groupBy(key).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = (F.pmod(F.xxhash64(key, "round", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, below, p = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(1, 8):  # the inverse of the Poisson(1) distribution function
-        below += p
-        weight = weight + F.when(u > below, 1).otherwise(0)
-        p /= k
-    each = per.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("w", weight)
-    means = each.groupBy("round").agg((F.sum(F.col("w") * F.col("s")) / F.greatest(F.lit(1), F.sum(F.col("w") * F.col("n")))).alias("m"))
-    spread = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    sent = per.select(F.xxhash64(key).alias("k"), F.col("s").cast("double"), F.col("n").cast("double"))
+    drawn = sent.mapInArrow(_resampled(rounds, seed), "round long, s double, n double").groupBy("round").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    means = drawn.select(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("m"))
+    low, high = math.floor(0.025 * rounds), math.ceil(0.975 * rounds) - 1
+    listed = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # one number a round
+    spread = listed.select(F.get("m", F.lit(low)).alias("low"), F.get("m", F.lit(high)).alias("high"))
     return per.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(spread)
 
 

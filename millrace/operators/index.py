@@ -1,11 +1,24 @@
-"""Inverted index: postings, corpus statistics and document frequencies."""
+"""Inverted index: postings, corpus statistics and document frequencies, computed at once or stored for later searches.
+
+A stored index is a folder of Parquet: `postings` (id, token, tf, token_count) in partitions by a hash of the token, so a
+search reads the partitions of its tokens only, and `statistics`, one row (n, avg_len). An index is immutable: it is
+written under a new name and found by the digest of what it was built from, so a changed corpus gets another index.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import uuid
+from typing import NamedTuple
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens
+from millrace.sources.tables import shared_dir
+
+BUCKETS = 64  # partitions of the postings; a parameter of a stored index
 
 
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -25,3 +38,62 @@ def statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     """One row (n, avg_len) over all documents, those without a token included; nothing is exploded or shuffled."""
     n = F.size(tokens(text)).cast("long")
     return docs.agg(F.count("*").alias("n"), F.avg(F.coalesce(n, F.lit(0))).alias("avg_len"))
+
+
+class Index(NamedTuple):
+    postings: DataFrame  # (id, token, tf, token_count, bucket)
+    statistics: DataFrame
+    buckets: int
+
+    def find(self, queries: DataFrame) -> DataFrame:
+        """The postings of the queries' (query_id, token) tokens: only their partitions are read."""
+        wanted = queries.select("token", bucket_of("token", self.buckets).alias("bucket")).distinct()
+        return self.postings.join(wanted, ["bucket", "token"], "left_semi").drop("bucket")
+
+
+def bucket_of(token, buckets: int):
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def build(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> None:
+    """Writes the index of docs (id, text) under path. Each task counts within its rows and sorts by token before it writes."""
+    own = docs.select(id, tokens(text).alias("own")).withColumn("token_count", F.size("own").cast("long"))
+    posted = own.select(id, "token_count", F.explode("own").alias("token")).groupBy(id, "token_count", "token").agg(F.count("*").alias("tf"))
+    placed = posted.withColumn("bucket", bucket_of("token", buckets)).repartition(buckets, "bucket").sortWithinPartitions("bucket", "token", id)
+    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    statistics(docs, id, text).write.parquet(f"{path}/statistics")
+
+
+def load(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics"), buckets)
+
+
+def stored(docs: DataFrame, id: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> Index:
+    """The index of docs, a table of files: the one that an earlier search built from the same files, or a new one.
+
+    What identifies the corpus is each file's name, length and time of change. A build is announced when it is whole, so
+    a search never reads one that is half written; of several builds of the same files all are equal, and any serves.
+    """
+    spark = docs.sparkSession
+    files = spark.read.format("binaryFile").load(docs.inputFiles()).select("path", "length", "modificationTime")  # a listing: no content is read
+    listed = sorted((r.path, r.length, str(r.modificationTime)) for r in files.collect())
+    root = f"{shared_dir(spark)}/index/{hashlib.sha256(repr((listed, id, text, buckets)).encode()).hexdigest()[:32]}"
+    ready = spark.read.schema("build string")
+    found = None
+    if (known := _try(lambda: ready.parquet(f"{root}/ready").agg(F.min("build")).head())) is not None:
+        found = known[0]
+    if found is None:
+        found = uuid.uuid4().hex
+        build(docs, f"{root}/{found}", id, text, buckets)
+        spark.createDataFrame([(found,)], "build string").coalesce(1).write.mode("append").parquet(f"{root}/ready")
+    return load(spark, f"{root}/{found}", buckets)
+
+
+def _try(read):
+    """What read() gives, or None where its path does not exist."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import tokens
-from millrace.operators.index import statistics
+from millrace.operators.index import Index, statistics
 
 K1, B = 1.5, 0.75
 RANK_CONSTANT = 60
+MOST_QUERIES = 10_000  # of one broadcast batch
 
 
 def top(scored: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -32,11 +33,16 @@ def query_postings(docs: DataFrame, queries: DataFrame, id: str = "doc_id", text
     return hits.groupBy(id, "token", "token_count").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, id, score, hits, matched, rank): the top k by score, ties to the larger id (to nine places: sums come in any order)."""
-    posted = query_postings(docs, queries, id, text)
+def bm25(docs: DataFrame | Index, queries: DataFrame, k: int, id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score, hits, matched, rank): the top k by score, ties to the larger id (to nine places: sums come in any order).
+
+    docs is a stored index, of which only the partitions of the queries' tokens are read, or a table, which is tokenised.
+    """
+    at_once = not isinstance(docs, Index)
+    posted = query_postings(docs, queries, id, text) if at_once else docs.find(queries)
+    figures = statistics(docs, id, text) if at_once else docs.statistics
     df = posted.groupBy("token").agg(F.count("*").alias("df"))
-    each = posted.join(queries.distinct(), "token").join(df, "token").crossJoin(F.broadcast(statistics(docs, id, text)))
+    each = posted.join(queries.distinct(), "token").join(df, "token").crossJoin(F.broadcast(figures))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.when(F.col("avg_len") > 0, k1 * (1 - b + b * F.col("token_count") / F.col("avg_len"))).otherwise(k1)
     each = each.withColumn("part", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm))
@@ -52,9 +58,11 @@ def dot(a, b) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", metric: str = "dot") -> DataFrame:
     """(query_id, id, score, rank): exact top k of vectors (id, embedding) for queries (query_id, query).
 
-    Each task keeps k rows a query before anything moves. The query batch is broadcast: its size is the caller's, not
-    the corpus's. Vectors of another length than a query's are an error there.
+    Each task keeps k rows a query before anything moves. The query batch is broadcast, so it may hold MOST_QUERIES rows;
+    a caller with more runs several batches. Vectors of another length than a query's are an error there.
     """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in one batch")
     pairs = vectors.crossJoin(F.broadcast(queries))
     same = F.assert_true(F.size("embedding") == F.size("query"), F.lit("vectors of different lengths"))
     score = dot("embedding", "query")

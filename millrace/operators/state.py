@@ -57,3 +57,19 @@ def clamped_sum(rows: DataFrame, key: str, order: str, delta: Column, start: flo
     steps = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), delta.cast("double").alias("d")))).alias("steps"))
     fold = F.aggregate("steps", F.lit(float(start)), lambda a, x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), a + x["d"])))
     return steps.select(key, F.round(fold, 6).alias("value"))
+
+
+def revision_digest(rows: DataFrame, key: str, id: str, digest: str, width: int = 1000, levels: int = 3) -> DataFrame:
+    """(key, revision, n): a tree of digests over a key's rows in the order of ids (long, 0 or more) and then of digests.
+
+    A node of each of the lower levels covers `width` ids or nodes, whatever their number in the table; the top node
+    covers ids / width ** levels nodes. Rows with equal ids are in one node.
+    """
+    at = rows.select(key, F.col(id).alias("_k"), F.col(digest).alias("_h"), F.lit(1).cast("long").alias("_n"))
+    for level in range(levels + 1):
+        node = F.expr(f"_k div {width}") if level < levels else F.lit(0)
+        ordered = F.array_sort(F.collect_list(F.struct("_k", "_h", "_n")))
+        grouped = at.groupBy(key, node.cast("long").alias("_node")).agg(ordered.alias("_x"))
+        n = F.aggregate("_x", F.lit(0).cast("long"), lambda s, x: s + x["_n"])
+        at = grouped.select(key, F.col("_node").alias("_k"), F.sha2(F.array_join(F.transform("_x", lambda x: x["_h"]), "\n"), 256).alias("_h"), n.alias("_n"))
+    return at.select(key, F.col("_h").alias("revision"), F.col("_n").alias("n"))

@@ -66,7 +66,7 @@ def _spans(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", start.alias("start"), (start + 40).alias("end"))
 
 
-@query(f"WITH x AS ({_SPANS}), m AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT key, min(s) AS start, max(e) AS \"end\", count(*) AS n FROM g GROUP BY key, g")
+@query(f"WITH x AS (SELECT key, s, e, count(*) AS n FROM ({_SPANS}) GROUP BY ALL), m AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT key, min(s) AS start, max(e) AS \"end\", sum(n)::BIGINT AS n FROM g GROUP BY key, g")
 def f10_interval_merge(spark, sf_dir):
     return sequence.merge_intervals(_spans(spark, sf_dir).select("key", "start", "end"), "key", "start", "end").select("key", "start", "end", "n")
 
@@ -200,12 +200,14 @@ def j12_delete_by_membership(spark, sf_dir):
     return own.join(own.where("event_type = 'error' and value > 490").select("user_id"), "user_id", "left_anti").select("event_id")
 
 
-@query("SELECT source, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS revision, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query("""WITH a AS (SELECT source, doc_id // 1000 AS k, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id, sha256(text))) AS h, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL),
+b AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h, sum(n) AS n FROM a GROUP BY source, k // 1000),
+c AS (SELECT source, k // 1000 AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h, sum(n) AS n FROM b GROUP BY source, k // 1000)
+SELECT source, sha256(string_agg(h, chr(10) ORDER BY k)) AS revision, sum(n)::BIGINT AS n FROM c GROUP BY 1""")
 def j17_source_revision(spark, sf_dir):
-    """One digest a source over the digests of its texts in order; only digests are gathered."""
+    """One digest a source: of digests of ranges of ids, a thousand to a range, so no task gathers a source's rows."""
     own = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"])
-    return own.groupBy("source").agg(F.sha2(F.array_join(ordered, "\n"), 256).alias("revision"), F.count("*").alias("n"))
+    return state.revision_digest(own, "source", "doc_id", "h")
 
 
 @query("SELECT user_id, arg_max(event_type, {'a': event_type = 'error', 'b': ts, 'c': event_id}) AS decision FROM events GROUP BY 1")

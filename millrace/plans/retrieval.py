@@ -36,7 +36,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents"), terms(spark), k)
+    """Over the stored index of the corpus, which the first search builds."""
+    return retrieval.bm25(index.stored(table(spark, sf_dir, "documents")), terms(spark), k)
 
 
 def near(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
@@ -74,6 +75,12 @@ def d02_two_level_avg(spark, sf_dir):
     return own.agg(F.round(F.avg("token_count"), 6).alias("avg_tokens"), F.max("token_count").alias("most"))
 
 
+@query(f"WITH {TOK}, l AS (SELECT doc_id, sum(tf) AS n FROM post GROUP BY 1) SELECT doc_id, token, tf, n::BIGINT AS token_count FROM post JOIN l USING (doc_id)")
+def j16_index_rebuild(spark, sf_dir):
+    """The postings of a stored index, read back."""
+    return index.stored(table(spark, sf_dir, "documents")).postings.drop("bucket")
+
+
 @query(f"{BM25} SELECT query_id::BIGINT AS query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 40")
 def e01_bm25_top40(spark, sf_dir):
     return _rows(ranked(spark, sf_dir), "query_id", "doc_id", "score", "rank")
@@ -109,14 +116,14 @@ def e06_hybrid_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "source", "lang")
     bm = ranked(spark, sf_dir).select("query_id", F.col("doc_id").alias("item"), F.round("score", 6).alias("bm25_score"))
     de = near(spark, sf_dir).select("query_id", F.col("vec_id").alias("item"), F.round("score", 6).alias("dense_score"))
-    return docs.join(F.broadcast(best), "item", "right").join(bm, ["query_id", "item"], "left").join(de, ["query_id", "item"], "left").select("query_id", "item", "rank", "source", "lang", "bm25_score", "dense_score")
+    return docs.join(best, "item", "right").join(bm, ["query_id", "item"], "left").join(de, ["query_id", "item"], "left").select("query_id", "item", "rank", "source", "lang", "bm25_score", "dense_score")
 
 
 @query(f"{BM25} SELECT query_id::BIGINT AS query_id, doc_id, rank, n_chars, substring(text, 1, 60) AS head FROM bm JOIN documents USING (doc_id) WHERE rank <= 24")
 def e07_hydrate(spark, sf_dir):
     best = ranked(spark, sf_dir, 24).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.substring("text", 1, 60).alias("head"))
-    return docs.join(F.broadcast(best), "doc_id").select("query_id", "doc_id", "rank", "n_chars", "head")
+    return docs.join(best, "doc_id").select("query_id", "doc_id", "rank", "n_chars", "head")
 
 
 @query(f"""{BM25}, c AS (SELECT query_id, doc_id, rank, n_chars FROM bm JOIN documents USING (doc_id) WHERE rank <= 24)
@@ -124,7 +131,7 @@ SELECT query_id::BIGINT AS query_id, doc_id, row_number() OVER (PARTITION BY que
 def e08_rerank(spark, sf_dir):
     """A second score over the candidates (here their length), ties by the first rank."""
     best = ranked(spark, sf_dir, 24).select("query_id", "doc_id", F.col("rank").alias("first_rank"))
-    own = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(F.broadcast(best), "doc_id")
+    own = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(best, "doc_id")
     return retrieval.top(own, 5, F.desc("n_chars"), F.asc("first_rank")).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -132,7 +139,7 @@ def e08_rerank(spark, sf_dir):
 SELECT query_id::BIGINT AS query_id, source, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM s WHERE k = 1""")
 def e11_first_per_group(spark, sf_dir):
     best = ranked(spark, sf_dir).select("query_id", "doc_id", "rank")
-    own = table(spark, sf_dir, "documents").select("doc_id", "source").join(F.broadcast(best), "doc_id")
+    own = table(spark, sf_dir, "documents").select("doc_id", "source").join(best, "doc_id")
     return retrieval.first_per_group(own, "source").select("query_id", "source", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 

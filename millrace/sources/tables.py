@@ -12,9 +12,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); unset, as in tests, a temporary one."""
+    """The folder that the cluster shares (spark.checkpoint.dir); unset in a local session, as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -59,7 +61,8 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 class Generations:
     """Immutable versions of a table with one current pointer: stage, check, publish; a failed build leaves the pointer alone.
 
-    The pointer is itself a small Parquet table of (revision, name) rows; the largest revision is current.
+    The pointer is a small Parquet table of (name, properties) rows, one folder a revision; the largest revision is
+    current. A revision's folder is written only where none exists, so of two publishers of one revision the second fails.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -80,13 +83,13 @@ class Generations:
         if current is not None and current["properties"] != text:
             raise ValueError(f"properties {text} differ from {current['properties']}")
         revision = 1 if current is None else current["revision"] + 1
-        pointer = self.spark.createDataFrame([(revision, name, text)], "revision long, name string, properties string")
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+        pointer = self.spark.createDataFrame([(name, text)], "name string, properties string")
+        pointer.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/pointer/revision={revision}")
         return revision
 
     def _current(self):
         try:
-            rows = self.spark.read.schema("revision long, name string, properties string").parquet(f"{self.root}/pointer")
+            rows = self.spark.read.schema("name string, properties string, revision long").parquet(f"{self.root}/pointer")
             return rows.orderBy(F.desc("revision")).limit(1).first()
         except Exception as e:  # no pointer yet
             if "PATH_NOT_FOUND" in str(e):

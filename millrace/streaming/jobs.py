@@ -58,7 +58,7 @@ def drain(streams: list[DataFrame], mode: str = "append") -> DataFrame:
     return (spark.read.schema(schema) if mode == "append" else spark.read).parquet(f"{path}/out")
 
 
-def exactly_once(spark: SparkSession, rows: DataFrame, id: str, ts: str, schema: str, delay: str = "60 days") -> DataFrame:
+def exactly_once(spark: SparkSession, rows: DataFrame, id: str, ts: str, delay: str = "60 days") -> DataFrame:
     """Each row once; copies without a time meet in the first micro-batch."""
     return drain([s.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id]) for s in replay(spark, rows, ts)])
 
@@ -77,21 +77,15 @@ def tumbling(spark: SparkSession, rows: DataFrame, delay: str = "2 days") -> Dat
     return best.unionByName(untimed).withColumn("total", F.round("total", 6))
 
 
-def _count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, most = state.get if state.exists else (0, None)
-    for rows in parts:
-        n, ids = n + len(rows), rows["event_id"].dropna()
-        if len(ids):
-            most = int(ids.max()) if most is None else max(most, int(ids.max()))
-    state.update((n, most))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "consumed": [most]})
-
-
 def receipts(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(user_id, n, consumed): the running count of receipts, with or without a time, and the furthest one."""
-    schema, kept = "user_id long, n long, consumed long", "n long, consumed long"
-    out = drain([s.groupBy("user_id").applyInPandasWithState(_count, schema, kept, "update", GroupStateTimeout.NoTimeout) for s in replay(spark, rows)], "update")
-    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("consumed").alias("consumed"))
+    """(user_id, n, consumed): the receipts of each user and the furthest one.
+
+    A receipt that comes again, in the same micro-batch or a later one, counts once: copies are dropped by id within the
+    watermark before anything is counted. Receipts without an id cannot be told apart; each counts.
+    """
+    once = exactly_once(spark, rows.where("event_id is not null"), "event_id", "ts")
+    every = once.unionByName(rows.where("event_id is null").withColumn("ts", F.col("ts").cast("timestamp")))
+    return every.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("consumed"))
 
 
 def _deadline(limit_ms: int) -> Callable:
