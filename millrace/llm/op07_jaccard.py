@@ -35,7 +35,8 @@ THRESHOLD = (75, 100)  # similarity as a fraction
 FREQUENT = 16  # a shingle of this many classes goes last in the order ...
 MOST_FREQUENT = 1 << 18  # ... for so many shingles at most
 LOCAL = 3  # counts below this within one task (or MOST_COUNTED shingles of it) are not reported
-MOST_COUNTED = 1 << 22
+MOST_COUNTED = 1 << 21
+TOGETHER = 1 << 20  # bytes of texts that are hashed at once: their arrays take some 40 bytes each
 SMALL_GROUP = 4
 HUBS = 2
 LARGE_GROUP = 64  # groups beyond this are compared in blocks of
@@ -107,7 +108,7 @@ def _scan(width: int, threshold):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
-        for batch in batches(it):
+        for batch in batches(it, most=TOGETHER):
             sets = _sets(batch, width)
             sigs = [signature(s) if len(s) else None for s in sets]
             prefixes = []
@@ -141,7 +142,7 @@ def _order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def _prefixes(width: int, threshold, frequent):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, hot = set(), frequent.value
-        for batch in batches(it):
+        for batch in batches(it, most=TOGETHER):
             tokens, sigs, sizes = [], [], []
             for s in _sets(batch, width):
                 if not len(s) or (g := signature(s)) in seen:
@@ -302,7 +303,7 @@ def _wanted_sets(width: int, wanted):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches(it):
+        for batch in batches(it, most=TOGETHER):
             hit = in_bloom(_text_hashes(batch), wanted.value)
             sets = [s for s in _sets(batch.filter(pa.array(hit)), width) if len(s)] if hit.any() else []
             out = []

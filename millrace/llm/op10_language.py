@@ -30,7 +30,7 @@ from millrace.llm.shingles import mix
 #: Most documents to learn from, hashed feature space, and most word types remembered by one Python worker.
 MAX_TRAINING = 1200
 SPACE = 1 << 15
-MEMO = 150_000
+MEMO = 100_000
 _WORDS = re.compile(r"[^\W\d_]+|[\n\x00]")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
-        for batch in batches(it, most=1 << 20):
+        for batch in batches(it, most=1 << 19):
             lang, score = labeller.label(texts(batch))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score)], names=names)
