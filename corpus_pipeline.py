@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
 folder and hands the next stage what it reads back. All stages but the last return the columns of documents, unchanged
 but where a stage says otherwise; columns of any other name, those of an operator's own results included, pass through.
-Models are fitted on a bounded sample of what reaches their stage. An empty table gives an empty table, and texts of
+The stages lower the session's Arrow batches to MOST_ROWS rows, as texts are long and workers' memory is small, and leave
+it so, because their results are computed later. Models are fitted on a bounded sample of what reaches their stage. An empty table gives an empty table, and texts of
 any length are read whole.
 """
 
@@ -24,11 +25,15 @@ from millrace.llm.common import stash, table  # noqa: E402
 #: four languages the best share is never below 0.25, with three or fewer never below this, so in effect only documents
 #: without letters go; languages that were not learned and evenly mixed texts stay.
 LEAST_SHARE = 0.3
+MOST_ROWS = 2000
 #: SQL has neither a trained field, a network, dependent rounding nor BPE; tests compare run() with plain Python.
 ORACLE_SQL = None
 
 
 def _workers(spark: SparkSession) -> None:
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= MOST_ROWS:
+        spark.conf.set(rows, MOST_ROWS)
     root = os.path.dirname(os.path.abspath(__file__))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
