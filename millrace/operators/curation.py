@@ -111,3 +111,10 @@ def near_duplicates(rows: DataFrame, id: str, text: str = "text", threshold: flo
 def funnel(rows: DataFrame, reason: str) -> DataFrame:
     """(reason, n) with rows that no reason excludes counted as eligible."""
     return rows.groupBy(F.coalesce(F.col(reason), F.lit("eligible")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def replay_audit(spans: DataFrame, sources: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, start, reason) of stored spans (id, start, size, said) that are not what their source holds there, or have none."""
+    both = spans.join(sources.select(id, F.col(text).alias("_text")), id, "left")
+    reason = F.when(F.col("_text").isNull(), "missing").when(F.col("said") != F.substring("_text", F.col("start") + 1, F.col("size")), "changed")
+    return both.select(id, "start", reason.alias("reason")).where("reason is not null")

@@ -73,3 +73,30 @@ def revision_digest(rows: DataFrame, key: str, id: str, digest: str, width: int
         n = F.aggregate("_x", F.lit(0).cast("long"), lambda s, x: s + x["_n"])
         at = grouped.select(key, F.col("_node").alias("_k"), F.sha2(F.array_join(F.transform("_x", lambda x: x["_h"]), "\n"), 256).alias("_h"), n.alias("_n"))
     return at.select(key, F.col("_h").alias("revision"), F.col("_n").alias("n"))
+
+
+def append(turns: DataFrame, asked: DataFrame, key: str, order: str, role: str, roles: tuple[str, ...]) -> DataFrame:
+    """turns with one row a role appended to each asked key, numbered after its last turn, or from 0 where it has none."""
+    last = turns.groupBy(key).agg(F.max(order).alias("_last"))
+    each = asked.join(last, key, "left").select(key, F.coalesce("_last", F.lit(-1)).alias("_last"), F.posexplode(F.array(*[F.lit(r) for r in roles])).alias("_at", role))
+    kind = dict(turns.dtypes)[order]
+    return turns.unionByName(each.select(key, (F.col("_last") + F.col("_at") + 1).cast(kind).alias(order), role))
+
+
+def rate_limit(events: DataFrame, key: str, at: str, window: int, most: int) -> DataFrame:
+    """(key, allowed, refused, windows): an event opens a window where none is open; the first `most` events of each are allowed.
+
+    Where a window opens depends on all before it, so a key's times are folded in order by one task.
+    """
+    times = events.groupBy(key).agg(F.array_sort(F.collect_list(at)).alias("t"))
+    none = F.lit(None).cast("long")
+    zero = F.struct(none.alias("opened"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("allowed"), F.lit(0).cast("long").alias("windows"))
+
+    def step(a: Column, t: Column) -> Column:
+        new = a["opened"].isNull() | (t >= a["opened"] + window)
+        n = F.when(new, F.lit(1).cast("long")).otherwise(a["n"] + 1)
+        one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+        return F.struct(F.when(new, t).otherwise(a["opened"]).alias("opened"), n.alias("n"), (a["allowed"] + one(n <= most)).alias("allowed"), (a["windows"] + one(new)).alias("windows"))
+
+    done = times.select(key, F.size("t").cast("long").alias("all"), F.aggregate("t", zero, step).alias("a"))
+    return done.select(key, "a.allowed", (F.col("all") - F.col("a.allowed")).alias("refused"), "a.windows")

@@ -102,11 +102,11 @@ def f15_trailing_run(spark, sf_dir):
     return own.groupBy("user_id").agg((F.count("*") - F.max(F.when(F.col("value") > 400, F.col("n")).otherwise(0))).alias("quiet"))
 
 
-@query()
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'error' UNION ALL (SELECT event_id, event_type FROM events WHERE event_type <> 'error' ORDER BY sha256('7:' || event_id), event_id LIMIT 200)")
 def f16_stratified_sample(spark, sf_dir):
-    """All error events, and the 200 others with the smallest hashes: the same rows on every run."""
+    """All error events, and the 200 others with the smallest digests of seed and id: the same rows on every run."""
     own = table(spark, sf_dir, "events").select("event_id", "event_type")
-    rest = own.where("event_type <> 'error'").orderBy(F.xxhash64("event_id", F.lit(7)), "event_id").limit(200)
+    rest = own.where("event_type <> 'error'").orderBy(F.sha2(F.concat(F.lit("7:"), F.col("event_id").cast("string")), 256), "event_id").limit(200)
     return own.where("event_type = 'error'").unionByName(rest)
 
 
@@ -230,10 +230,12 @@ def k19_token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate("text").alias("estimate"), F.sha2("text", 256).alias("digest"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{2,}', chr(10), 'g') AS text FROM documents")
+@query(r"WITH a AS (SELECT doc_id, text AS t, regexp_replace(text, '[ \t]+', ' ', 'g') AS u FROM documents), b AS (SELECT *, regexp_replace(u, '\n{2,}', chr(10), 'g') AS v FROM a) SELECT doc_id, v AS text, concat_ws(',', CASE WHEN u <> t THEN 'spaces' END, CASE WHEN v <> u THEN 'lines' END) AS operations FROM b")
 def k08_cleaning(spark, sf_dir):
+    """Cleaned texts with the names of the steps that changed each."""
     steps = (("spaces", r"[ \t]+", " "), ("lines", r"\n{2,}", "\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.cleaned("text", steps)["text"].alias("text"))
+    own = table(spark, sf_dir, "documents").select("doc_id", T.cleaned("text", steps).alias("c"))
+    return own.select("doc_id", "c.text", F.array_join("c.operations", ",").alias("operations"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars <= 32 THEN 'short' WHEN n_chars <= 120 THEN 'medium' ELSE 'long' END AS bucket FROM documents")

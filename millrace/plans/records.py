@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import curation, retrieval
+from millrace.operators import curation, retrieval, state
 from millrace.plans.catalog import query, table
 
 
@@ -161,12 +161,14 @@ def j07_annotations(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(name)), ",").alias("labels"))
 
 
-@query("SELECT conv_id, turn + coalesce(last + 1, 0) AS turn, role FROM conversations LEFT JOIN (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1) USING (conv_id)")
+@query("""WITH l AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY 1), a AS (SELECT conv_id, last FROM l WHERE conv_id % 3 = 0 UNION ALL SELECT conv_id + 100000, -1 FROM l WHERE conv_id % 5 = 0)
+SELECT conv_id, turn, role FROM conversations UNION ALL SELECT conv_id, last + 1, 'user' FROM a UNION ALL SELECT conv_id, last + 2, 'assistant' FROM a""")
 def j08_append(spark, sf_dir):
-    """The turns of a conversation appended to itself: numbered after the last one."""
+    """New exchanges of known and of new conversations: two messages each, numbered after the last one there, or from 0."""
     own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    last = own.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    return own.join(last, "conv_id", "left").select("conv_id", (F.col("turn") + F.coalesce(F.col("last") + 1, F.lit(0))).alias("turn"), "role")
+    asked = own.select("conv_id").distinct()
+    new = asked.where("conv_id % 3 = 0").unionByName(asked.where("conv_id % 5 = 0").select((F.col("conv_id") + 100_000).alias("conv_id")))
+    return state.append(own, new, "conv_id", "turn", "role", ("user", "assistant"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_type LIKE 'PROMO%' THEN 'offer:' || substring(p_type, 7) ELSE p_type END AS kind FROM part")
@@ -254,14 +256,14 @@ def l12_diversity(spark, sf_dir):
     return own.groupBy("source").agg(F.countDistinct("h").alias("texts"), F.count("*").alias("n"), F.round(F.countDistinct("h") / F.count("*"), 6).alias("diversity"))
 
 
-@query("SELECT user_id, count(*) FILTER (n <= 10 AND w = 0)::BIGINT AS allowed, count(*) FILTER (n > 10 OR w > 0)::BIGINT AS later FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 3600000000 AS w FROM events) GROUP BY 1")
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, k, us AS opened, 1 AS n, 1 AS allowed, 1 AS windows FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.k, CASE WHEN e.us >= r.opened + 3600000000 THEN e.us ELSE r.opened END, CASE WHEN e.us >= r.opened + 3600000000 THEN 1 ELSE r.n + 1 END, r.allowed + CASE WHEN e.us >= r.opened + 3600000000 OR r.n < 10 THEN 1 ELSE 0 END, r.windows + CASE WHEN e.us >= r.opened + 3600000000 THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, max(allowed)::BIGINT AS allowed, (max(k) - max(allowed))::BIGINT AS refused, max(windows)::BIGINT AS windows FROM r GROUP BY 1""")
 def m09_rate_limit(spark, sf_dir):
-    """Ten events in the hour that a user's first one opens."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id")
-    own = table(spark, sf_dir, "events").withColumn("us", us).select("user_id", F.row_number().over(w.orderBy("us", "event_id")).alias("n"), (F.col("us") - F.min("us").over(w)).alias("age"))
-    inside = (F.col("n") <= 10) & (F.col("age") < 3_600_000_000)
-    return own.groupBy("user_id").agg(F.sum(F.when(inside, 1).otherwise(0)).alias("allowed"), F.sum(F.when(inside, 0).otherwise(1)).alias("later"))
+    """Ten events in each hour; an event after a window's end opens the next one."""
+    own = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return state.rate_limit(own, "user_id", "us", 3_600_000_000, 10)
 
 
 @query("SELECT user_id, max(event_id) + 1 AS next_id, 'failed' AS status FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'purchase'")
@@ -288,9 +290,13 @@ def p05_top_rendering(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("event_type")), 1, 3), ",").alias("first_types"))
 
 
-@query("SELECT doc_id, sha256(text) = sha256(head || tail) AS intact FROM (SELECT doc_id, text, substring(text, 1, 100) AS head, substring(text, 101) AS tail FROM documents WHERE text IS NOT NULL)")
+@query("""WITH s AS (SELECT doc_id, unnest(range(0, length(text), 500)) AS start, text FROM documents WHERE doc_id % 3 = 0), t AS (SELECT doc_id, start, CASE WHEN doc_id % 29 = 0 THEN substring(text, start + 2, 500) ELSE substring(text, start + 1, 500) END AS said FROM s), d AS (SELECT * FROM documents WHERE doc_id % 23 <> 0)
+SELECT t.doc_id, t.start, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'changed' END AS reason FROM t LEFT JOIN d USING (doc_id) WHERE d.doc_id IS NULL OR said <> substring(d.text, t.start + 1, 500)""")
 def l09_replay_audit(spark, sf_dir):
-    """Stored slices, put together, equal their source."""
-    own = table(spark, sf_dir, "documents").where("text is not null")
-    back = F.concat(F.substring("text", 1, 100), F.expr("substring(text, 101)"))
-    return own.select("doc_id", (F.sha2("text", 256) == F.sha2(back, 256)).alias("intact"))
+    """Stored spans against their sources, some spans shifted and some sources gone: what differs, and why."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    start = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(500)))
+    spans = docs.where("doc_id % 3 = 0 and length(text) > 0").select("doc_id", "text", start.alias("start"))
+    shift = F.when(F.col("doc_id") % 29 == 0, 2).otherwise(1)
+    stored = spans.select("doc_id", "start", F.substring("text", F.col("start") + shift, F.lit(500)).alias("said"), F.lit(500).alias("size"))
+    return curation.replay_audit(stored, docs.where("doc_id % 23 <> 0")).withColumn("start", F.col("start").cast("long"))
\ No newline at end of file

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import catalog, conversation, records, relational, retrieval, streams  # noqa: F401 - each adds its queries
+from millrace.plans import catalog, conversation, records, relational, retrieval, rules, streams  # noqa: F401 - each adds its queries
 
 FLAGSHIP = retrieval.e06_hybrid_search
 

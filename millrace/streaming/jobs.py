@@ -115,3 +115,23 @@ def deadlines(spark: SparkSession, rows: DataFrame, limit_ms: int) -> DataFrame:
     streams = replay(spark, rows)
     out = drain([s.groupBy("user_id").applyInPandasWithState(_deadline(limit_ms), schema, kept, "update", GroupStateTimeout.NoTimeout) for s in streams], "update")
     return out.groupBy("user_id").agg(F.max_by("kept", "batch").alias("kept"), F.max_by("late", "batch").alias("late"))
+
+
+def committed(spark: SparkSession, rows: DataFrame, id: str, effect: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
+    """What effect(rows) gives, once for each id, though rows come again and batches are replayed.
+
+    A batch's effects are written in one folder together with the ids they are for; a later batch passes over ids that
+    any earlier one wrote, and a repeated batch replaces its own folder, so effect and marker stand or fall together.
+    """
+    path = f"{shared_dir(spark)}/committed-{uuid.uuid4().hex}"
+    kind = effect(rows).schema
+    spark.createDataFrame([], kind).write.parquet(f"{path}/out/batch=-1")
+
+    def put(batch: DataFrame, n: int) -> None:
+        done = spark.read.parquet(f"{path}/out").where(F.col("batch") < n).select(id)
+        fresh = batch.dropDuplicates([id]).join(done, id, "left_anti")
+        effect(fresh).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+
+    for stream in replay(spark, rows, ts):
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch")
