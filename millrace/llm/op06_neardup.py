@@ -8,9 +8,14 @@ borders are that near and the products cover most pairs; clustered vectors visit
 and its visitors into blocks of about BLOCK rows, and each block at home meets the other blocks in one matrix product
 in double precision that returns degrees and a spanning forest, never the pairs. Two visitors are never compared.
 
-Vectors whose components are equal are one row until the end, so copies do not multiply the work. Vectors that are
-null, empty or zero, or hold a null or a non-finite component, link with nothing; vectors of different lengths never
-link. Repeated ids count as vectors of their own. The representative of a group is its smallest id.
+Cells hold CELL_ROWS vectors on average, and there are LEAST_CELLS at least where there are as many vectors; at most
+MOST_CELLS, a quarter of the fitting sample, beyond which cells grow and are dealt into more blocks.
+
+Vectors whose components are equal are one row until the end, so copies do not multiply the work; each such class has a
+number of its own, so no hash stands for a vector. Vectors that are null, empty or zero, or hold a null or a non-finite
+component, link with nothing; vectors of different lengths never link. An empty table gives no rows. Repeated ids count
+as vectors of their own. The representative of a group is its smallest id. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from millrace.llm.components import components, forest
 
 THRESHOLD = 0.95
 MAX_TRAINING = 8000
-CELL_ROWS, MOST_CELLS = 4000, 256
+CELL_ROWS, LEAST_CELLS, MOST_CELLS = 4000, 8, MAX_TRAINING // 4
 BLOCK = 8192
 
 
@@ -141,10 +146,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     named = vectors.select("vec_id", F.when(valid(), own).alias("embedding"))
     good = named.where("embedding is not null")
     classes = good.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    classes = stash(classes.withColumn("key", F.xxhash64("embedding", "first")), "classes")
-    sample = classes.orderBy(F.xxhash64("key")).limit(MAX_TRAINING).select("embedding").toArrow().column(0)
+    classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), "classes")
+    sample = classes.orderBy(F.xxhash64("embedding"), "first").limit(MAX_TRAINING).select("embedding").toArrow().column(0)
     rows = classes.count()
-    k = max(1, min(MOST_CELLS, rows // CELL_ROWS))
+    k = max(1, min(MOST_CELLS, max(rows // CELL_ROWS, min(LEAST_CELLS, rows))))
     fitted = {}
     for _, raw in by_size(pa.chunked_array(sample).combine_chunks() if sample.num_chunks != 1 else sample.chunk(0)) if rows else []:
         fitted[raw.shape[1]] = centres(units(raw), min(k, len(raw)))

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one a shard.
 
-Vectors are dealt into shards of about SHARD rows by a hash of their id. In a shard, points are inserted in batches:
+Vectors are dealt into shards of about SHARD rows by a hash of id and vector. In a shard, points are inserted in batches:
 a greedy beam search over the graph so far proposes neighbours, and relaxed distance pruning keeps the diverse ones (a
 candidate goes when a kept neighbour is closer to it, by the factor ALPHA, than the point itself); reverse edges are
 added and pruned likewise, in two passes over all points. Each graph is built once and written in the shared folder;
@@ -8,10 +8,11 @@ every block of queries then reads it. A query's beam search runs in every shard;
 the exact inner product in double precision and merged.
 
 For the graph, largest inner product becomes nearest distance by one added component that gives all vectors of a
-shard the same length. Equal vectors are one graph node that lists all its ids. Shards of fewer than BRUTE distinct
-vectors are compared in full. Queries meet shards in blocks of QUERIES rows. Vectors that are null, empty or zero, or
-hold a null or a non-finite component, take no part; vectors of another length than a query's are not its
-candidates. A repeated id counts as one more vector for other queries but is never its own candidate.
+shard the same length. Equal vectors are one graph node that lists all its ids. Queries meet shards in blocks of
+QUERIES rows. Vectors that are null, empty or zero, or hold a null or a non-finite component, take no part; vectors of
+another length than a query's are not its candidates. A repeated id counts as one more vector for other queries but is
+never its own candidate; of its vectors the one with the smallest hash is the query. An empty table gives no rows. Equal
+scores are ordered by id. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash, table
+from millrace.llm.common import one_each, stash, table
 from millrace.llm.op06_neardup import valid
 
 K = 20
 EVERY = 20  # queries are the rows whose id this divides
 SHARD, QUERIES = 6000, 1500
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 48, 96, 1.15
-BRUTE = 200
 EXPAND = 4  # beam entries opened in one step
 BATCH = 500
 
@@ -147,7 +147,7 @@ class Shard(NamedTuple):
     distinct: np.ndarray
     ids: np.ndarray
     starts: np.ndarray
-    edges: np.ndarray  # empty for a shard that is compared in full
+    edges: np.ndarray
     entry: int
 
 
@@ -163,8 +163,6 @@ def build_shard(ids: np.ndarray, x: np.ndarray) -> Shard:
     where = where.ravel()
     order = np.lexsort((ids, where))
     starts = np.searchsorted(where[order], np.arange(len(distinct) + 1))
-    if len(distinct) <= BRUTE:
-        return Shard(distinct, ids[order], starts, np.zeros((0, DEGREE), np.int32), 0)
     graph = Graph(_level(distinct)).build()
     return Shard(distinct, ids[order], starts, graph.edges, graph.entry)
 
@@ -172,12 +170,9 @@ def build_shard(ids: np.ndarray, x: np.ndarray) -> Shard:
 def search_shard(shard: Shard, query_ids: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, product) of each query's best in one shard, without itself."""
     distinct, ids, starts = shard.distinct, shard.ids, shard.starts
-    if not len(shard.edges):
-        nodes = np.tile(np.arange(len(distinct)), (len(q), 1))
-    else:
-        graph = Graph(_level(distinct), shard.edges, shard.entry)
-        flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-        nodes = np.concatenate([graph.search(flat[i : i + BATCH], SEARCH_BEAM)[0] for i in range(0, len(q), BATCH)])[:, : 2 * k]
+    graph = Graph(_level(distinct), shard.edges, shard.entry)
+    flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
+    nodes = np.concatenate([graph.search(flat[i : i + BATCH], SEARCH_BEAM)[0] for i in range(0, len(q), BATCH)])[:, : 2 * k]
     out: list[tuple[int, int, float]] = []
     for i, own in enumerate(query_ids.tolist()):
         hit = nodes[i][nodes[i] >= 0]
@@ -235,9 +230,9 @@ def nearest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     good = stash(good.mapInArrow(_packed, "vec_id long, size int, vector binary"), "shards")
     rows = good.count()
     shards = max(1, math.ceil(rows / SHARD))
-    queries = good.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    queries = one_each(good.where(F.col("vec_id") % every == 0), "vec_id", "vector")
     blocks = max(1, math.ceil(rows / every / QUERIES))
-    points = good.select("vec_id", "size", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
+    points = good.select("vec_id", "size", "vector", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"))
     graphs = stash(points.groupBy("size", "shard").applyInArrow(_build, _SHARD), "graphs")
     graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.select("vec_id", "size", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"))

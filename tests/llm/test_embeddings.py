@@ -84,6 +84,17 @@ def test_ann_query_recall_and_scores(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_recall_over_many_shards(spark, monkeypatch):
+    """Every shard's graph, and the merge of their answers: 20 shards of 100 vectors each."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/embeddings.parquet").collect()]
+    monkeypatch.setattr(A, "SHARD", len(rows) // 20)
+    found: dict = {}
+    for r in A.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_nearest(rows)
+    assert sum(len({i for _, i in best} & found[q]) for q, best in want.items()) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 24))
