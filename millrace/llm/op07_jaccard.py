@@ -13,8 +13,16 @@ expanded into all its pairs, and no link that changes a component is lost; full
 filter under another order leaves.
 
 Nothing that grows with the corpus reaches the driver: the list of frequent shingles and the Bloom filter of
-candidates have fixed sizes; beyond them the join is slower, with the same result. Null and empty texts have no
-shingles and link with nothing. Repeated rows give repeated rows. Other columns of the input are not read.
+candidates have fixed sizes; beyond them the join is slower, with the same result. A shingle's members are held by one
+task when its group is first read, 20 bytes a member; from then on hot shingles are dealt into parts and blocks.
+
+Sets are known by 64-bit hashes, among n different sets n * n / 2**65 of which are expected to be wrongly equal (three
+among 10**10), and compared by 48 bits of each shingle's hash, which can shift a count only where a pair stands at the
+threshold by one shingle.
+
+Null and empty texts have no shingles and link with nothing; an empty table gives no rows. Texts of any length are
+shingled whole, one at a time where they are long. A similarity of the threshold itself links; of a group's documents the
+smallest id names it. Repeated rows give repeated rows. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +47,8 @@ MOST_COUNTED = 1 << 21
 TOGETHER = 1 << 20  # bytes of texts that are hashed at once: their arrays take some 40 bytes each
 SMALL_GROUP = 4
 HUBS = 2
+HUB_GROUP = 1 << 16  # members that share their hubs
+SALTS = 16  # ways to deal a shingle's members where they are joined by it
 LARGE_GROUP = 64  # groups beyond this are compared in blocks of
 BLOCK = 512  # members, as matrix products
 BLOOM_BITS = 1 << 25
@@ -525,7 +535,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     hot = found.where("token is not null")
     # The original of a family shares more of its shingles, with more members, than its copies do.
     weight = hot.groupBy("sig").agg((F.sum("other") / F.max("n")).alias("weight"))
-    members = hot.join(weight, "sig").select("token", "sig", "n", "weight").repartition(parts, "token").sortWithinPartitions("token")
+    part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("other") / F.lit(float(HUB_GROUP))))  # a hot shingle's members look for hubs in parts
+    members = hot.join(weight, "sig").select(F.xxhash64("token", part).alias("token"), "sig", "n", "weight").repartition(parts, "token").sortWithinPartitions("token")
     hubs = members.mapInArrow(_hub_pairs(threshold), "a long, b long")
     pairs = found.where("token is null").select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).unionByName(hubs)
     pairs = stash(pairs.distinct(), "pairs")
@@ -535,7 +546,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
 
     at = hot.select("token", "sig", "n").join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("component"))
     mixed = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("token", "size")
-    lists = at.join(mixed, "token").groupBy("sig", "n", "component").agg(F.array_sort(F.collect_list(F.struct("token", "size"))).alias("tokens"))
+    salted = at.withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(3)), F.lit(SALTS)))
+    spread = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    lists = salted.join(spread, ["token", "salt"]).groupBy("sig", "n", "component").agg(F.array_sort(F.collect_list(F.struct("token", "size"))).alias("tokens"))
     each = lists.select("sig", "n", "component", "tokens", F.posexplode("tokens").alias("place", "own"))
     each = stash(each.select("own.token", "own.size", "sig", "n", "component", F.expr("slice(tokens.token, greatest(1, place - 15), least(16, place))").alias("before")), "open-groups")
     small = each.where(F.col("size") <= LARGE_GROUP).drop("size").repartition(parts, "token").sortWithinPartitions("token")
