@@ -9,8 +9,11 @@ with other numbers as counter-examples.
 All four kinds need a digit or an at-sign (or its spelling in brackets), so windows without one cannot hold a span
 and are not decoded. The others, of WIDTH characters every STEP, overlap; their label scores are averaged with the
 most weight at a window's middle, and one Viterbi pass over each run of joined windows reconciles them globally.
-Null texts count as empty and have no spans. Repeated rows give repeated results; extra columns pass through where
-the caller keeps them.
+Learning uses at most MAX_TRAINING texts; of them filler words come from FILLER_LINES lines and at most PATTERN_SPANS
+spans of the patterns, both drawn by a seeded permutation. Of several texts with one id the one with the smallest hash is
+learned from. Null texts count as empty and have no spans; an empty table gives no rows. Very long texts are decoded
+whole, in groups of windows. Spans that start together are ordered by kind, then by end. Repeated rows give repeated
+results; extra columns, whatever their names, are read and returned by redact() only.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, bounded_sample, table, texts
+from millrace.llm.common import batches, bounded_sample, one_each, table, texts
 from millrace.llm.op10_language import forward_backward
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TRAINING = 300  # texts of the sample
+FILLER_LINES, PATTERN_SPANS = 400, 1000  # of these texts
 WIDTH, STEP = 64, 32
 HIDDEN, EMBED = 20, 12
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -225,7 +229,7 @@ def labelled(sample: list[str], n: int, seed: int = 3) -> tuple[np.ndarray, np.n
     """Coded windows and their labels."""
     rng = np.random.default_rng(seed)
     lines = [x for t in sample for x in t.split("\n") if len(x) > 20] or ["nothing to see in this plain line of words here"]
-    words = [w for w in re.findall(r"[a-zA-Z]{2,8}", " ".join(lines[:400]))] or ["name"]
+    words = [w for w in re.findall(r"[a-zA-Z]{2,8}", " ".join(lines[k] for k in np.random.default_rng(seed).permutation(len(lines))[:FILLER_LINES]))] or ["name"]
     signs = ["", "", "", "", "!!", "***", "&&&", "%%%", "$$$", "###", ",", "."]
     x, y = np.full((n, WIDTH), VOCABULARY - 1, dtype=np.int8), np.zeros((n, WIDTH), dtype=np.int64)
     for row in range(n):
@@ -266,7 +270,8 @@ def train(sample: list[str], windows: int = 3000, epochs: int = 8, seed: int = 5
                     labels[a] = 1 + 2 * k
             extra.append((np.pad(piece, (0, WIDTH - len(piece)), constant_values=VOCABULARY - 1), labels))
     if extra:
-        x, y = np.concatenate([x, np.array([e[0] for e in extra[:1000]])]), np.concatenate([y, np.array([e[1] for e in extra[:1000]])])
+        drawn = [extra[k] for k in np.random.default_rng(seed).permutation(len(extra))[:PATTERN_SPANS]]
+        x, y = np.concatenate([x, np.array([e[0] for e in drawn])]), np.concatenate([y, np.array([e[1] for e in drawn])])
     net, rng = Network(seed), np.random.default_rng(seed)
     first, second = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()]
     step = 0
@@ -375,7 +380,7 @@ def plausible(text: str, span: Span) -> bool:
 def learn(docs: DataFrame, most: int = MAX_TRAINING) -> Network:
     """A network from at most `most` texts of docs (doc_id, text)."""
     ids = bounded_sample(docs.where(F.col("text").isNotNull()), most, seed=1)
-    rows = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").dropDuplicates(["doc_id"]).orderBy("doc_id").collect() if ids else []
+    rows = one_each(docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", "text"), "doc_id", "text").orderBy("doc_id").collect() if ids else []
     return train([r.text for r in rows if r.text])
 
 

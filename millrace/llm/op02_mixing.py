@@ -6,13 +6,15 @@ then has the same expected number of copies, target / source words: its whole pa
 parts are rounded together. Two documents at a time move words between their probabilities, in a random direction
 that keeps both expectations, until one of the two is integral; so a source's expected words stay constant to the
 last pair. Rows are dealt into buckets by a hash of their id, each bucket leaves one fractional document a source,
-and these residuals meet in a reduction tree of FAN buckets a node until one remains, which is rounded to the
-nearer side: a source misses its target by half of one document at most. Long documents pair first, so that the one
-that is left over tends to be short.
+and these residuals meet in a reduction tree of FAN buckets a node until one remains, which is drawn by its own probability, so
+every document keeps its expected copies: a source misses its target by less than one document. Long documents pair
+first, so that the one that is left over tends to be short.
 
 Random numbers come from hashes of ids, sizes and levels, so reruns agree. Null texts and texts without words have
-size 0 and take nothing. Repeated rows count as documents of their own; equal ones are interchangeable. Only the
-columns doc_id, text and source are read.
+size 0 and take nothing; an empty table gives no rows. Texts of any length are counted whole. Documents of equal size
+pair in the order of their ids. Repeated rows count as documents of their own; equal ones are interchangeable. Only the
+columns doc_id, text and source are read, whatever others are named. A bucket is a hash of id and size: rows that are
+equal in both share one, so a single repeated id must fit a task.
 """
 
 from __future__ import annotations
@@ -82,9 +84,11 @@ def _level(level: int, last: bool):
         size = rows["size"].to_numpy(dtype=float)
         for source, at in rows.groupby("source", dropna=False, sort=False).indices.items():
             key = [level, int(rows["bucket"].iloc[0]), zlib.crc32(str(source).encode("utf-8", "replace"))]
-            p[at] = round_group(size[at], p[at], np.random.default_rng(key))
-        if last:
-            p = np.round(p)
+            rng = np.random.default_rng(key)
+            p[at] = round_group(size[at], p[at], rng)
+            if last:  # one fractional document is left at most
+                open_ = at[(p[at] > 0) & (p[at] < 1)]
+                p[open_] = rng.random(len(open_)) < p[open_]
         rows["p"] = p
         return rows
 

@@ -7,7 +7,9 @@ far the text compresses at all (which exposes repetition) into a probability of
 At most MAX_TRAINING labelled documents that are not held out are fitted on; every text is scored in its whole
 length. Null texts count as empty and get the score of an empty text. A document with several labels counts by
 their mean. With labels of one class only, or none, every score is the share of label 1 (1/2 without labels).
-Repeated rows give repeated results; other columns are not read.
+Of several texts with one id the one with the smallest hash is learned from. An empty table gives no rows; very long texts
+are compressed whole, one at a time; equal texts have equal scores. Repeated rows give repeated results; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, bounded_sample, held_out, table, texts
+from millrace.llm.common import batches, bounded_sample, held_out, one_each, table, texts
 
 MAX_TRAINING = 2400
 DICTIONARY = 16384  # bytes
@@ -100,7 +102,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Class
     if not ids:
         return fit([])
     own = known.where(F.col("doc_id").isin(ids))
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", "text").dropDuplicates(["doc_id"]).join(own, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = docs.where(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", "text")
+    rows = one_each(rows, "doc_id", "text").join(own, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return fit([(r.text, int(r.y >= 0.5)) for r in rows])
 
 

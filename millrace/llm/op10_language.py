@@ -7,9 +7,12 @@ often). Learned transitions join neighbouring words, and forward-backward gives
 code-switched texts are labelled word by word. A document's language is the one with the largest expected share of
 letters; the score is that share.
 
-Learning uses at most MAX_TRAINING documents that are not held out, in numpy; every document is then labelled in
-its whole length. Null texts and texts without a letter give `und` with score 0. If nothing can be learned from,
-every prediction is `und`. Repeated rows give repeated results; other columns of the input are not read.
+Learning uses at most MAX_TRAINING documents that are not held out, in numpy: the lexicon all their words, the weights
+MOST_CHAINS of their chains of at most CHAIN words, drawn by a seeded permutation. Of several texts with one id the one
+with the smallest hash is learned from. Every document is then labelled in its whole length, however long. Null texts and
+texts without a letter give `und` with score 0; of equal shares the language first in code-point order wins. If nothing
+can be learned from, every prediction is `und`; an empty table gives no rows. Repeated rows give repeated results. Of
+other columns only those the caller keeps are read; one named lang_pred or score gives way to the model's.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, bounded_sample, held_out, table, texts
+from millrace.llm.common import batches, bounded_sample, held_out, one_each, table, texts
 from millrace.llm.shingles import mix
 
-#: Most documents to learn from, hashed feature space, and most word types remembered by one Python worker.
+#: Most documents to learn from, chains for the weights and words of each, hashed feature space, and most word types remembered by one Python worker.
 MAX_TRAINING = 1200
+MOST_CHAINS, CHAIN = 6000, 60
 SPACE = 1 << 15
 MEMO = 100_000
 _WORDS = re.compile(r"[^\W\d_]+|[\n\x00]")
@@ -122,8 +126,8 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.4, seed:
         y = labels.index(lang)
         for line in text.lower().split("\n"):
             words = _WORDS.findall(line)
-            for at in range(0, len(words), 60):
-                piece = words[at : at + 60]
+            for at in range(0, len(words), CHAIN):
+                piece = words[at : at + CHAIN]
                 chains.append((piece, y))
                 for w in piece:
                     seen.setdefault(w, Counter())[y] += 1
@@ -132,7 +136,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.4, seed:
     if not chains:
         return model
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(chains))[:6000]
+    order = rng.permutation(len(chains))[:MOST_CHAINS]
     mixed: list[tuple[list[str], np.ndarray]] = []
     for a, b in zip(order, np.roll(order, 1)):
         (u, yu), (v, yv) = chains[a], chains[b]
@@ -224,7 +228,7 @@ def learn(docs: DataFrame, most: int = MAX_TRAINING) -> Model | None:
     """A model from at most `most` documents with a known language that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     ids = bounded_sample(known, most)
-    rows = known.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").dropDuplicates(["doc_id"]).orderBy("doc_id").collect() if ids else []
+    rows = one_each(known.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang"), "doc_id", "text").orderBy("doc_id").collect() if ids else []
     return train([(r.text, r.lang) for r in rows])
 
 

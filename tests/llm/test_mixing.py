@@ -34,7 +34,7 @@ def check(docs, rows):
         taken[r.source] += r.taken
         largest[r.source] = max(largest[r.source], r.size)
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6
+        assert abs(taken[s] - want[s]) < largest[s] + 1e-6
 
 
 def test_query_against_brute_force(spark, docs):
