@@ -18,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 300_000
+from millrace.llm.common import KEPT
+
+MEMO = 200_000
 TOGETHER = 256  # new units in one string
 _APART = re.compile(r"\s (?:\s|\Z)")
 
@@ -39,15 +41,13 @@ def byte_of_letter() -> dict[str, int]:
 class Encoder:
     """encode(text) gives the ids as little-endian uint32 bytes; decode(ids) the text."""
 
-    _by_path: dict[str, Encoder] = {}
-
     @classmethod
     def of(cls, path: str | None = None) -> Encoder:
         """One encoder for each file and worker; later tasks of the worker find its memory warm."""
         path = path or default_path()
-        if path not in cls._by_path:
-            cls._by_path[path] = cls(path)
-        return cls._by_path[path]
+        if (cls, path) not in KEPT:
+            KEPT[cls, path] = cls(path)
+        return KEPT[cls, path]
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

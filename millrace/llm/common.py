@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What a Python worker keeps from task to task, such as a tokenizer with the words it has met.
+KEPT: dict = {}
+
+
+def settle() -> None:
+    """Drops what a worker keeps for other operators and gives back what its allocators hold.
+
+    A worker serves one stage after another, and an executor's workers share little memory with its JVM.
+    """
+    KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, bounded_sample, one_each, table, texts
+from millrace.llm.common import batches, bounded_sample, one_each, settle, table, texts
 from millrace.llm.op10_language import forward_backward
 
 KINDS = ("email", "ip", "card", "phone")
@@ -394,6 +394,7 @@ def detect(docs: DataFrame, net: Network) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         finder = Finder(sent.value)
         for batch in batches(it):
             found = finder.spans(texts(batch))
@@ -410,6 +411,7 @@ def redact(docs: DataFrame, net: Network) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         finder = Finder(sent.value)
         for batch in batches(it):
             out = []

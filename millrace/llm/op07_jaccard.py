@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, stash, table
+from millrace.llm.common import batches, settle, stash, table
 from millrace.llm.components import components, forest
 from millrace.llm.shingles import column_bytes, mix, shingle_sets
 
@@ -117,6 +117,7 @@ def _scan(width: int, threshold):
         return _record(names, np.ones(len(token), np.int32), token.view(np.int64), count.astype(np.int64), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.nulls(len(token), pa.int64()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         seen, held, size = set(), [], 0
         for batch in batches(it, most=TOGETHER):
             sets = _sets(batch, width)
@@ -151,6 +152,7 @@ def _order(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def _prefixes(width: int, threshold, frequent):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         seen, hot = set(), frequent.value
         for batch in batches(it, most=TOGETHER):
             tokens, sigs, sizes = [], [], []
@@ -312,6 +314,7 @@ def _wanted_sets(width: int, wanted):
     """(sig, hashes) of classes whose text's hash the filter may hold; six bytes of each shingle's hash."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         seen: set[int] = set()
         for batch in batches(it, most=TOGETHER):
             hit = in_bloom(_text_hashes(batch), wanted.value)

@@ -38,6 +38,7 @@ WINDOW_STEPS = 5  # 2**5 bytes
 MASK = np.uint64((1 << 11) - 1)  # a cut every 2 KiB on average
 LEAST = 256  # a chunk shorter than this is joined to the one before
 HOT, MOST_HOT = 10_000, 1 << 16
+TOGETHER = 1 << 21  # bytes of texts that one batch holds
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _P = np.uint64(0xD6E8FEB86659FD93)
 _VISIBLE = np.zeros(256, dtype=bool)
@@ -153,7 +154,7 @@ def _chunked(docs: dict[bytes, list[int]]) -> tuple[list[list[int]], list[list[i
 
 
 def _chunk_hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches(it):
+    for batch in batches(it, most=TOGETHER):
         found = [h for hashes in _chunked(_texts(batch))[1] for h in hashes]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["h"])
 
@@ -178,7 +179,7 @@ def _alone(path: str | None, repeated, keep_ids: bool):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in batches(it):
+        for batch in batches(it, most=TOGETHER):
             docs = _texts(batch)
             hits = _hits(_chunked(docs)[1], repeated.value)
             own = [(d, at) for (d, at), hit in zip(docs.items(), hits) if not hit]
@@ -203,7 +204,7 @@ def _shared(repeated, hot):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, turn = TaskContext.get().partitionId() << 33, 0
-        for batch in batches(it):
+        for batch in batches(it, most=TOGETHER):
             docs, rows = _texts(batch), []
             edges, hashes = _chunked(docs)
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()

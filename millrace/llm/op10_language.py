@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, bounded_sample, held_out, one_each, table, texts
+from millrace.llm.common import batches, bounded_sample, held_out, one_each, settle, table, texts
 from millrace.llm.shingles import mix
 
 #: Most documents to learn from, chains for the weights and words of each, hashed feature space, and most word types remembered by one Python worker.
@@ -244,6 +244,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: SPACE x labels, and a lexicon of the sample
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         labeller = Labeller(sent.value)
         for batch in batches(it, most=1 << 19):
             lang, score = labeller.label(texts(batch))
