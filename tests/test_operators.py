@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import curation, evaluation, extract, index, rank, relational, retrieval, sequence, state
+from millrace.operators import curation, evaluation, extract, index, rank, relational, retrieval, rules, sequence, state
 from millrace.sources import tables
 
 
@@ -219,3 +219,105 @@ def test_diverse_selection_is_greedy_over_all_rows(spark, seed):
             groups |= {best[2]} - {None}
     s = spark.createDataFrame(data, "query_id long, id long, group_id string, score double")
     assert rows(rank.diverse(s, 10, 0.1), "query_id", "rank", "id", "score") == want
+
+
+def test_near_duplicates_in_blocks_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(12, 60))) for _ in range(40)]
+    texts = base + [t[:k] + rng.choice("xyz") + t[k + 1 :] for t in base for k in (3, len(t) - 1)] + [t + t[:2] for t in base] + ["ab" * 20, "ab" * 30, "日本語の文章がここにあります。", "日本語の文章がここにありました。"]
+    x = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    plain = {}
+    for i, t in enumerate(texts):
+        plain.setdefault("".join(c for c in t if c.isalnum() or c == "_"), i)
+    own = sorted((i, p) for p, i in plain.items() if len(p) >= 12)
+    want = []
+    for k, (a, p) in enumerate(own):
+        for b, q in own[k + 1 :]:
+            g, h = grams(p), grams(q)
+            if len(g & h) >= 0.75 * len(g | h) and min(len(p), len(q)) >= 0.75 * max(len(p), len(q)):
+                want.append((a, b))
+    assert len(want) > 40
+    assert rows(curation.near_duplicates(x, "id", block=7), "a", "b") == want
+
+
+def test_equal_intervals_merge_the_same_in_any_order(spark):
+    import random
+
+    rng = random.Random(1)
+    spans = [(k, s, s + rng.choice([0, 2, 2, 5])) for k in range(5) for s in [rng.randint(0, 30) for _ in range(20)]] * 2
+    want = []
+    for k in range(5):
+        held = []
+        for s, e in sorted((s, e) for key, s, e in spans if key == k):
+            if held and s <= held[-1][1]:
+                held[-1][1], held[-1][2] = max(held[-1][1], e), held[-1][2] + 1
+            else:
+                held.append([s, e, 1])
+        want += [(k, *h) for h in held]
+    for seed in range(3):
+        random.Random(seed).shuffle(spans)
+        assert rows(sequence.merge_intervals(spark.createDataFrame(spans, "k int, s int, e int"), "k", "s", "e")) == sorted(want)
+
+
+@pytest.mark.parametrize("threads", [1, 2, 8])
+def test_interval_sql_does_not_depend_on_threads(spark, threads):
+    import __spark_entry__ as entry
+    from tests import oracle
+    from tests.conftest import SMALL
+
+    con = oracle.connect(SMALL.replace("0.001", "0.01"))
+    con.execute(f"SET threads = {threads}")
+    oracle.compare(spark, con, entry.queries()["f10_interval_merge"], entry.oracle_sql()["f10_interval_merge"], SMALL.replace("0.001", "0.01"))
+
+
+def test_chunks_cut_at_the_target_and_carry_the_last_units(spark):
+    text = "".join(f"line number {i} of the text\n" for i in range(40))
+    spans = sequence.chunk_text(text, 180, 240, 50)
+    assert len(spans) > 2 and all(b - a <= 240 for a, b in spans)
+    assert all(text[a:b] == text[a:b].strip() for a, b in spans)
+    assert all(nxt[0] < prev[1] and prev[1] - nxt[0] <= 50 for prev, nxt in zip(spans, spans[1:]))  # the units carried over
+    assert sequence.chunk_text(" \n\n ") == []
+    long = "a" * 700 + "。" + "b" * 900
+    assert sequence.text_units(long, 1000) == [(0, 701), (701, 1601)]
+    assert sequence.text_units("x\n\n \ny", 10) == [(0, 2), (5, 6)]
+
+
+def test_stored_index_is_that_of_the_table_and_built_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "virtua virtua exit"), (2, "virtua other words"), (3, None)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    read = lambda: spark.read.parquet(f"{tmp_path}/docs")
+    q = spark.createDataFrame([(1, "virtua"), (1, "exit"), (2, "nowhere")], "query_id long, token string")
+    first, again = index.stored(read(), buckets=4), index.stored(read(), buckets=4)
+    assert first.postings.inputFiles() and sorted(first.postings.inputFiles()) == sorted(again.postings.inputFiles())
+    assert rows(retrieval.bm25(first, q, 5)) == rows(retrieval.bm25(docs, q, 5))
+    docs.union(docs).write.mode("overwrite").parquet(f"{tmp_path}/docs")
+    assert rows(retrieval.bm25(index.stored(read(), buckets=4), q, 9)) == rows(retrieval.bm25(docs.union(docs), q, 9))
+
+
+def test_revision_digest_follows_order_and_content(spark):
+    own = [("a", i, f"h{i}") for i in range(2500)] + [("b", 5, "x"), ("b", 5, "y"), (None, 1, "z")]
+    digest = lambda r: {x.k: (x.revision, x.n) for x in state.revision_digest(spark.createDataFrame(r, "k string, id long, h string"), "k", "id", "h", width=10).collect()}
+    first = digest(own)
+    assert first["a"][1] == 2500 and first == digest(own[::-1])
+    changed = digest([("a", 7, "other") if r[:2] == ("a", 7) else r for r in own])
+    assert changed["a"][0] != first["a"][0] and changed["b"] == first["b"]
+
+
+def test_settings_with_conflicts_and_bounds(spark):
+    specs = spark.createDataFrame([("a", 1.0, 0.0, 2.0), ("b", 1.0, 0.0, 2.0), ("c", 1.0, 0.0, 2.0), ("d", 1.0, 0.0, 2.0)], "name string, default double, low double, high double")
+    given = spark.createDataFrame([(1, "a", 1.5), (2, "b", 1.5), (3, "b", 1.2), (4, "c", 9.0), (5, "z", 1.0)], "override_id long, name string, value double")
+    assert [tuple(r) for r in rules.settings(specs, given).orderBy("name").collect()] == [("a", 1.5, 1, "override"), ("b", 1.0, None, "conflict"), ("c", 1.0, None, "above"), ("d", 1.0, None, ""), ("z", None, None, "unknown")]
+
+
+def test_a_publisher_of_a_taken_revision_fails(spark, tmp_path):
+    g = tables.Generations(spark, f"{tmp_path}/g")
+    one, two = g.stage(spark.range(2).toDF("id")), g.stage(spark.range(3).toDF("id"))
+    assert g.publish(one, 2) == 1
+    late = tables.Generations(spark, f"{tmp_path}/g")
+    late._current = lambda: None  # read before the other published
+    with pytest.raises(Exception, match="already exists"):
+        late.publish(two, 3)
+    assert g.read().count() == 2 and g.publish(two, 3) == 2 and g.read().count() == 3

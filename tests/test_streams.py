@@ -60,3 +60,20 @@ def test_the_first_event_may_come_in_a_later_chunk():
     state = State()
     found = list(jobs._deadline(10)((1,), iter([chunk(25, 30, 36), chunk(20, 31)]), state))
     assert (found[0]["kept"][0], found[0]["late"][0], state.kept) == (3, 2, (20, 3, 2))
+
+
+def test_a_receipt_that_comes_again_counts_once(spark):
+    """In the same part of the stream, in a later one, and without a time; receipts without an id count each."""
+    at = dt.datetime(2024, 1, 1)
+    own = [(1, i, at + dt.timedelta(hours=i)) for i in range(40)]
+    again = [(1, i, at + dt.timedelta(hours=i + 30)) for i in range(0, 40, 3)] + [(1, 5, at + dt.timedelta(hours=5))]
+    rows = own + again + [(2, 90, None), (2, 90, None), (2, None, at), (2, None, at), (3, None, None)]
+    found = jobs.receipts(spark, spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp_ntz"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 40, 39), (2, 3, 90), (3, 1, None)]
+
+
+def test_effects_are_written_once_for_an_id_in_any_batch(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i % 25, at + dt.timedelta(hours=i)) for i in range(100)]
+    out = jobs.committed(spark, spark.createDataFrame(rows, "event_id long, ts timestamp_ntz"), "event_id", lambda d: d.select("event_id"))
+    assert sorted(r.event_id for r in out.collect()) == list(range(25))
