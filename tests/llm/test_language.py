@@ -66,3 +66,30 @@ def test_odd_rows(odd, empty, docs):
     assert L.identify(empty, model).count() == 0
     assert L.learn(empty) is None
     assert {r.lang_pred for r in L.identify(odd, None, keep=["doc_id"]).collect()} == {"und"}
+
+
+def test_query_against_a_plain_version(spark, docs):
+    """Each text alone: every word's features summed one by one, and chains decoded one at a time."""
+    model = L.learn(docs)
+
+    def plain(text):
+        share = np.zeros(len(model.labels))
+        for line in (text or "").replace("\x00", " ").lower().split("\n"):
+            words = [w for w in L._WORDS.findall(line) if w != "\x00"]
+            if words:
+                scores = np.array([model.weights[L.features([w], model.lexicon)[0]].sum(axis=0) for w in words])
+                alpha, beta = np.zeros((len(words), len(share))), np.ones((len(words), len(share)))
+                for i in range(len(words)):
+                    alpha[i] = np.exp(scores[i] - scores[i].max()) * (alpha[i - 1] @ np.exp(model.move) if i else 1)
+                    alpha[i] /= alpha[i].sum()
+                for i in range(len(words) - 2, -1, -1):
+                    beta[i] = np.exp(model.move) @ (np.exp(scores[i + 1] - scores[i + 1].max()) * beta[i + 1])
+                    beta[i] /= beta[i].sum()
+                gamma = alpha * beta
+                share += (gamma / gamma.sum(axis=1, keepdims=True) * np.array([len(w) for w in words])[:, None]).sum(axis=0)
+        return (model.labels[share.argmax()], share.max() / share.sum()) if share.sum() else ("und", 0.0)
+
+    found = {r.doc_id: r for r in entry.queries()["op10_language"](spark, SMALL).collect()}
+    for r in docs.collect():
+        lang, score = plain(r.text)
+        assert abs(found[r.doc_id].score - score) < 1e-4 and (found[r.doc_id].lang_pred == lang or score < 0.51)

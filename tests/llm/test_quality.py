@@ -43,3 +43,11 @@ def test_odd_rows(spark, odd, empty, docs):
     assert Q.fit([]).score(["x"])[0] == 0.5 and Q.learn(docs, none).constant == 0.5
     one = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
     assert Q.learn(docs, one).constant == 1.0
+
+
+def test_query_against_each_text_alone(spark, docs):
+    model = Q.learn(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    want = sorted((r.doc_id, model.score([r.text or ""])[0]) for r in docs.collect())
+    found = sorted((r.doc_id, r.score) for r in entry.queries()["op3_quality"](spark, SMALL).collect())
+    assert [i for i, _ in found] == [i for i, _ in want]
+    assert max(abs(a - b) for (_, a), (_, b) in zip(found, want)) < 1e-12
