@@ -19,6 +19,7 @@ from millrace.functions.text import tokens
 from millrace.sources.tables import shared_dir
 
 BUCKETS = 64  # partitions of the postings; a parameter of a stored index
+MOST_NAMED = 1000  # tokens of a batch that are named to the scan
 
 
 def postings(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -46,9 +47,18 @@ class Index(NamedTuple):
     buckets: int
 
     def find(self, queries: DataFrame) -> DataFrame:
-        """The postings of the queries' (query_id, token) tokens: only their partitions are read."""
+        """The postings of the queries' (query_id, token) tokens: only their partitions are read.
+
+        The partitions are named to the scan, at most as many numbers as there are buckets; so are the tokens of a small
+        batch, as postings are sorted by token within a file.
+        """
         wanted = queries.select("token", bucket_of("token", self.buckets).alias("bucket")).distinct()
-        return self.postings.join(wanted, ["bucket", "token"], "left_semi").drop("bucket")
+        few = [r.token for r in wanted.select("token").limit(MOST_NAMED + 1).collect()]
+        named = [r.bucket for r in wanted.select("bucket").distinct().collect()]
+        read = self.postings.where(F.col("bucket").isin(named))
+        if len(few) <= MOST_NAMED:
+            return read.where(F.col("token").isin(few)).drop("bucket")
+        return read.join(wanted, ["bucket", "token"], "left_semi").drop("bucket")
 
 
 def bucket_of(token, buckets: int):
