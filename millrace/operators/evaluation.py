@@ -11,12 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentile_at(rows: DataFrame, keys: list[str], value: str, place: Column, name: str) -> DataFrame:
-    """(keys, name): the value at a 1-based place of its sorted group; place may use n, the group's size."""
-    counted = rows.where(F.col(value).isNotNull()).withColumn("n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(value)))
-    return counted.where(F.col("_at") == place).select(*keys, F.col(value).alias(name))
-
-
 def confusion(rows: DataFrame, gold: Column, guess: Column, *keys: str) -> DataFrame:
     """(keys, tp, fp, fn, precision, recall, f1) with guarded denominators."""
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
@@ -66,8 +60,29 @@ def bootstrap(groups: DataFrame, value: str, key: str, rounds: int = 10_000, see
     return per.agg((F.sum("s") / F.sum("n")).alias("mean")).crossJoin(spread)
 
 
+CUTS = 64  # ranges of values that a group is parted into
+
+
 def percentiles_at(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
-    """(keys, one column a place): percentile_at() for several definitions in one sort of each group."""
-    w = Window.partitionBy(*keys)
-    counted = rows.where(F.col(value).isNotNull()).select(*keys, value, F.count("*").over(w).alias("n"), F.row_number().over(w.orderBy(value)).alias("_at"))
-    return counted.groupBy(*keys).agg(*[F.max(F.when(F.col("_at") == place, F.col(value))).alias(name) for name, place in places.items()])
+    """(keys, one column a place): the values at 1-based places of each sorted group; places may use n, the group's size.
+
+    Exact. Equal values are counted first. Approximate quantiles part a group's values into ranges of like size; sums over
+    a group's few ranges tell in which range each place lies, and only those ranges are sorted. A place beyond a group is
+    null; nulls among the keys are a group, and null values count nowhere.
+    """
+    group = F.struct(*[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], *[F.col(k).isNull() for k in keys])
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_g", F.to_json(group))
+    shares = [k / CUTS for k in range(1, CUTS)]
+    cuts = counted.groupBy("_g").agg(F.percentile_approx(value, shares, 100 * CUTS).alias("_cuts"), F.sum("_c").alias("n"))
+    placed = counted.join(cuts.select("_g", "_cuts"), "_g").withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    sizes = placed.groupBy("_g", "_b").agg(F.sum("_c").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_before", F.coalesce(before, F.lit(0)))
+    named = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), place.cast("long").alias("_at")) for name, place in places.items()])).alias("_p")
+    wanted = cuts.select("_g", named).select("_g", "_p._name", "_p._at").join(sizes, "_g").where((F.col("_at") > F.col("_before")) & (F.col("_at") <= F.col("_before") + F.col("_size")))
+    inside = F.sum("_c").over(Window.partitionBy("_g", "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = placed.join(wanted.select("_g", "_b").distinct(), ["_g", "_b"], "left_semi").withColumn("_to", inside)
+    at = F.col("_at") - F.col("_before")
+    found = ranked.join(wanted, ["_g", "_b"]).where((at <= F.col("_to")) & (at > F.col("_to") - F.col("_c")))
+    per = found.groupBy("_g").agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in places])
+    return counted.select("_g", *keys).distinct().join(per, "_g", "left").drop("_g")

@@ -1,5 +1,7 @@
 """Operators on small inputs whose results are known."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,3 +325,15 @@ def test_a_publisher_of_a_taken_revision_fails(spark, tmp_path):
     with pytest.raises(Exception, match="already exists"):
         late.publish(two, 3)
     assert g.read().count() == 2 and g.publish(two, 3) == 2 and g.read().count() == 3
+
+
+def test_percentiles_against_sorted_lists(spark):
+    import random
+
+    rng = random.Random(3)
+    groups = {"a": [rng.random() for _ in range(3000)], "b": [1.0] * 500 + [2.0], "": [5.0], None: [rng.randint(0, 9) * 1.0 for _ in range(200)]}
+    x = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs] + [("a", None)], "k string, v double")
+    n = F.col("n")
+    found = evaluation.percentiles_at(x, ["k"], "v", {"first": F.lit(1), "p95": F.ceil(n * 0.95), "last": n, "beyond": n + 1}).collect()
+    want = {k: (s[0], s[math.ceil(len(s) * 0.95) - 1], s[-1], None) for k, s in ((k, sorted(v)) for k, v in groups.items())}
+    assert {r.k: (r.first, r.p95, r.last, r.beyond) for r in found} == want
