@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import key
+from millrace.sources.tables import shared_dir
 
 
 def first_of(rows: DataFrame, keys: list[str], *order: Column, where: Column | None = None) -> DataFrame:
@@ -82,6 +85,18 @@ def _products(threshold: float):
     return run
 
 
+def _grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (plain, id): the distinct trigrams of each text as numbers, three code points of 21 bits."""
+    for batch in it:
+        sizes, found = [], []
+        for text in batch.column(0).to_pylist():
+            c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+            sizes.append(len(c))
+            found.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+        n = pa.array([len(g) for g in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), n, pa.array(found, pa.list_(pa.int64()))], names=["id", "size", "n", "grams"])
+
+
 def near_duplicates(rows: DataFrame, id: str, text: str = "text", threshold: float = 0.75, least: int = 12, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity) of different texts of `least` word characters or more, of lengths within the threshold, whose
     trigram Jaccard reaches it.
@@ -93,8 +108,11 @@ def near_duplicates(rows: DataFrame, id: str, text: str = "text", threshold: flo
     work grows with the square of the classes of a size.
     """
     own = rows.select(F.col(id).cast("long").alias("id"), F.regexp_replace(text, r"[^\p{L}\p{N}_]", "").alias("plain")).where(F.length("plain") >= least)
-    classes = own.groupBy("plain").agg(F.min("id").alias("id")).select("id", F.length("plain").alias("size"), trigrams("plain").alias("grams"))
-    classes = _blocks(classes.withColumn("n", F.size("grams")), threshold, block)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be coalesced
+    classes = own.groupBy("plain").agg(F.min("id").alias("id")).repartition(parts, "id").mapInArrow(_grams, "id long, size long, n long, grams array<long>")
+    path = f"{shared_dir(rows.sparkSession)}/trigrams-{uuid.uuid4().hex}"
+    _blocks(classes, threshold, block).write.parquet(path)  # read four times below
+    classes = rows.sparkSession.read.parquet(path)
     each = classes.select("id", "band", "block", "size", "n", F.explode("grams").alias("gram"))
     df = each.groupBy("gram").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "gram")
@@ -102,9 +120,7 @@ def near_duplicates(rows: DataFrame, id: str, text: str = "text", threshold: flo
     held = prefix.groupBy("gram", F.col("block").alias("other"), F.col("band").alias("other_band")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("members"))
     like = (F.abs(F.col("band") - F.col("other_band")) <= 1) & (F.col("most") >= threshold * F.col("size")) & (F.col("least") * threshold <= F.col("size")) & ((F.col("block") != F.col("other")) | (F.col("members") > 1))
     meets = prefix.select("id", "gram", "band", "block", "size").join(held, "gram").where(like).select("id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
-    code = lambda g: sum(F.ascii(F.substring(g, k + 1, 1)).cast("long") * (1 << 21 * k) for k in range(3))  # noqa: E731 - three code points of 21 bits
-    coded = classes.select("id", "block", "size", F.transform("grams", code).alias("grams"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be coalesced
+    coded = classes.select("id", "block", "size", "grams")
     return meets.join(coded, "id").repartition(parts, "low", "high").groupBy("low", "high").applyInArrow(_products(threshold), "a long, b long, similarity double")
 
 
