@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 KEPT: dict = {}
 
 
-def settle() -> None:
-    """Drops what a worker keeps for other operators and gives back what its allocators hold.
+def settle(drop: bool = True) -> None:
+    """Drops what a worker keeps for other operators, if asked to, and gives back what its allocators hold.
 
     A worker serves one stage after another, and an executor's workers share little memory with its JVM.
     """
-    KEPT.clear()
+    if drop:
+        KEPT.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import Encoder
-from millrace.llm.common import batches, stash, table, texts
+from millrace.llm.common import batches, settle, stash, table, texts
 
 END = 0  # appended to each document
-BLOCK = 1 << 18  # tokens
+BLOCK = 1 << 17  # tokens
+TOGETHER = 1 << 21  # bytes of texts that are encoded at once
 _MAGIC = np.frombuffer(b"MRT1", dtype=np.uint8)
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -89,6 +90,7 @@ def _write(path: str | None):
     names = [x.split()[0] for x in _BLOCK.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(drop=False)
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
         seq, first, size = 0, 0, 0
         ids, held = [], []
@@ -100,7 +102,7 @@ def _write(path: str | None):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _KINDS)], names=names)
 
         end = np.array([END], dtype="<u4").tobytes()
-        for batch in batches(it):
+        for batch in batches(it, most=TOGETHER):
             for i, raw in zip(batch.column(0).to_pylist(), encoder.encode_batch(texts(batch))):
                 if size >= BLOCK:
                     yield block()
@@ -123,6 +125,7 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    settle()  # the tokenizer has done its work
     for batch in it:
         for first, null, payload, crc in zip(*(batch.column(k).to_pylist() for k in range(4))):
             if zlib.crc32(payload) != crc:
