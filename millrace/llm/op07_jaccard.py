@@ -12,7 +12,8 @@ different components; the largest are compared in blocks by matrix products that
 expanded into all its pairs, and no link that changes a component is lost; full sets travel only for members that the
 filter under another order leaves.
 
-Nothing that grows with the corpus reaches the driver: the list of frequent shingles and the Bloom filter of
+Joins that carry prefixes and sets are merge joins at every size: both sides grow with the corpus, so a broadcast that a
+small table would get says nothing of a large one. Nothing that grows with the corpus reaches the driver: the list of frequent shingles and the Bloom filter of
 candidates have fixed sizes; beyond them the join is slower, with the same result. A shingle's members are held by one
 task when its group is first read, 20 bytes a member; from then on hot shingles are dealt into parts and blocks.
 
@@ -383,7 +384,7 @@ def _near(pairs: DataFrame, classes: DataFrame, threshold, name: str) -> DataFra
     """The pairs (a, b) of classes that pass the prefix filter under another order."""
     left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x"))
     right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
-    near = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y")
+    near = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "na", "nb", "x", "y")
     return stash(near.mapInArrow(_filter(threshold), "a long, b long"), name)
 
 
@@ -404,7 +405,8 @@ def _compare(near: DataFrame, sets: DataFrame | None, threshold) -> DataFrame:
     """The pairs (a, b) that reach the threshold, compared in full."""
     if sets is None:
         return near.limit(0)
-    both = near.join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), "a")
+    right, left = sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x"))
+    both = near.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     return both.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long")
 
 
@@ -563,12 +565,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     dealt = large.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = dealt.select(F.xxhash64("token", "low", "high").alias("key"), "block", "low", "high", "sig", "n", "component", "before")
     dealt = stash(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_needed(threshold), _DEALT), "blocks")
-    dealt = dealt.join(classes.select("sig", "prefix"), "sig").select(*dealt.columns, "prefix").repartition(parts, "key").sortWithinPartitions("key")
+    dealt = dealt.join(classes.select("sig", "prefix").hint("merge"), "sig").select(*dealt.columns, "prefix").repartition(parts, "key").sortWithinPartitions("key")
     dealt = stash(dealt.mapInArrow(_filtered(threshold), f"{_DEALT}, prefix binary"), "near-blocks")
     sets = _fetch(docs, _ends(late).unionByName(dealt.select("sig")).distinct(), classes, width, "late-sets")
     late_links = _compare(late, sets, threshold)
     if sets is not None:
-        full = dealt.join(sets, "sig").select("key", "block", "low", "high", "sig", "n", "component", "before", "prefix", "hashes")
+        full = dealt.join(sets.hint("merge"), "sig").select("key", "block", "low", "high", "sig", "n", "component", "before", "prefix", "hashes")
         late_links = late_links.unionByName(full.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_blocks(threshold), "a long, b long"))
     late_links = stash(late_links, "late-links")
     lifted = late_links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
