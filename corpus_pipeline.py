@@ -110,9 +110,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words = F.coalesce(F.regexp_count(t, F.lit(op02_mixing.WORD)), F.lit(0)).cast("long")
     mixed = op02_mixing.mix(plain.select(F.col(i).alias("doc_id"), F.col(s).alias("source"), F.col(t).alias("text")))
     taken = mixed.groupBy("doc_id", "size", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    taken = stash(taken.where("copies > 0"), "taken")
+    taken = stash(taken.where("copies > 0"), "taken")  # grows with the corpus: merged at every size, never broadcast
     own = plain.withColumn("words", words)
-    both = own.join(taken, F.col(i).eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")) & F.col(s).eqNullSafe(F.col("source")))
+    both = own.join(taken.hint("merge"), F.col(i).eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")) & F.col(s).eqNullSafe(F.col("source")))
     if taken.where("rows > 1").limit(1).count():
         order = Window.partitionBy("doc_id", "size", "source").orderBy(F.xxhash64(t), *[F.col(c).cast("string") for c in plain.columns])
         place = F.when(F.col("rows") > 1, F.row_number().over(order) - 1).otherwise(0)
