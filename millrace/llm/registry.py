@@ -16,6 +16,10 @@ from millrace.llm.op07_jaccard import op7_jaccard
 from millrace.llm.op08_ann import op8_ann
 from millrace.llm.op09_bpe import op9_bpe
 from millrace.llm.op10_language import op10_language
+from millrace.llm.op11_collocation import SQL as OP11_SQL
+from millrace.llm.op11_collocation import op11_collocation
+from millrace.llm.op13_audit import SQL as OP13_SQL
+from millrace.llm.op13_audit import op13_audit
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +29,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_mixing, op3_quality, op4_html, op5_tokens, op6_neardup, op7_jaccard, op8_ann, op9_bpe, op10_language, pipeline)
+    found = (op1_pii, op2_mixing, op3_quality, op4_html, op5_tokens, op6_neardup, op7_jaccard, op8_ann, op9_bpe, op10_language, op11_collocation, op13_audit, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_collocation": OP11_SQL, "op13_audit": OP13_SQL}
