@@ -18,6 +18,7 @@ from millrace.llm.op09_bpe import op9_bpe
 from millrace.llm.op10_language import op10_language
 from millrace.llm.op11_collocation import SQL as OP11_SQL
 from millrace.llm.op11_collocation import op11_collocation
+from millrace.llm.op12_toxicity import op12_toxicity
 from millrace.llm.op13_audit import SQL as OP13_SQL
 from millrace.llm.op13_audit import op13_audit
 
@@ -29,7 +30,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_mixing, op3_quality, op4_html, op5_tokens, op6_neardup, op7_jaccard, op8_ann, op9_bpe, op10_language, op11_collocation, op13_audit, pipeline)
+    found = (op1_pii, op2_mixing, op3_quality, op4_html, op5_tokens, op6_neardup, op7_jaccard, op8_ann, op9_bpe, op10_language, op11_collocation, op12_toxicity, op13_audit, pipeline)
     return {f.__name__: f for f in found}
 
 
