@@ -14,7 +14,7 @@ from millrace.operators.index import Index, statistics
 
 K1, B = 1.5, 0.75
 RANK_CONSTANT = 60
-MOST_QUERIES = 10_000  # of one broadcast batch
+MOST_QUERIES = 10_000  # rows of one broadcast batch
 
 
 def top(scored: DataFrame, k: int, *order: Column, by: str = "query_id", rank: str = "rank") -> DataFrame:
@@ -41,8 +41,10 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, k: int, id: str = "doc_id"
     at_once = not isinstance(docs, Index)
     posted = query_postings(docs, queries, id, text) if at_once else docs.find(queries)
     figures = statistics(docs, id, text) if at_once else docs.statistics
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
-    each = posted.join(queries.distinct(), "token").join(df, "token").crossJoin(F.broadcast(figures))  # one row
+    wanted = queries.distinct().join(posted.groupBy("token").agg(F.count("*").alias("df")), "token")
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        wanted = F.broadcast(wanted)  # no more rows than the batch: postings stay where they are read
+    each = posted.join(wanted, "token").crossJoin(F.broadcast(figures))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.when(F.col("avg_len") > 0, k1 * (1 - b + b * F.col("token_count") / F.col("avg_len"))).otherwise(k1)
     each = each.withColumn("part", idf * F.col("tf") * (k1 + 1) / (F.col("tf") + norm))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import curation, index, retrieval
 from millrace.plans.catalog import query, table
+from millrace.sources import tables
 
 TERMS = [(1, "the"), (1, "that"), (1, "with"), (2, "pour"), (2, "dans"), (2, "une"), (3, "und"), (3, "nicht"), (3, "license")]
 _TERMS = ", ".join(f"({q}, '{t}')" for q, t in TERMS)
@@ -37,7 +40,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def ranked(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
     """Over the stored index of the corpus, which the first search builds."""
-    return retrieval.bm25(index.stored(table(spark, sf_dir, "documents")), terms(spark), k)
+    return retrieval.bm25(index.stored(spark, f"{sf_dir}/documents.parquet"), terms(spark), k)
 
 
 def near(spark: SparkSession, sf_dir: str, k: int = 40) -> DataFrame:
@@ -78,7 +81,39 @@ def d02_two_level_avg(spark, sf_dir):
 @query(f"WITH {TOK}, l AS (SELECT doc_id, sum(tf) AS n FROM post GROUP BY 1) SELECT doc_id, token, tf, n::BIGINT AS token_count FROM post JOIN l USING (doc_id)")
 def j16_index_rebuild(spark, sf_dir):
     """The postings of a stored index, read back."""
-    return index.stored(table(spark, sf_dir, "documents")).postings.drop("bucket")
+    return index.stored(spark, f"{sf_dir}/documents.parquet").postings.drop("bucket")
+
+
+def _kept(spark: SparkSession) -> index.Segments:
+    return index.Segments(spark, f"{tables.shared_dir(spark)}/millrace/segments-{uuid.uuid4().hex}")
+
+
+def _by_token(own: index.Segments) -> DataFrame:
+    return own.index().postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
+@query(f"WITH {TOK} SELECT token, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM post GROUP BY 1")
+def j15_index_restore(spark, sf_dir):
+    """Documents arrive in two batches; those of one source are deleted; then the index goes back to what it was before."""
+    docs, own = table(spark, sf_dir, "documents"), _kept(spark)
+    own.add(docs.where("lang = 'en'"))
+    whole = own.add(docs.where("lang IS DISTINCT FROM 'en'"))
+    own.delete(docs.where("source = 'src0'"))
+    own.restore(whole)
+    return _by_token(own)
+
+
+@query(r"""WITH kept AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' revised edition' ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'es'),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}')) AS token FROM kept), post AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL)
+SELECT token, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM post GROUP BY 1""")
+def j16_incremental(spark, sf_dir):
+    """Spanish documents are deleted and German ones replaced by a revision; then all segments become one."""
+    docs, own = table(spark, sf_dir, "documents"), _kept(spark)
+    own.add(docs)
+    own.delete(docs.where("lang = 'es'"))
+    own.add(docs.where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" revised edition"))))
+    own.merge()
+    return _by_token(own)
 
 
 @query(f"{BM25} SELECT query_id::BIGINT AS query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 40")
@@ -112,10 +147,12 @@ FROM fu LEFT JOIN documents d ON d.doc_id = item LEFT JOIN bm ON bm.query_id = f
 LEFT JOIN de ON de.query_id = fu.query_id AND de.vec_id = item AND de.rank <= 40 WHERE fu.rank <= 24""")
 def e06_hybrid_search(spark, sf_dir):
     """Fusion first, then both scores and the document's columns by left joins: an item without a document stays."""
-    best = fused(spark, sf_dir).select("query_id", "item", F.col("rank").cast("long").alias("rank"))
+    lexical = tables.stash(ranked(spark, sf_dir).select("query_id", F.col("doc_id").alias("item"), "score", "rank"), "lexical")  # 40 rows a query
+    dense = tables.stash(near(spark, sf_dir).select("query_id", F.col("vec_id").alias("item"), "score", "rank"), "dense")
+    best = retrieval.fuse([lexical, dense], 24).select("query_id", "item", F.col("rank").cast("long").alias("rank"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "source", "lang")
-    bm = ranked(spark, sf_dir).select("query_id", F.col("doc_id").alias("item"), F.round("score", 6).alias("bm25_score"))
-    de = near(spark, sf_dir).select("query_id", F.col("vec_id").alias("item"), F.round("score", 6).alias("dense_score"))
+    bm = lexical.select("query_id", "item", F.round("score", 6).alias("bm25_score"))
+    de = dense.select("query_id", "item", F.round("score", 6).alias("dense_score"))
     return docs.join(best, "item", "right").join(bm, ["query_id", "item"], "left").join(de, ["query_id", "item"], "left").select("query_id", "item", "rank", "source", "lang", "bm25_score", "dense_score")
 
 

@@ -22,6 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def stash(rows: DataFrame, name: str) -> DataFrame:
+    """Writes rows in the shared folder and reads them back: what follows is computed from them, whatever executor is lost."""
+    path = f"{shared_dir(rows.sparkSession)}/millrace/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Deletes a file or folder on whatever file system holds it; False where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType, strict: bool = True) -> DataFrame:
     """JSON lines; blank lines are skipped. A line that is no object fails the read, or stands in _corrupt_record if not strict."""
     if strict:

@@ -287,20 +287,6 @@ def test_chunks_cut_at_the_target_and_carry_the_last_units(spark):
     assert sequence.text_units("x\n\n \ny", 10) == [(0, 2), (5, 6)]
 
 
-def test_stored_index_is_that_of_the_table_and_built_once(spark, tmp_path, monkeypatch):
-    docs = spark.createDataFrame([(1, "virtua virtua exit"), (2, "virtua other words"), (3, None)], "doc_id long, text string")
-    docs.write.parquet(f"{tmp_path}/docs")
-    read = lambda: spark.read.parquet(f"{tmp_path}/docs")
-    q = spark.createDataFrame([(1, "virtua"), (1, "exit"), (2, "nowhere")], "query_id long, token string")
-    first, again = index.stored(read(), buckets=4), index.stored(read(), buckets=4)
-    assert first.postings.inputFiles() and sorted(first.postings.inputFiles()) == sorted(again.postings.inputFiles())
-    assert rows(retrieval.bm25(first, q, 5)) == rows(retrieval.bm25(docs, q, 5))
-    monkeypatch.setattr(index, "MOST_NAMED", 1)
-    assert rows(retrieval.bm25(first, q, 5)) == rows(retrieval.bm25(docs, q, 5))
-    docs.union(docs).write.mode("overwrite").parquet(f"{tmp_path}/docs")
-    assert rows(retrieval.bm25(index.stored(read(), buckets=4), q, 9)) == rows(retrieval.bm25(docs.union(docs), q, 9))
-
-
 def test_revision_digest_follows_order_and_content(spark):
     own = [("a", i, f"h{i}") for i in range(2500)] + [("b", 5, "x"), ("b", 5, "y"), (None, 1, "z")]
     digest = lambda r: {x.k: (x.revision, x.n) for x in state.revision_digest(spark.createDataFrame(r, "k string, id long, h string"), "k", "id", "h", width=10).collect()}
