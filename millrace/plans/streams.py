@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.plans.catalog import query, table
-from millrace.streaming import jobs
+from millrace.streaming import jobs, timers
 
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 256")
@@ -63,3 +63,13 @@ def m11_summary_trigger(spark, sf_dir):
 def m06_late_drop(spark, sf_dir):
     """Events against a two-day deadline after their user's first: late ones are dropped, the rest counted."""
     return jobs.deadlines(spark, table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), 2 * 86_400_000)
+
+
+@query("""WITH j AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS job, min(epoch_us(ts) // 1000) AS started, min(epoch_us(ts) // 1000) FILTER (event_type = 'error') AS cancelled, min(epoch_us(ts) // 1000) FILTER (event_type = 'purchase') AS completed FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL GROUP BY 1),
+d AS (SELECT *, least(cancelled, completed, started + 21600000) AS at_ms FROM j)
+SELECT job, CASE WHEN cancelled = at_ms THEN 'cancelled' WHEN completed = at_ms THEN 'completed' ELSE 'timed_out' END AS status, at_ms FROM d""")
+def m06_timeouts(spark, sf_dir):
+    """A user's day as a job: a purchase completes it, an error cancels it, and a timer ends it six hours after its first event."""
+    job = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "cancelled")
+    return timers.endings(spark, table(spark, sf_dir, "events"), 21_600_000, F.when(F.col("user_id").isNotNull(), job), kind)
