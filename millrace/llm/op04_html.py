@@ -12,7 +12,8 @@ a block becomes one space, and blocks are joined by an empty line. Paragraphs, l
 where the next one or their parent ends, as their end tags are optional. An element that is left out by its name or class
 but never closed covers what follows up to the next block that is no list, so a missing end tag does not take the article
 with it. Names and classes that may also head a part of an article (header, legal, copyright, notes on sources) count
-only outside a marked article.
+only outside a marked article. Hints by class or id, and forms, are not believed where they cover a marked article, or leave
+next to nothing of it; tags weigh little inside a marked article, so that tables or figures in it do not part it in two.
 
 Null and empty pages, and pages without text, give an empty text; an empty table gives no rows. Pages of any length are
 read whole; stray tags are skipped. Of equally good regions the first is taken. Repeated rows give repeated results;
@@ -75,6 +76,12 @@ _ARTICLE_HINT = re.compile(r"articleBody", re.I)
 DEFAULT = {"": 1.0, "never": -0.05, "tag": -1.5, "p": -0.3, "br": -0.1, "b": -0.1, "i": -0.1, "em": -0.1, "strong": -0.1, "h1": -0.3, "h2": -0.3, "li": -1.0, "a": -2.0}
 
 
+#: Hints that name what an element is even if it holds nearly all words of a page.
+_SURE_HINT = _hint("comments?|respond|replies|disqus|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|footer|sidebars?|ads?|adverts?|advertisements?")
+IN_ARTICLE = 0.001  # of a tag's weight counts inside a marked article
+LEAST_LEFT = 0.1  # of an article's words, or of a page's without one: if less is left, hints misled
+
+
 class _Elements:
     """The open elements of a page that matter, and the stretches of tokens that excluded and article elements cover."""
 
@@ -82,7 +89,7 @@ class _Elements:
         self.open: list[tuple[str, list | None]] = []
         self.count: Counter[str] = Counter()
         self.inline: Counter[str] = Counter()  # elements that neither end others nor cover anything
-        self.stretches: list[list] = []  # [kind, start, end, closed by its own end tag]
+        self.stretches: list[list] = []  # [kind, start, end, closed by its own end tag, how sure: 2 its name, 1 its hint, 0 a hint that wrappers have too]
         self.articles = 0
 
     def _pop(self, at: int, own: str | None) -> None:
@@ -92,7 +99,7 @@ class _Elements:
             stretch[2], stretch[3] = at, name == own or name in OPTIONAL
             self.articles -= stretch[0] == "article"
 
-    def start(self, name: str, kind: str | None, at: int) -> None:
+    def start(self, name: str, kind: str | None, at: int, sure: int = 2) -> None:
         if name in BLOCKS and self.count["p"]:
             k = len(self.open) - 1
             while self.open[k][0] != "p" and self.open[k][0] not in BLOCKS:
@@ -107,7 +114,7 @@ class _Elements:
             while len(self.open) > k:
                 self._pop(at, None)
         if name in BLOCKS or name in NEVER or kind or self.count[name]:
-            stretch = [kind, at, None, False] if kind else None
+            stretch = [kind, at, None, False, sure] if kind else None
             if stretch:
                 self.stretches.append(stretch)
                 self.articles += kind == "article"
@@ -132,6 +139,39 @@ class _Elements:
             self._pop(at, None)
 
 
+def _misled(stretches: list[list], words: list[int]) -> list[list]:
+    """The excluded stretches whose hint or form tag is wrong. words: running counts of the tokens' words.
+
+    An element round the main article is none; the main article is the longest marked one, of those that are not
+    excluded if there are any. Where nearly all words of it (or of a page without one) are excluded, the largest hinted
+    elements that hold most of them are none either, unless their hint is a sure one.
+    """
+    never = [s for s in stretches if s[0] == "never"]
+    if all(s[4] == 2 for s in never):
+        return []
+    size = lambda s: words[s[2]] - words[s[1]]
+    within = lambda s, t: t[1] <= s[1] and s[2] <= t[2]
+    articles = [s for s in stretches if s[0] == "article" and size(s)]
+    free = [a for a in articles if not any(within(a, s) for s in never)]
+    main = max(free or articles, key=size, default=None)
+    wrong = [s for s in never if s[4] < 2 and main and within(main, s)]
+    whole = main or ["", 0, len(words) - 1]
+
+    def left() -> int:
+        total, reach = 0, whole[1]
+        for s in [s for s in never if s not in wrong and s[2] > whole[1] and s[1] < whole[2]] + [["", whole[2], whole[2]]]:  # in order of their starts
+            if s[1] > reach:
+                total += words[s[1]] - words[reach]
+            reach = max(reach, min(s[2], whole[2]))
+        return total
+
+    for s in sorted((s for s in never if s[4] == 0 and s not in wrong and within(s, whole)), key=size, reverse=True):
+        if 2 * size(s) <= size(whole) or left() >= LEAST_LEFT * size(whole):
+            break
+        wrong.append(s)
+    return wrong
+
+
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, value, excluded, in article): kind is "tag", with the name (and a slash) as value, or "text"."""
     parts: list[tuple[str, str]] = []
@@ -155,11 +195,19 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             plain = name not in ("html", "body", "article", "main") and bool(hints)
             never = name in NEVER and not (name == "header" and elements.articles) or plain and bool(_NEVER_HINT.search(hints))
             never = never or plain and not elements.articles and not marks and bool(_OUTSIDE_HINT.search(hints))
-            elements.start(name, "never" if never else "article" if marks else None, len(parts))
+            never = never and not (name == "label" and elements.count["p"])  # a word of a paragraph
+            sure = 2 if name in NEVER and name != "form" else 1 if bool(hints) and bool(_SURE_HINT.search(hints)) else 0
+            elements.start(name, "never" if never else "article" if marks else None, len(parts), sure)
         parts.append(("tag", name))
     elements.close(len(parts))
+    wrong: list[list] = []
+    if any(s[0] == "never" and s[4] < 2 for s in elements.stretches):
+        wrong = _misled(elements.stretches, [0, *accumulate(len(v.split()) if k == "text" else 0 for k, v in parts)])
     change = {"never": [0] * (len(parts) + 1), "article": [0] * (len(parts) + 1)}
-    for kind, start, end, own in elements.stretches:
+    for stretch in elements.stretches:
+        kind, start, end, own, _ = stretch
+        if any(stretch is s for s in wrong):
+            continue
         if kind == "never" and not own:  # no end tag: up to the next block after some text
             said = False
             for k in range(start, end):
@@ -210,10 +258,10 @@ def extract(page: str, weights: dict[str, float]) -> str:
     """The text of the content region of one page."""
     parts, scores = [], []
     other, word, never_word = weights["tag"], weights[""], weights["never"]
-    for kind, value, never, _ in tokens(page):
+    for kind, value, never, article in tokens(page):
         parts.append((kind, value, never))
         if kind == "tag":
-            scores.append(weights.get(value.lstrip("/"), other) * (0.05 if never else 1))
+            scores.append(weights.get(value.lstrip("/"), other) * (IN_ARTICLE if article else 0.05 if never else 1))
         else:
             scores.append(len(value.split()) * (never_word if never else word))
     low, high = best_run(scores)

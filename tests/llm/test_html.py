@@ -86,3 +86,45 @@ def test_optional_end_tags_and_classes_inside_an_article():
     assert H.extract(page, H.DEFAULT).split("\n\n") == [words(n) for n in (1, 2, 3, 4, 5, 6)]
     assert H.extract(f"<body><nav><p>Home<p>{words(1)}<p>{words(2)}</body>", H.DEFAULT).split("\n\n") == [words(1), words(2)]
     assert H.extract(f'<div id="legal"><p>{words(9)}</div><article><p>{words(1)}\n{words(2)}</article>', H.DEFAULT) == words(1) + " " + words(2)
+
+
+BODY = "<p>one two three four five six seven eight nine ten</p><p>eleven twelve thirteen fourteen fifteen sixteen</p>"
+TEXT = "one two three four five six seven eight nine ten\n\neleven twelve thirteen fourteen fifteen sixteen"
+AROUND = '<html><body><nav><a href="/">home page</a> <a href="/x">contact us</a></nav>{}<footer>all rights of this page</footer></body></html>'
+
+
+def _words(pattern):
+    listed = re.search(r"\(\?:\^\|\[\\s_-\]\)\(\?:(.*)\)\(\?:\$", pattern.pattern)[1]
+    return re.sub(r"\(\?:[^)]*\)\??|\w\?", "", listed).split("|")
+
+
+def test_hints_do_not_exclude_what_holds_the_article():
+    for word in [*_words(H._NEVER_HINT), *_words(H._OUTSIDE_HINT)]:
+        for wrapper in (f'<div class="has-{word}"><article>{BODY}</article></div>', f'<div class="page"><div id="{word}-x"><div><article>{BODY}</article></div></div></div>'):
+            assert H.extract(AROUND.format(wrapper), H.DEFAULT) == TEXT, word
+    for page in (
+        f'<div class="layout has-sidebar"><article>{BODY}</article></div>',
+        f'<div class="no-ads"><article>{BODY}</article></div>',
+        f'<article><div class="social-science">{BODY}</div></article>',
+        f'<form id="aspnetForm"><article>{BODY}</article></form>',
+        f'<form id="aspnetForm"><div>{BODY}</div></form>',
+    ):
+        assert H.extract(AROUND.format(page), H.DEFAULT) == TEXT
+
+
+def test_hints_still_exclude_comments_and_adverts():
+    comment = '<section class="comments"><article class="comment"><p>' + "first reader says a lot " * 30 + "</p></article></section>"
+    advert = '<div class="ad-box"><p>buy this now</p></div>'
+    half = BODY.index("<p>eleven")
+    for page in (f"<article>{BODY}</article>{comment}", f"<article>{BODY}{comment}</article>", f"<article>{BODY[:half]}{advert}{BODY[half:]}</article>{comment}"):
+        assert H.extract(AROUND.format(page), H.DEFAULT) == TEXT
+
+
+def test_article_is_not_parted_by_tables():
+    tables = "<table><tr><td></td></tr></table>" * 40
+    half = BODY.index("<p>eleven")
+    assert H.extract(AROUND.format(f"<article>{BODY[:half]}{tables}{BODY[half:]}</article>"), H.DEFAULT) == TEXT
+
+
+def test_label_in_a_paragraph_is_text():
+    assert H.extract(AROUND.format("<article><p>a field <label>called name</label> has a value</p></article>"), H.DEFAULT) == "a field called name has a value"
