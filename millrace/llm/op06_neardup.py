@@ -77,11 +77,14 @@ def _cells(fitted: dict[int, np.ndarray], sine: float):
     """Rows (cell, home, key, copies, vector): each vector at home and where it visits; vector has the column's own bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between: dict[int, np.ndarray] = {}  # distances of the centres, which have length 1, and what rounding may hide
         for batch in it:
             key, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, raw in by_size(batch.column(2)):
                 c = fitted.get(raw.shape[1], np.zeros((1, raw.shape[1])))
-                gaps = np.linalg.norm(c[:, None] - c[None], axis=2)
+                if raw.shape[1] not in between:
+                    between[raw.shape[1]] = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) + 1e-7
+                gaps = between[raw.shape[1]]
                 for at in range(0, len(rows), 1024):
                     part = slice(at, at + 1024)
                     near = units(raw[part]) @ c.T

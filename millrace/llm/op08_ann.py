@@ -7,8 +7,10 @@ added and pruned likewise, in two passes over all points. Each graph is built on
 every block of queries then reads it. A query's beam search runs in every shard; the shards' best are scored again by
 the exact inner product in double precision and merged.
 
-For the graph, largest inner product becomes nearest distance by one added component that gives all vectors of a
-shard the same length. Equal vectors are one graph node that lists all its ids. Queries meet shards in blocks of
+For a graph, largest inner product becomes nearest distance by one added component that gives all its vectors the same
+length. As that hides directions where lengths differ much, a shard has a graph for each band of lengths within the
+factor BAND; vectors of one length are one band. Lengths are kept as logarithms, so no finite vector overflows. Equal
+vectors are one graph node that lists all its ids. Queries meet shards in blocks of
 QUERIES rows. Vectors that are null, empty or zero, or hold a null or a non-finite component, take no part; vectors of
 another length than a query's are not its candidates. A repeated id counts as one more vector for other queries but is
 never its own candidate; of its vectors the one with the smallest hash is the query. An empty table gives no rows. Equal
@@ -36,6 +38,7 @@ SHARD, QUERIES = 6000, 1500
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 48, 96, 1.15
 EXPAND = 4  # beam entries opened in one step
 BATCH = 500
+BAND = 1.25  # the longest vector of a band over its shortest, at most
 
 
 class Graph:
@@ -142,53 +145,84 @@ class Graph:
 
 
 class Shard(NamedTuple):
-    """One shard's distinct vectors, the ids that each stands for (those of node j at starts[j]:starts[j + 1]), and the graph's edges and entry."""
+    """One shard's distinct vectors, longest first, in bands of like length, each with a graph of its own.
+
+    The ids that node j stands for are those at starts[j]:starts[j + 1]; band b has the nodes bands[b]:bands[b + 1]. Edges
+    count within a band.
+    """
 
     distinct: np.ndarray
     ids: np.ndarray
     starts: np.ndarray
     edges: np.ndarray
-    entry: int
+    bands: np.ndarray
+    entries: np.ndarray
+
+
+def log_lengths(x: np.ndarray) -> np.ndarray:
+    """Logarithms of the vectors' lengths, without overflow."""
+    scale = np.abs(x).max(axis=1)
+    return np.log(scale) + 0.5 * np.log(((x / scale[:, None]) ** 2).sum(axis=1))
 
 
-def _level(distinct: np.ndarray) -> np.ndarray:
-    """The vectors with one component more, all of length 1."""
-    squares = (distinct**2).sum(axis=1)
-    longest = float(squares.max())
-    return np.concatenate([distinct, np.sqrt(np.maximum(longest - squares, 0))[:, None]], axis=1) / math.sqrt(longest)
+def _level(band: np.ndarray, longest: float) -> np.ndarray:
+    """A band's vectors over its greatest length, with one component more that makes them all of length 1."""
+    scale = np.abs(band).max()
+    unit = band / scale * math.exp(math.log(scale) - longest)
+    return np.concatenate([unit, np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))[:, None]], axis=1)
 
 
 def build_shard(ids: np.ndarray, x: np.ndarray) -> Shard:
     distinct, where = np.unique(x, axis=0, return_inverse=True)
-    where = where.ravel()
+    length = log_lengths(distinct)
+    down = np.argsort(-length, kind="stable")
+    distinct, length = distinct[down], length[down]
+    place = np.empty(len(down), dtype=np.int64)
+    place[down] = np.arange(len(down))
+    where = place[where.ravel()]
     order = np.lexsort((ids, where))
     starts = np.searchsorted(where[order], np.arange(len(distinct) + 1))
-    graph = Graph(_level(distinct)).build()
-    return Shard(distinct, ids[order], starts, graph.edges, graph.entry)
+    bands = [0]
+    while bands[-1] < len(distinct):
+        bands.append(int(np.searchsorted(-length, math.log(BAND) - length[bands[-1]], side="right")))
+    graphs = [Graph(_level(distinct[a:b], length[a])).build() for a, b in zip(bands, bands[1:])]
+    return Shard(distinct, ids[order], starts, np.concatenate([g.edges for g in graphs]), np.array(bands), np.array([g.entry for g in graphs]))
 
 
 def search_shard(shard: Shard, query_ids: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, product) of each query's best in one shard, without itself."""
+    """(query, id, product) of each query's best in one shard, without itself.
+
+    Bands are searched from the longest vectors to the shortest; a query leaves when its k-th product is more than any
+    vector of the next band can reach.
+    """
     distinct, ids, starts = shard.distinct, shard.ids, shard.starts
-    graph = Graph(_level(distinct), shard.edges, shard.entry)
-    flat = np.concatenate([q, np.zeros((len(q), 1))], axis=1)
-    nodes = np.concatenate([graph.search(flat[i : i + BATCH], SEARCH_BEAM)[0] for i in range(0, len(q), BATCH)])[:, : 2 * k]
-    out: list[tuple[int, int, float]] = []
-    for i, own in enumerate(query_ids.tolist()):
-        hit = nodes[i][nodes[i] >= 0]
-        dot = distinct[hit] @ q[i]
-        best: list[tuple[float, int]] = []
-        for j in np.argsort(-dot, kind="stable").tolist():
-            if len(best) > k and dot[j] < best[k][0]:
-                break
-            best += [(float(dot[j]), v) for v in ids[starts[hit[j]] : starts[hit[j] + 1]][: k + 1].tolist() if v != own]
-        best.sort(key=lambda b: (-b[0], b[1]))
-        out += [(own, v, d) for d, v in best[:k]]
+    flat = np.concatenate([q / np.abs(q).max(axis=1, keepdims=True), np.zeros((len(q), 1))], axis=1)
+    long, best = log_lengths(q), [[] for _ in q]
+    for low, high, entry in zip(shard.bands[:-1].tolist(), shard.bands[1:].tolist(), shard.entries.tolist()):
+        longest = float(log_lengths(distinct[low : low + 1])[0])
+        live = [i for i, b in enumerate(best) if len(b) < k or b[k - 1][0] <= 0 or math.log(b[k - 1][0]) <= long[i] + longest + 1e-9]
+        if not live:
+            break
+        graph = Graph(_level(distinct[low:high], longest), shard.edges[low:high], entry)
+        nodes = np.concatenate([graph.search(flat[live[i : i + BATCH]], SEARCH_BEAM)[0] for i in range(0, len(live), BATCH)])[:, : 2 * k]
+        for i, found in zip(live, nodes):
+            own, near = query_ids[i], best[i]
+            hit = found[found >= 0] + low
+            dot = distinct[hit] @ q[i]
+            new: list[tuple[float, int]] = []
+            for j in np.argsort(-dot, kind="stable").tolist():
+                if len(new) > k and dot[j] < new[k][0]:
+                    break
+                new += [(float(dot[j]), v) for v in ids[starts[hit[j]] : starts[hit[j] + 1]][: k + 1].tolist() if v != own]
+            near += new
+            near.sort(key=lambda b: (-b[0], b[1]))
+            del near[k:]
+    out = [(own, v, d) for own, near in zip(query_ids.tolist(), best) for d, v in near]
     a, b, c = zip(*out) if out else ((), (), ())
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(c, dtype=np.float64)
 
 
-_SHARD = "size int, shard long, vec_id long, query boolean, vector binary, ids binary, starts binary, edges binary, entry int"
+_SHARD = "size int, shard long, vec_id long, query boolean, vector binary, ids binary, starts binary, edges binary, bands binary, entries binary"
 
 
 def _matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +232,7 @@ def _matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _build(group: pa.Table) -> pa.Table:
     s = build_shard(*_matrix(group))
-    row = [group.column("size")[0].as_py(), group.column("shard")[0].as_py(), None, False, s.distinct.tobytes(), s.ids.tobytes(), s.starts.tobytes(), s.edges.tobytes(), s.entry]
+    row = [group.column("size")[0].as_py(), group.column("shard")[0].as_py(), None, False, s.distinct.tobytes(), s.ids.tobytes(), s.starts.tobytes(), s.edges.tobytes(), s.bands.astype(np.int64).tobytes(), s.entries.astype(np.int64).tobytes()]
     kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = [f.split() for f in _SHARD.split(", ")]
     return pa.table({name: pa.array([v], kinds[kind]) for v, (name, kind) in zip(row, fields)})
@@ -211,7 +245,7 @@ def _search(k: int) -> Callable[[pa.Table], pa.Table]:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         s = shard[0]
         distinct = np.frombuffer(s["vector"], np.float64).reshape(-1, s["size"])
-        own = Shard(distinct, np.frombuffer(s["ids"], np.int64), np.frombuffer(s["starts"], np.int64), np.frombuffer(s["edges"], np.int32).reshape(-1, DEGREE), s["entry"])
+        own = Shard(distinct, np.frombuffer(s["ids"], np.int64), np.frombuffer(s["starts"], np.int64), np.frombuffer(s["edges"], np.int32).reshape(-1, DEGREE), np.frombuffer(s["bands"], np.int64), np.frombuffer(s["entries"], np.int64))
         a, b, c = search_shard(own, *_matrix(asked), k)
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 

@@ -114,3 +114,33 @@ def test_ann_odd_vectors(spark):
     assert [x for x in found if x[0] == 0] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 20, 0.5), (0, 4, 20, 0.5)]
     assert [x[2] for x in found if x[0] == 20] == [0, 1, 2]
     assert A.nearest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [16, 64, 256])
+def test_recall_on_uneven_lengths(size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(2000, size))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    huge = x.copy()
+    huge[7] *= 1e6
+    for rows in (x * np.exp(rng.normal(size=2000))[:, None], huge):
+        asked = np.arange(0, 2000, 20)
+        shard = A.build_shard(np.arange(2000), rows)
+        owner, found, score = A.search_shard(shard, asked, rows[asked])
+        product = rows[asked] @ rows.T
+        product[np.arange(len(asked)), asked] = -np.inf
+        want = {(q, v) for q, row in zip(asked.tolist(), product) for v in np.argsort(-row)[:20].tolist()}
+        assert len(want & {*zip(owner.tolist(), found.tolist())}) / len(want) >= 0.95
+        assert np.allclose(score, product[np.searchsorted(asked, owner), found])
+
+
+def test_a_vector_of_finite_but_huge_length_loses_no_other(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=8) * (1e200 if i == 3 else 1e-180 if i == 9 else 1)).tolist()) for i in range(61)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = A.nearest(df, every=20, k=20).collect()
+    x = np.array([v for _, v in rows])
+    for q in (0, 20, 40, 60):
+        dot = x @ x[q]
+        want = [i for i in np.lexsort((np.arange(61), -dot)).tolist() if i != q][:20]
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == want
