@@ -541,7 +541,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     # The original of a family shares more of its shingles, with more members, than its copies do.
     weight = hot.groupBy("sig").agg((F.sum("other") / F.max("n")).alias("weight"))
     part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("other") / F.lit(float(HUB_GROUP))))  # a hot shingle's members look for hubs in parts
-    members = hot.join(weight, "sig").select(F.xxhash64("token", part).alias("token"), "sig", "n", "weight").repartition(parts, "token").sortWithinPartitions("token")
+    members = hot.join(weight.hint("merge"), "sig").select(F.xxhash64("token", part).alias("token"), "sig", "n", "weight").repartition(parts, "token").sortWithinPartitions("token")
     hubs = members.mapInArrow(_hub_pairs(threshold), "a long, b long")
     pairs = found.where("token is null").select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).unionByName(hubs)
     pairs = stash(pairs.distinct(), "pairs")
@@ -549,11 +549,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     links = stash(_compare(near, _fetch(docs, _ends(near), classes, width, "sets"), threshold), "links")
     labels = stash(components(links), "labels")
 
-    at = hot.select("token", "sig", "n").join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("component"))
+    at = hot.select("token", "sig", "n").join(labels.select(F.col("node").alias("sig"), "component").hint("merge"), "sig", "left").select("token", "sig", "n", F.coalesce("component", "sig").alias("component"))
     mixed = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("token", "size")
     salted = at.withColumn("salt", F.pmod(F.xxhash64("sig", F.lit(3)), F.lit(SALTS)))
     spread = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    lists = salted.join(spread, ["token", "salt"]).groupBy("sig", "n", "component").agg(F.array_sort(F.collect_list(F.struct("token", "size"))).alias("tokens"))
+    lists = salted.join(spread.hint("merge"), ["token", "salt"]).groupBy("sig", "n", "component").agg(F.array_sort(F.collect_list(F.struct("token", "size"))).alias("tokens"))
     each = lists.select("sig", "n", "component", "tokens", F.posexplode("tokens").alias("place", "own"))
     each = stash(each.select("own.token", "own.size", "sig", "n", "component", F.expr("slice(tokens.token, greatest(1, place - 15), least(16, place))").alias("before")), "open-groups")
     small = each.where(F.col("size") <= LARGE_GROUP).drop("size").repartition(parts, "token").sortWithinPartitions("token")
@@ -579,10 +579,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
 
     rows = scan.where("kind = 0")
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
-    lows = classes.join(labels.select(F.col("node").alias("sig"), "component"), "sig", "left").select("sig", "low", F.coalesce("component", "sig").alias("component"))
+    lows = classes.join(labels.select(F.col("node").alias("sig"), "component").hint("merge"), "sig", "left").select("sig", "low", F.coalesce("component", "sig").alias("component"))
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = lows.join(least, "component").select("sig", "component_id")
-    out = rows.join(named, "sig", "left")
+    named = lows.join(least.hint("merge"), "component").select("sig", "component_id")
+    out = rows.join(named.hint("merge"), "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
