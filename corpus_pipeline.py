@@ -62,26 +62,31 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near duplicates stays, the one with the smallest id; rows without an id stay too.
 
     A document is an id with a text: copies of both are one, and an id that comes with several texts is as many
-    documents, each of which stays or goes with its own group. Among those of one id in one group, the smallest hash of
-    id and text stays; of rows equal in id and text, the smallest in its other columns. Null and empty texts are near
+    documents, each of which stays or goes with its own group. Among those of one id in one group, the smallest digest of
+    the text stays; of rows equal in id and text, the smallest in its other columns. Null and empty texts are near
     nothing and stay.
     """
     _workers(spark)
     plain, names = _numbered(docs)
     i, t = (f"c{names.index(c)}" for c in ("doc_id", "text"))
-    own, digest = plain.where(F.col(i).isNotNull()), F.xxhash64(t)
-    several = own.groupBy(i).agg((F.min(digest) < F.max(digest)).alias("several")).where("several").limit(1).count()
-    own = own.withColumn("key", F.xxhash64(i, t) if several else F.col(i))
+    own = plain.where(F.col(i).isNotNull()).withColumn("digest", F.when(F.col(t).isNotNull(), F.sha2(t, 256)).otherwise(""))
+    several = own.groupBy(i).agg((F.min("digest") < F.max("digest")).alias("several")).where("several").limit(1).count()
+    if several:  # a document is numbered, as its id is not its own
+        numbered = own.select(F.col(i).alias("id"), "digest").distinct().withColumn("key", F.monotonically_increasing_id())
+        numbered = stash(numbered, "numbered").hint("merge")
+        own = own.join(numbered, (F.col(i) == F.col("id")) & (own["digest"] == numbered["digest"])).select(*plain.columns, "key")
+    else:
+        own = own.drop("digest").withColumn("key", F.col(i))
     found = op07_jaccard.jaccard_components(own.select(F.col("key").alias("doc_id"), F.col(t).alias("text")))
     found = found.select(F.col("doc_id").alias("key"), "component_id")
     if several:
-        named = found.join(own.select("key", F.col(i).alias("id")).distinct(), "key")
-        first = named.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
-        kept = named.join(first.select(F.col("first.key").alias("key")), "key", "left_semi")
+        named = found.hint("merge").join(numbered, "key")
+        first = named.groupBy("component_id").agg(F.min(F.struct("id", "digest", "key")).alias("first"))
+        kept = named.join(first.select(F.col("first.key").alias("key")).hint("merge"), "key", "left_semi")
     else:
         kept = found.where("key = component_id")
     kept = stash(kept.groupBy("key").agg(F.count("*").alias("rows")), "kept")
-    known = own.join(kept.select("key"), "key", "left_semi")
+    known = own.join(kept.select("key").hint("merge"), "key", "left_semi")  # grows with the corpus: merged at every size
     if kept.where("rows > 1").limit(1).count():
         order = Window.partitionBy("key").orderBy(*[F.col(c).cast("string") for c in plain.columns if c != t])
         known = known.withColumn("place", F.row_number().over(order)).where("place = 1")
@@ -95,6 +100,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     _workers(spark)
     redacted = op01_pii.redact(docs, op01_pii.learn(docs))
+    if "n_chars" not in docs.columns:
+        return redacted.select(docs.columns)
     return redacted.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
