@@ -45,41 +45,54 @@ def ready_ahead(events: DataFrame, key: str, order: str, made: Column, consumed:
     return events.withColumn("ahead", ahead).withColumn("waits", made & (F.col("ahead") >= most))
 
 
+#: How white space is tidied.
+TIDY = ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"))
+
+
 def normalised(text, marks: str, keep: str) -> Column:
     """struct(text, replaced): each of the marks becomes a space, but not inside what `keep` matches; white space is tidied.
 
-    Runs of blanks become one, blanks beside a line end go, and more than two line ends become two.
+    Runs of blanks become one, blanks beside a line end go, and more than two line ends become two (TIDY, in turn).
     """
     c = F.trim(F.col(text) if isinstance(text, str) else text)
     spans = F.regexp_extract_all(c, F.lit(f"(?s){keep}|."), F.lit(0))  # protected stretches whole, all else by character
     hit = lambda x: x.rlike(f"^[{marks}]$")
     out = F.array_join(F.transform(spans, lambda x: F.when(hit(x), " ").otherwise(x)), "")
     replaced = F.size(F.filter(spans, hit)).cast("long")
-    for pattern, put in ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
+    for pattern, put in TIDY:
         out = F.regexp_replace(out, pattern, put)
     return F.struct(F.trim(out).alias("text"), replaced.alias("replaced"))
 
 
+#: A flag of an example, and what it adds to the score.
+STYLE_FLAGS = {"scene": 0.12, "synthetic": -0.12, "mode": 0.08, "length": 0.05}
+#: A measure of an example, and its factor.
+STYLE_MEASURES = {"dense": 0.55, "quality": 0.20, "authenticity": 0.15}
+#: The share of the penalty that a recent example loses, each expression at its observed rate, and all of them at most.
+RECENT_SHARE, EXPRESSION_SHARE, EXPRESSIONS_AT_MOST = 0.5, 0.4, 0.8
+#: What the weights of an example's behaviours add, at most, and what a strong expression adds where it is released.
+BEHAVIOUR_FACTOR, BEHAVIOURS_AT_MOST, RELEASED = 0.12, 0.18, 0.35
+
+
 def style_parts(weights: Column) -> dict[str, Column]:
-    """The eleven parts of an example's score over columns dense, quality, authenticity, scene, mode, length, synthetic and
-    recent (booleans), behaviours and expressions (arrays), penalty, and rates (expression -> observed rate); weights is a
-    map of behaviour -> weight. Factors and bounds are fixed values."""
-    zero, when = F.lit(0.0), lambda c, x: F.when(F.col(c), x).otherwise(0.0)
-    total = lambda array, f: F.aggregate(array, zero, lambda s, x: s + f(x))
-    release = F.coalesce(F.try_element_at(weights, F.lit("release")), zero)
-    return {
-        "dense": 0.55 * F.col("dense"),
-        "quality": 0.20 * F.col("quality"),
-        "authenticity": 0.15 * F.col("authenticity"),
-        "scene": when("scene", 0.12),
-        "mode": when("mode", 0.08),
-        "length": when("length", 0.05),
-        "behaviour": F.least(F.lit(0.18), 0.12 * total("behaviours", lambda b: F.coalesce(F.try_element_at(weights, b), zero))),
-        "opportunity": F.when(F.array_contains("expressions", "strong") & (release > 0), 0.35).otherwise(0.0),
-        "origin": when("synthetic", -0.12),
-        "recent": F.when(F.col("recent"), -0.5 * F.col("penalty")).otherwise(0.0),
-        "expression": -F.least(0.8 * F.col("penalty"), total("expressions", lambda e: 0.4 * F.col("penalty") * F.coalesce(F.try_element_at("rates", e), zero))),
-    }
+    """The parts of an example's score by name. weights: a map of behaviour -> weight.
+
+    Columns: the flags and measures above; recent (boolean), penalty, behaviours and expressions (arrays), and rates
+    (expression -> observed rate). What a map does not name counts as 0.
+    """
+
+    def summed(array: str, known) -> Column:
+        return F.aggregate(F.transform(array, lambda x: F.coalesce(F.try_element_at(known, x), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+
+    parts = {name: F.col(name) * factor for name, factor in STYLE_MEASURES.items()}
+    parts |= {name: F.when(F.col(name), factor).otherwise(0.0) for name, factor in STYLE_FLAGS.items()}
+    parts["behaviour"] = F.least(F.lit(BEHAVIOURS_AT_MOST), BEHAVIOUR_FACTOR * summed("behaviours", weights))
+    penalty = F.col("penalty")
+    parts["expression"] = -penalty * F.least(F.lit(EXPRESSIONS_AT_MOST), EXPRESSION_SHARE * summed("expressions", F.col("rates")))
+    parts["recent"] = F.when(F.col("recent"), -RECENT_SHARE * penalty).otherwise(0.0)
+    released = F.coalesce(F.try_element_at(weights, F.lit("release")) > 0, F.lit(False))
+    parts["opportunity"] = F.when(released & F.array_contains("expressions", "strong"), RELEASED).otherwise(0.0)
+    return parts
 
 
 def positions(text, part: str) -> Column:
