@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,33 +24,78 @@ def consistency(judgments: DataFrame, case: str, winner: str) -> DataFrame:
     return g.select(case, F.when(F.col("n") < 2, "incomplete").when(F.size("w") == 1, F.element_at("w", 1)).otherwise("inconsistent").alias("verdict"))
 
 
-def _resampled(rounds: int, seed: int):
-    """From rows (key, s, n): for each round the weighted sums (round, s, n) of a task's groups."""
+LEAF, MOST_LEAVES = 4096, 1024  # groups of a leaf, until there are so many leaves; beyond, leaves grow
+DRAWN = 1 << 22  # groups that a task draws at once
+
+
+def _stream(seed: int, *of: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, *of])))
+
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_rows = np.zeros((2, rounds)), False
-        for batch in it:
-            for key, s, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                weight = np.random.Generator(np.random.Philox(key=[key & (1 << 64) - 1, seed])).poisson(1.0, rounds)
-                total += weight * np.array([[s], [n]], dtype=float)
-                any_rows = True
-        if any_rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(total[0]), pa.array(total[1])], names=["round", "s", "n"])
+def leaf_draws(sizes: list[int], leaf: int, rounds: int, seed: int) -> np.ndarray:
+    """How many of a round's draws fall on a leaf, for all rounds.
+
+    As many groups are drawn in a round as there are, and each draw falls on a leaf in proportion to its size: a
+    multinomial, split down a binary tree of the leaves. A node's split is drawn from the node's own seed, so every leaf
+    finds its part by walking down from the root, and the leaves' parts add up to the whole without being gathered.
+    """
+    low, high = 0, len(sizes)
+    draws = np.full(rounds, sum(sizes), dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, total = sum(sizes[low:middle]), sum(sizes[low:high])
+        part = _stream(seed, 1, low, high).binomial(draws, left / total if total else 0.0)
+        if leaf < middle:
+            draws, high = part, middle
+        else:
+            draws, low = draws - part, middle
+    return draws
+
+
+def _resampled(sizes: list[int], rounds: int, seed: int):
+    """From a leaf's rows (leaf, k, s, n): for each round the sums of the groups drawn and their number."""
+
+    def run(group: pa.Table) -> pa.Table:
+        leaf = group.column("leaf")[0].as_py()
+        rows = np.stack([group.column(c).to_numpy() for c in ("k", "s", "n")])
+        rows = rows[:, np.lexsort(rows[::-1])]  # the same order on every run
+        draws, rng, out = leaf_draws(sizes, leaf, rounds, seed), _stream(seed, 2, leaf), np.zeros((2, rounds))
+        step = max(1, DRAWN // max(1, int(draws.max())))
+        for at in range(0, rounds, step):
+            own = draws[at : at + step]
+            picked = rng.integers(rows.shape[1], size=int(own.sum()))
+            place = np.repeat(np.arange(len(own)), own)
+            for k in (0, 1):
+                out[k, at : at + step] = np.bincount(place, rows[k + 1][picked], len(own))
+        return pa.table({"round": np.arange(rounds), "leaf": np.full(rounds, leaf, dtype=np.int32), "s": out[0], "n": out[1], "drawn": draws})
 
     return run
 
 
-def bootstrap(groups: DataFrame, value: str, key: str, rounds: int = 10_000, seed: int = 7) -> DataFrame:
-    """(mean, low, high): a cluster bootstrap over group sums and sizes; the bounds are the values at the places
-    floor(.025 rounds) and ceil(.975 rounds) - 1 of the sorted means, counted from 0.
+def resamples(groups: DataFrame, value: str, key: str, rounds: int = 10_000, seed: int = 7, leaf: int = LEAF) -> DataFrame:
+    """(round, s, n, drawn): sums and counts of the values of `drawn` groups, drawn with replacement, as many as there are.
 
-    Resampling is a Poisson(1) weight for each group and round, drawn from the group's own seed, so each task adds up its
-    groups for all rounds and hands on one row a round; no group table is collected. Drawing exactly as many groups as
-    there are would need every task to see all of them; the two agree as groups become many.
+    Groups are dealt into leaves by their keys' hash; a leaf of about `leaf` groups is one task's. What leaves hand on is
+    a row a round, added in the order of the leaves, so reruns agree to the last bit. A null key is a group of its own.
     """
     per = groups.groupBy(key).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    sent = per.select(F.xxhash64(key).alias("k"), F.col("s").cast("double"), F.col("n").cast("double"))
-    drawn = sent.mapInArrow(_resampled(rounds, seed), "round long, s double, n double").groupBy("round").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    total = per.count()
+    leaves = max(1, min(MOST_LEAVES, -(-total // leaf)))
+    dealt = per.select(F.xxhash64(key).alias("h"), F.coalesce(F.col("s"), F.lit(0)).cast("double").alias("s"), F.col("n").cast("double").alias("n"))
+    dealt = dealt.select(F.pmod("h", F.lit(leaves)).cast("int").alias("leaf"), F.col("h").cast("double").alias("k"), "s", "n")
+    found = {r.leaf: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # at most MOST_LEAVES numbers
+    sizes = [found.get(k, 0) for k in range(leaves)]
+    drawn = dealt.groupBy("leaf").applyInArrow(_resampled(sizes, rounds, seed), "round long, leaf int, s double, n double, drawn long")
+    parts = drawn.groupBy("round").agg(F.array_sort(F.collect_list(F.struct("leaf", "s", "n"))).alias("p"), F.sum("drawn").alias("drawn"))
+    added = lambda c: F.aggregate("p", F.lit(0.0), lambda t, x: t + x[c]).alias(c)
+    return parts.select("round", added("s"), added("n"), "drawn")
+
+
+def bootstrap(groups: DataFrame, value: str, key: str, rounds: int = 10_000, seed: int = 7) -> DataFrame:
+    """(mean, low, high): a cluster bootstrap over group sums and sizes; the bounds are the values at the places
+    floor(.025 rounds) and ceil(.975 rounds) - 1 of the sorted means, counted from 0."""
+    per = groups.groupBy(key).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    drawn = resamples(groups, value, key, rounds, seed)
     means = drawn.select(F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("m"))
     low, high = math.floor(0.025 * rounds), math.ceil(0.975 * rounds) - 1
     listed = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # one number a round

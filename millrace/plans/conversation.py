@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import extract, rank, sequence, state
+from millrace.operators import chunks, extract, patterns, rank, segmentation, sequence, state
 from millrace.plans.catalog import query, table
 
 
@@ -273,10 +273,40 @@ def k34_profile(spark, sf_dir):
     return _turns(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 6).alias("mean_size"), F.round(F.avg(T.occurrences("text", ",")), 6).alias("commas"), F.round(F.avg(F.col("text").contains("?").cast("int")), 6).alias("questions"))
 
 
-@query()
+_BLANK = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SIZE = rf"CASE WHEN length(x) <= 1000 THEN length(x) WHEN length(regexp_extract(substring(x, 1, 1000), '(?s)^.*[{chunks.MARKS}][{_BLANK}]*')) >= 500 THEN length(regexp_extract(substring(x, 1, 1000), '(?s)^.*[{chunks.MARKS}][{_BLANK}]*')) ELSE 1000 END"
+
+
+@query(rf"""WITH RECURSIVE lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n, len(string_split(text, chr(10))) AS most FROM documents WHERE text IS NOT NULL
+), placed AS (
+  SELECT doc_id, line || CASE WHEN n < most THEN chr(10) ELSE '' END AS x, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS a FROM lines
+), cut AS (
+  SELECT doc_id, a, x, {_SIZE} AS size FROM placed WHERE rtrim(x, chr(10)) <> ''
+  UNION ALL
+  SELECT doc_id, a, x, {_SIZE} FROM (SELECT doc_id, a + size AS a, substring(x, size + 1) AS x FROM cut WHERE size < length(x))
+), held AS MATERIALIZED (
+  SELECT doc_id, list(a ORDER BY a) AS ss, list(a + size ORDER BY a) AS es, count(*) AS n FROM cut WHERE size < length(x) OR NOT regexp_matches(x, '^[{_BLANK}]*$') GROUP BY 1
+), packed AS (
+  SELECT doc_id, 0 AS step, 0::BIGINT AS i, 0::BIGINT AS j, 1::BIGINT AS first, 1::BIGINT AS fresh, false AS owed FROM held
+  UNION ALL
+  SELECT doc_id, step + 1, first, stop, CASE WHEN k > n THEN n + 1 ELSE least(greatest(len(list_filter(ss, lambda s: s < es[stop] - 120)) + 1, first), stop + 1) END, stop + 1, over
+  FROM (SELECT *, CASE WHEN k > n THEN n WHEN over THEN k - 1 ELSE k END AS stop
+    FROM (SELECT *, k <= n AND k > first AND es[k] - ss[first] > 1000 AND NOT (owed AND k = fresh) AS over
+      FROM (SELECT p.*, h.ss, h.es, h.n, greatest(len(list_filter(h.es, lambda e: e < h.ss[p.first] + 800)) + 1, p.fresh) AS k FROM packed p JOIN held h USING (doc_id) WHERE p.first <= h.n)))
+), ranged AS (
+  SELECT p.doc_id, step, ss[i] AS a, es[j] AS b, j = n AS ends, substring(text, ss[i] + 1, es[j] - ss[i]) AS x FROM packed p JOIN held USING (doc_id) JOIN documents USING (doc_id) WHERE step > 0
+), trimmed AS (
+  SELECT doc_id, step, a, b, a + length(x) - length(regexp_replace(x, '^[{_BLANK}]+', '')) AS start_char, a + length(regexp_replace(x, '[{_BLANK}]+$', '')) AS end_char, step = max(step) OVER (PARTITION BY doc_id) AS last
+  FROM ranged WHERE NOT regexp_matches(x, '^[{_BLANK}]*$')
+), kept AS (
+  SELECT *, lag(start_char) OVER w AS pa, lag(end_char) OVER w AS pb FROM trimmed WINDOW w AS (PARTITION BY doc_id ORDER BY step)
+)
+SELECT k.doc_id, row_number() OVER (PARTITION BY k.doc_id ORDER BY step) - 1 AS chunk_index, substring(text, start_char + 1, end_char - start_char) AS text, start_char, end_char
+FROM kept k JOIN documents d USING (doc_id) WHERE NOT (last AND pa IS NOT DISTINCT FROM a AND pb IS NOT DISTINCT FROM b)""")
 def k02_chunks(spark, sf_dir):
     """Chunks of whole documents with their places; each is the text's own slice."""
-    return sequence.chunks(table(spark, sf_dir, "documents"))
+    return chunks.chunks(table(spark, sf_dir, "documents"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), s AS (SELECT *, sum(CASE WHEN n = 1 OR length(line) > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM l)
@@ -295,3 +325,39 @@ def a11_line_slice(spark, sf_dir):
 @query("""WITH t AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, text AS prompt, nt AS response FROM t WHERE role = 'user' AND nr = 'assistant' AND length(trim(nt)) > 0""")
 def k07_dialogue_pairs(spark, sf_dir):
     return extract.dialogue_pairs(_turns(spark, sf_dir), "conv_id", "turn", "role", "text")
+
+
+@query()
+def k01_segmented(spark, sf_dir):
+    """Documents without their spaces, cut into words again by a dictionary of the documents: words, words found, and words that agree."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = segmentation.segmenter(segmentation.dictionary(docs))
+    return segmentation.recovery(docs, docs.withColumn("text", F.regexp_replace("text", "[ \\t]+", "")), model)
+
+
+_NEGATIONS = ("not", "no", "nicht", "kein", "pas", "ne", "nunca")
+_REPORTS = ("said", "sagte", "dit", "dijo", "that", "que")
+_LISTED = lambda words: ", ".join(f"'{w}'" for w in words)
+
+
+@query(rf"""WITH quoted AS (
+  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '["“”„]')) AS part, generate_subscripts(regexp_split_to_array(lower(text), '["“”„]'), 1) % 2 = 0 AS quoted FROM documents
+), clauses AS (
+  SELECT row_number() OVER () AS c, quoted, x FROM (SELECT quoted, unnest(regexp_split_to_array(part, '[.,;:!?\n。，；：！？]')) AS x FROM quoted)
+), words AS (
+  SELECT c, quoted, unnest(regexp_extract_all(x, '\p{{L}}+')) AS w, generate_subscripts(regexp_extract_all(x, '\p{{L}}+'), 1) AS n FROM clauses
+), rules AS (
+  SELECT w AS phrase FROM words WHERE w NOT IN ({_LISTED(_NEGATIONS + _REPORTS)}) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 10000
+), scoped AS (
+  SELECT w, quoted, n > coalesce(min(n) FILTER (w IN ({_LISTED(_NEGATIONS)})) OVER (PARTITION BY c), n) AS negated, n > coalesce(min(n) FILTER (w IN ({_LISTED(_REPORTS)})) OVER (PARTITION BY c), n) AS reported FROM words
+)
+SELECT phrase, count(*) AS n, count(*) FILTER (negated) AS negated, count(*) FILTER (reported) AS reported, count(*) FILTER (quoted) AS quoted FROM scoped JOIN rules ON w = phrase GROUP BY 1""")
+def k15_scoped_rules(spark, sf_dir):
+    """The 10,000 most frequent words as rules, all matched at once: how often each stands in the documents, and of these how often negated, reported and quoted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scopes = spark.createDataFrame([(-1, w, label, True) for label, ws in (("negation", _NEGATIONS), ("reported", _REPORTS)) for w in ws], "rule_id long, phrase string, label string, whole boolean")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("phrase")).where(~F.col("phrase").isin([*_NEGATIONS, *_REPORTS]))
+    frequent = words.groupBy("phrase").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(10000)
+    rules = frequent.select(F.xxhash64("phrase").alias("rule_id"), "phrase", F.col("phrase").alias("label"), F.lit(True).alias("whole")).unionByName(scopes)
+    tally = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return patterns.extract(docs, rules).groupBy(F.col("label").alias("phrase")).agg(F.count("*").alias("n"), *map(tally, ("negated", "reported", "quoted")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import curation, retrieval, state
+from millrace.operators import curation, decode, export, retrieval, state
 from millrace.plans.catalog import query, table
+from millrace.sources import store, tables
 
 
 
@@ -299,4 +302,57 @@ def l09_replay_audit(spark, sf_dir):
     spans = docs.where("doc_id % 3 = 0 and length(text) > 0").select("doc_id", "text", start.alias("start"))
     shift = F.when(F.col("doc_id") % 29 == 0, 2).otherwise(1)
     stored = spans.select("doc_id", "start", F.substring("text", F.col("start") + shift, F.lit(500)).alias("said"), F.lit(500).alias("size"))
-    return curation.replay_audit(stored, docs.where("doc_id % 23 <> 0")).withColumn("start", F.col("start").cast("long"))
\ No newline at end of file
+    return curation.replay_audit(stored, docs.where("doc_id % 23 <> 0")).withColumn("start", F.col("start").cast("long"))
+
+_DAMAGED = "CASE WHEN event_id % 7 = 0 THEN substring(props, 1, length(props) - 1) WHEN event_id % 11 = 0 THEN replace(replace(props, ': ', ': \"'), '}', '\"}') WHEN event_id % 13 = 0 THEN replace(props, '\"k\"', '\"key\"') WHEN event_id % 17 = 0 THEN '{\"k\": null}' WHEN event_id % 19 = 0 THEN NULL ELSE props END"
+
+
+@query(f"""WITH d AS (SELECT event_id, {_DAMAGED} AS p FROM events), t AS (SELECT event_id, p, CASE WHEN json_valid(p) THEN json_type(p, '$.k') END AS kind FROM d)
+SELECT event_id, CASE WHEN kind IN ('UBIGINT', 'BIGINT') THEN (p->>'$.k')::BIGINT END AS k,
+ CASE WHEN p IS NULL THEN 'props:missing' WHEN NOT json_valid(p) THEN 'props:malformed' WHEN kind IS NULL THEN 'k:missing' WHEN kind = 'NULL' THEN 'k:null' WHEN kind NOT IN ('UBIGINT', 'BIGINT') THEN 'k:kind' ELSE '' END AS reasons FROM t""")
+def a18_typed_props(spark, sf_dir):
+    """The properties of events as typed columns, some of their texts damaged on the way, with the reason of each null."""
+    own = table(spark, sf_dir, "events").select("event_id", F.expr(_DAMAGED).alias("props"))
+    found = decode.decoded(own, "props", {"k": ("$.k", "long")})
+    return found.select("event_id", "k", F.array_join("reasons", ",").alias("reasons"))
+
+
+_KEYS = [
+    export.ForeignKey("nation", "n_regionkey", "region", "r_regionkey"),
+    export.ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"),
+    export.ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey"),
+    export.ForeignKey("orders", "o_custkey", "customer", "c_custkey"),
+    export.ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    export.ForeignKey("lineitem", "l_partkey", "part", "p_partkey"),
+    export.ForeignKey("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+]
+
+
+@query("""WITH r AS (SELECT * FROM region WHERE r_regionkey <> 1), n AS (SELECT * FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM r)), c AS (SELECT * FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM n)),
+s AS (SELECT * FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM n)), p AS (SELECT * FROM part), o AS (SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)),
+l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o) AND l_partkey IN (SELECT p_partkey FROM p) AND l_suppkey IN (SELECT s_suppkey FROM s))
+SELECT 'region' AS "table", count(*) AS "rows" FROM r UNION ALL SELECT 'nation', count(*) FROM n UNION ALL SELECT 'customer', count(*) FROM c UNION ALL SELECT 'supplier', count(*) FROM s
+UNION ALL SELECT 'part', count(*) FROM p UNION ALL SELECT 'orders', count(*) FROM o UNION ALL SELECT 'lineitem', count(*) FROM l UNION ALL SELECT 'events', 0""")
+def a17_export(spark, sf_dir):
+    """All tables of the star schema without one region and whatever hangs on it, the events without rows, as one revision: what each table kept."""
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+    own = export.Exports(spark, f"{tables.shared_dir(spark)}/millrace/export-{uuid.uuid4().hex}")
+    own.export({n: table(spark, sf_dir, n) for n in names}, _KEYS, {"region": "r_regionkey <> 1"}, ("events",))
+    return own.manifest().select("table", "rows")
+
+
+@query("""WITH k AS (SELECT source, text FROM documents WHERE source IS DISTINCT FROM 'src0' AND source IS NOT NULL AND text IS NOT NULL),
+o AS (SELECT source AS owner, count(*) AS artifacts, count(DISTINCT text) AS contents, sum(octet_length(encode(text)))::BIGINT AS bytes FROM k GROUP BY 1)
+SELECT * FROM o UNION ALL SELECT '', (SELECT count(*) FROM k), (SELECT count(DISTINCT text) FROM k), (SELECT sum(octet_length(encode(text)))::BIGINT FROM (SELECT DISTINCT text FROM k))""")
+def a19_store(spark, sf_dir):
+    """Documents as artifacts of their sources, put in two batches; one source deletes all it has, and a sweep follows. For each owner, and in all, what is stored."""
+    docs, own = table(spark, sf_dir, "documents"), store.Store(spark, f"{tables.shared_dir(spark)}/millrace/store-{uuid.uuid4().hex}")
+    rows = docs.select(F.col("source").alias("owner"), F.col("doc_id").alias("key"), F.col("text").alias("content"), "lang")
+    own.put(rows.where("lang = 'en'"))
+    own.put(rows.where("lang IS DISTINCT FROM 'en'"))
+    own.delete(rows.where("owner = 'src0'"))
+    own.sweep()
+    each = own.names().groupBy("owner").agg(F.count("*").alias("artifacts"), F.countDistinct("digest").alias("contents"), F.sum("size").alias("bytes"))
+    stored = own.contents().agg(F.count("*").alias("contents"), F.sum(F.octet_length("content").cast("long")).alias("bytes"))
+    names = own.names().agg(F.count("*").alias("artifacts"))
+    return each.unionByName(names.crossJoin(stored).select(F.lit("").alias("owner"), "artifacts", "contents", "bytes"))

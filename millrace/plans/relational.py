@@ -35,9 +35,11 @@ def b06_prefix(spark, sf_dir):
     return table(spark, sf_dir, "part").where(F.col("p_type").startswith("PROMO")).select("p_partkey", "p_type")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE text IS NULL OR trim(text) = ''")
+@query("SELECT doc_id, quality IS NOT NULL AS judged FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR trim(text) = '' OR text IS NULL")
 def b07_empty_text(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(F.col("text").isNull() | (F.trim("text") == "")).select("conv_id", "turn")
+    """Documents that nobody judged, and those with nothing to judge."""
+    own = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return own.where(F.col("quality").isNull() | (F.trim("text") == "") | F.col("text").isNull()).select("doc_id", F.col("quality").isNotNull().alias("judged"))
 
 
 @query("SELECT d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND ((l.toxic = 0 AND d.n_chars > 200) OR (l.toxic = 1 AND d.n_chars > 5000)) AND d.lang IS NOT NULL")

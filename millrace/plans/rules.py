@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import rules, sequence
+from millrace.operators import derive, rules, sequence
 from millrace.plans.catalog import query, table
 from millrace.plans.retrieval import BM25, ranked
 from millrace.streaming import jobs
@@ -200,13 +200,13 @@ def j14_vector_upsert(spark, sf_dir):
     return out.select("vec_id", F.col("label"), "revision")
 
 
-@query("SELECT c.user_id, c.event_id, 'failed' AS status FROM (SELECT user_id, event_id FROM events WHERE event_type = 'click' AND value > 480) c WHERE NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = c.user_id AND p.event_type = 'purchase' AND p.event_id > c.event_id)")
+@query("SELECT c.user_id, c.event_id, 'failed' AS status FROM events c WHERE event_type = 'click' AND value > 100 AND NOT EXISTS (SELECT 1 FROM events p WHERE p.user_id = c.user_id AND p.ts::DATE = c.ts::DATE AND p.event_type = 'purchase' AND p.event_id > c.event_id)")
 def j10_recovery_insert(spark, sf_dir):
-    """Requests that nothing later settles get a row that says they failed."""
-    own = table(spark, sf_dir, "events")
-    settled = own.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("last"))
-    asked = own.where("event_type = 'click' and value > 480").select("user_id", "event_id")
-    left = asked.join(settled, "user_id", "left").where("last is null or last <= event_id")
+    """Requests that nothing later on their day settles get a row that says they failed."""
+    own = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    settled = own.where("event_type = 'purchase'").groupBy("user_id", "day").agg(F.max("event_id").alias("last"))
+    asked = own.where("event_type = 'click' and value > 100").select("user_id", "day", "event_id")
+    left = asked.join(settled, ["user_id", "day"], "left").where("last is null or last <= event_id")
     return left.select("user_id", "event_id", F.lit("failed").alias("status"))
 
 
@@ -257,3 +257,31 @@ def p07_frames(spark, sf_dir):
     per = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("total"))
     frames = per.select("event_type", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("total") * 20 / 480.0).cast("long"))).alias("sample"))
     return frames.select("event_type", "sample", F.least("total", F.floor(F.col("sample") * 480 / 20.0).cast("long")).alias("at"))
+
+
+_FACTS = ("lang", "source", "n_chars", "quality", "toxic")
+_RULES = [(1, 0, "size", "long"), (2, 0, "size", "short"), (3, 10, "tier", "gold"), (4, 20, "tier", "reject"), (5, 30, "tier", "reject"), (6, 1, "use", "train"), (7, 5, "use", "drop"), (8, 1, "use", "drop"), (9, 0, "audience", "anyone")]
+_CONDITIONS = [(1, "n_chars", ">=", "2000"), (2, "n_chars", "<", "50"), (3, "quality", "=", "1"), (3, "size", "=", "long"), (4, "quality", "=", "0"), (5, "toxic", "=", "1"), (6, "tier", "=", "gold"), (6, "lang", "<>", "es"), (7, "tier", "=", "reject"), (8, "size", "=", "short")]
+
+
+@query("""WITH l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS x FROM labels GROUP BY 1), d AS (SELECT DISTINCT doc_id, lang, n_chars, q, x FROM documents LEFT JOIN l USING (doc_id)),
+f AS (
+  SELECT doc_id, 'size' AS attribute, 'long' AS value, 1 AS rule_id, 1 AS round, 0 AS priority FROM d WHERE n_chars >= 2000
+  UNION ALL SELECT doc_id, 'size', 'short', 2, 1, 0 FROM d WHERE n_chars < 50
+  UNION ALL SELECT doc_id, 'tier', 'gold', 3, 2, 10 FROM d WHERE q = 1 AND n_chars >= 2000
+  UNION ALL SELECT doc_id, 'tier', 'reject', 4, 1, 20 FROM d WHERE q = 0
+  UNION ALL SELECT doc_id, 'tier', 'reject', 5, 1, 30 FROM d WHERE x = 1
+  UNION ALL SELECT doc_id, 'use', 'train', 6, 3, 1 FROM d WHERE q = 1 AND n_chars >= 2000 AND lang <> 'es'
+  UNION ALL SELECT doc_id, 'use', 'drop', 7, 2, 5 FROM d WHERE q = 0 OR x = 1
+  UNION ALL SELECT doc_id, 'use', 'drop', 8, 2, 1 FROM d WHERE n_chars < 50
+  UNION ALL SELECT doc_id, 'audience', 'anyone', 9, 1, 0 FROM d)
+SELECT doc_id, attribute, value, rule_id::BIGINT AS rule_id, round::INTEGER AS round, row_number() OVER (PARTITION BY doc_id, attribute ORDER BY priority DESC, rule_id) = 1 AS chosen, min(value) OVER (PARTITION BY doc_id, attribute) <> max(value) OVER (PARTITION BY doc_id, attribute) AS conflict FROM f""")
+def k31_derived_policy(spark, sf_dir):
+    """What nine rules derive for each document from its columns and labels, in up to three rounds, with the rule that decides."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    own = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left")
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("value")) for c in _FACTS])).alias("x")
+    facts = own.select(F.col("doc_id").alias("entity"), listed).select("entity", "x.attribute", "x.value")
+    rules_ = spark.createDataFrame(_RULES, "rule_id long, priority int, attribute string, value string")
+    conditions = spark.createDataFrame(_CONDITIONS, "rule_id long, attribute string, op string, value string")
+    return derive.derive(facts, rules_, conditions).withColumnRenamed("entity", "doc_id")

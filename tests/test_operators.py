@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import curation, evaluation, extract, index, rank, relational, retrieval, rules, sequence, state
+from millrace.operators import chunks, curation, evaluation, extract, index, rank, relational, retrieval, rules, sequence, state
 from millrace.sources import tables
 
 
@@ -65,7 +66,7 @@ def test_diverse_selection_takes_another_group(spark):
 
 def test_chunks_are_slices(spark):
     text = "\n".join(f"line {i} " + "x" * (i % 13) for i in range(40))
-    own = [r for r in sequence.chunks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), target=180, most=240, overlap=50).orderBy("chunk_index").collect()]
+    own = [r for r in chunks.chunks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), target=180, most=240, overlap=50).orderBy("chunk_index").collect()]
     assert len(own) > 2 and [r.chunk_index for r in own] == list(range(len(own)))
     assert all(text[r.start_char : r.end_char] == r.text and len(r.text) <= 240 for r in own)
     assert all(b.start_char <= a.end_char + 1 for a, b in zip(own, own[1:]))
@@ -73,7 +74,7 @@ def test_chunks_are_slices(spark):
 
 def test_chunks_of_a_long_line():
     text = "One sentence. " * 200
-    spans = sequence.chunk_text(text, 100, 120, 20)
+    spans = chunks.chunk_spans(text, 100, 120, 20)
     assert all(b - a <= 120 for a, b in spans) and spans[-1][1] == len(text.rstrip())
 
 
@@ -131,6 +132,31 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert r.low < r["mean"] < r.high
 
 
+def test_leaves_share_out_exactly_as_many_draws_as_there_are_groups():
+    sizes = [5, 0, 17, 1, 40]
+    parts = np.stack([evaluation.leaf_draws(sizes, k, 4000, seed=3) for k in range(5)])
+    assert (parts.sum(axis=0) == 63).all() and (parts[1] == 0).all()
+    assert np.abs(parts.mean(axis=1) - sizes).max() < 0.3
+    want = [63 * n / 63 * (1 - n / 63) for n in sizes]  # of a multinomial
+    assert np.abs(parts.var(axis=1) - want).max() < 1.5
+
+
+def test_resamples_are_of_fixed_size_and_the_same_on_every_run(spark):
+    rng = np.random.default_rng(6)
+    own = [(int(g), float(v)) for g, v in zip(rng.integers(0, 150, 2000), rng.exponential(10, 2000))] + [(None, 3.0), (7, None)]
+    x = spark.createDataFrame(own, "g long, v double")
+    a = sorted(tuple(r) for r in evaluation.resamples(x, "v", "g", rounds=3000, leaf=20).collect())
+    b = sorted(tuple(r) for r in evaluation.resamples(x.repartition(7, "v"), "v", "g", rounds=3000, leaf=20).collect())
+    assert a == b and [r[0] for r in a] == list(range(3000)) and {r[3] for r in a} == {151}
+    s = {}
+    for g, v in own:
+        s.setdefault(g, []).append(v or 0.0)
+    sums = np.array([sum(v) for v in s.values()])
+    drawn = np.array([r[1] for r in a])
+    assert abs(drawn.mean() / sums.sum() - 1) < 0.01 and abs(drawn.std() / (sums.std() * np.sqrt(151)) - 1) < 0.06
+    assert evaluation.resamples(x.where("false"), "v", "g", rounds=5).count() == 0
+
+
 def test_coverage_and_filters(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(2,), (3,)], "id long")
     assert rows(relational.coverage(a, b, "id")) == [(1, "missing"), (2, "both"), (3, "extra")]
@@ -277,14 +303,14 @@ def test_interval_sql_does_not_depend_on_threads(spark, threads):
 
 def test_chunks_cut_at_the_target_and_carry_the_last_units(spark):
     text = "".join(f"line number {i} of the text\n" for i in range(40))
-    spans = sequence.chunk_text(text, 180, 240, 50)
+    spans = chunks.chunk_spans(text, 180, 240, 50)
     assert len(spans) > 2 and all(b - a <= 240 for a, b in spans)
     assert all(text[a:b] == text[a:b].strip() for a, b in spans)
     assert all(nxt[0] < prev[1] and prev[1] - nxt[0] <= 50 for prev, nxt in zip(spans, spans[1:]))  # the units carried over
-    assert sequence.chunk_text(" \n\n ") == []
+    assert chunks.chunk_spans(" \n\n ") == []
     long = "a" * 700 + "。" + "b" * 900
-    assert sequence.text_units(long, 1000) == [(0, 701), (701, 1601)]
-    assert sequence.text_units("x\n\n \ny", 10) == [(0, 2), (5, 6)]
+    assert chunks.units(long, 1000) == [(0, 701), (701, 1601)]
+    assert chunks.units("x\n\n \ny", 10) == [(0, 2), (5, 6)]
 
 
 def test_revision_digest_follows_order_and_content(spark):
