@@ -7,6 +7,7 @@ own readStream to the same transformations.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -117,21 +118,36 @@ def deadlines(spark: SparkSession, rows: DataFrame, limit_ms: int) -> DataFrame:
     return out.groupBy("user_id").agg(F.max_by("kept", "batch").alias("kept"), F.max_by("late", "batch").alias("late"))
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """A state store on disk, which large states and timers need; the session's own setting comes back afterwards."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
+
+
 def committed(spark: SparkSession, rows: DataFrame, id: str, effect: Callable[[DataFrame], DataFrame], ts: str = "ts") -> DataFrame:
     """What effect(rows) gives, once for each id, though rows come again and batches are replayed.
 
-    A batch's effects are written in one folder together with the ids they are for; a later batch passes over ids that
-    any earlier one wrote, and a repeated batch replaces its own folder, so effect and marker stand or fall together.
+    The ids that have come are the stream's state, so a batch looks up its own ids only; its effects are one folder, which
+    a repeated batch replaces. State and folder belong to one batch of one checkpoint: they stand or fall together. Rows
+    with one id are deliveries of one turn and taken to be equal; rows without an id are one turn.
     """
     path = f"{shared_dir(spark)}/committed-{uuid.uuid4().hex}"
-    kind = effect(rows).schema
-    spark.createDataFrame([], kind).write.parquet(f"{path}/out/batch=-1")
+    spark.createDataFrame([], effect(rows).schema).write.parquet(f"{path}/out/batch=-1")
 
     def put(batch: DataFrame, n: int) -> None:
-        done = spark.read.parquet(f"{path}/out").where(F.col("batch") < n).select(id)
-        fresh = batch.dropDuplicates([id]).join(done, id, "left_anti")
-        effect(fresh).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
+        effect(batch).write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
-    for stream in replay(spark, rows, ts):
-        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).start().awaitTermination()
+    with rocksdb(spark):
+        for stream in replay(spark, rows, ts):
+            once = stream.dropDuplicates([id])
+            once.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").drop("batch")

@@ -17,12 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from millrace.streaming.jobs import drain, replay
+from millrace.streaming.jobs import drain, replay, rocksdb
 
 CANCELLED, COMPLETED, TIMED_OUT = "cancelled", "completed", "timed_out"
+_EMPTY = "spark.sql.streaming.noDataMicroBatches.enabled"
 _PLACE = {CANCELLED: 0, COMPLETED: 1, TIMED_OUT: 2}
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Deadlines(StatefulProcessor):
@@ -74,14 +73,14 @@ def least(a: int | None, b) -> int | None:
 
 
 @contextlib.contextmanager
-def rocksdb(spark: SparkSession):
-    """Timers need a state store with column families; the session's own setting comes back afterwards."""
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
+def only_with_data(spark: SparkSession):
+    """No batches without data: timers then fire with the next rows, so a replay has as many batches as parts."""
+    before = spark.conf.get(_EMPTY)
+    spark.conf.set(_EMPTY, "false")
     try:
         yield
     finally:
-        spark.conf.set(_STORE, before)
+        spark.conf.set(_EMPTY, before)
 
 
 def terminal(stream: DataFrame, limit_ms: int, keep_ms: int, delay: str) -> DataFrame:
@@ -91,16 +90,18 @@ def terminal(stream: DataFrame, limit_ms: int, keep_ms: int, delay: str) -> Data
     return rows.groupBy("job").transformWithStateInPandas(Deadlines(limit_ms, keep_ms), "job string, status string, at_ms long", "Append", "EventTime")
 
 
-def endings(spark: SparkSession, rows: DataFrame, limit_ms: int, job: Column, kind: Column, ts: str = "ts", keep_ms: int = 86_400_000, delay: str = "0 seconds") -> DataFrame:
+def endings(spark: SparkSession, rows: DataFrame, limit_ms: int, job: Column, kind: Column, ts: str = "ts", keep_ms: int = 86_400_000, delay: str = "0 seconds", parts: int = 2) -> DataFrame:
     """(job, status, at_ms) of every job in a table that is replayed as a stream, part after part from one checkpoint.
 
-    A last heartbeat beyond all deadlines lets the open timers fire. Rows without a time or a job are passed over, kinds
+    Two heartbeats beyond all deadlines let the open timers fire: the first moves the watermark, and with the second comes
+    a batch that sees it. Rows without a time or a job are passed over, kinds
     other than cancelled and completed only start a job, and repeated rows change nothing. A table without rows has no jobs.
     """
     own = rows.where(F.col(ts).isNotNull()).select(job.cast("string").alias("job"), F.col(ts).cast("timestamp").alias("ts"), kind.alias("kind"))
     own = own.where("job IS NOT NULL").withColumn("kind", F.when(F.col("kind").isin(CANCELLED, COMPLETED), F.col("kind")))
     last = own.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
-    beat = last.select(F.lit(None).cast("string").alias("job"), F.timestamp_micros(F.unix_micros("ts") + 1000 * (2 * limit_ms + keep_ms)).alias("ts"), F.lit(None).cast("string").alias("kind"))
-    with rocksdb(spark):
-        parts = [*replay(spark, own), *replay(spark, beat, parts=1)]
-        return drain([terminal(s, limit_ms, keep_ms, delay) for s in parts])
+    none = F.lit(None).cast("string")
+    beats = [last.select(none.alias("job"), F.timestamp_micros(F.unix_micros("ts") + 1000 * (2 * limit_ms + keep_ms + k)).alias("ts"), none.alias("kind")) for k in (0, 1)]
+    with rocksdb(spark), only_with_data(spark):
+        streams = [*replay(spark, own, parts=parts), *(p for b in beats for p in replay(spark, b, parts=1))]
+        return drain([terminal(s, limit_ms, keep_ms, delay) for s in streams])

@@ -38,7 +38,7 @@ def test_every_job_ends_once(spark):
     assert got == plain(rows, 1000)
     status = {j: s for j, s, _ in got}
     assert (status["tie"], status["due"], status["quiet"], status["late"]) == ("cancelled", "completed", "timed_out", "timed_out")
-    assert spark.conf.get(timers._STORE) != timers._ROCKS
+    assert spark.conf.get(jobs._STORE) != jobs._ROCKS and spark.conf.get(timers._EMPTY) == "true"
 
 
 def test_no_rows(spark):
@@ -49,7 +49,7 @@ def test_rows_that_are_late_within_the_delay(spark):
     """A stream out of order: each part is a micro-batch, and an earlier cancellation comes after the result."""
     batches = [[("a", at(0), None), ("a", at(300), "completed"), ("b", at(0), None)], [("a", at(200), "cancelled"), ("b", at(900), None)], [("b", at(950), "completed"), (None, at(9000), None)]]
     parts = [jobs.replay(spark, spark.createDataFrame(b, SCHEMA), parts=1)[0] for b in batches]
-    with timers.rocksdb(spark):
+    with jobs.rocksdb(spark):
         found = jobs.drain([timers.terminal(p, 1000, 100, "1 second") for p in parts])
     base = int(AT.timestamp() * 1000)
     assert sorted(tuple(r) for r in found.collect()) == [("a", "cancelled", base + 200), ("b", "completed", base + 950)]
