@@ -76,7 +76,7 @@ def resamples(groups: DataFrame, value: str, key: str, rounds: int = 10_000, see
     """(round, s, n, drawn): sums and counts of the values of `drawn` groups, drawn with replacement, as many as there are.
 
     Groups are dealt into leaves by their keys' hash; a leaf of about `leaf` groups is one task's. What leaves hand on is
-    a row a round, added in the order of the leaves, so reruns agree to the last bit. A null key is a group of its own.
+    a row a round, added in the order of the leaves, so reruns over equal group sums agree to the last bit. A null key is a group of its own.
     """
     per = groups.groupBy(key).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     total = per.count()
