@@ -146,7 +146,7 @@ def _misled(stretches: list[list], words: list[int]) -> list[list]:
     excluded if there are any. Where nearly all words of it (or of a page without one) are excluded, the largest hinted
     elements that hold most of them are none either, unless their hint is a sure one.
     """
-    never = [s for s in stretches if s[0] == "never"]
+    never = [s for s in stretches if s[0] == "never" and s[3]]  # those without an end tag cover little anyway
     if all(s[4] == 2 for s in never):
         return []
     size = lambda s: words[s[2]] - words[s[1]]

@@ -74,7 +74,7 @@ def test_scores_beyond_64_bits(spark):
 
 def test_odd_rows(spark, odd, empty):
     rows = [(r.text, r.lang) for r in odd.collect()]
-    assert found(C.collocations(odd)) == plain(rows, 10, 3, 2000) != set()
+    assert found(C.collocations(odd, least=2)) == plain(rows, 2, 3, 2000) != set()
     assert C.collocations(empty).count() == 0
 
 
