@@ -108,7 +108,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, at most twice.
 
-    Texts without a word (null and empty ones) are taken never. Rows that are equal in id, source and words are
+    Texts without a word (null and empty ones) take nothing of the mix: they stand as often as every document of their
+    source does at least. Rows that are equal in id, source and words are
     documents of their own; their copies are dealt among them in the order of their texts.
     """
     _workers(spark)
