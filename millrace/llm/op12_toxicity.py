@@ -53,8 +53,8 @@ LISTS = {
 #: Insults that count where no labelled text has the word, with the weight UNSEEN.
 UNSEEN = 3.0
 STEMS = "idiot moron stupid trash scum loser pathetic worthless disgusting dumm abschaum trottel crétin ordure imbécile basura"
-#: Weights of features() without labels: five points of weighted matches in a short text are toxic.
-UNTRAINED = (-4.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.5, -0.5, -0.5, 0.5)
+#: Weights of features() without labels: several matches in a short text are toxic, one in a long text is not.
+UNTRAINED = (-4.0, 0.0, 0.5, 0.0, 1.0, 0.0, 0.5, -0.5, -0.5, 0.5)
 
 NEGATED, AIMED, REPORTED, AIMS_BACK = 1, 2, 4, 8
 
