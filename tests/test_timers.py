@@ -96,3 +96,57 @@ def test_state_in_any_order_and_its_end(order):
     list(p.handleInputRows(("x",), iter([pd.DataFrame([(99, "completed")], columns=["at_ms", "kind"])]), None))
     assert h.timers == [80] and h.value[-1]
     assert list(p.handleExpiredTimer(("x",), None, None)) == [] and h.value is None
+
+
+class Now:
+    """The watermark and the expired timer that a processor is told."""
+
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def test_a_bucket_of_jobs_equals_a_key_for_each_job():
+    rng = np.random.default_rng(8)
+    kinds = ["cancelled", "completed", None, "other"]
+    rows = [(f"j{rng.integers(40)}", int(t), kinds[rng.choice(4, p=[0.1, 0.2, 0.4, 0.3])]) for t in np.sort(rng.integers(0, 2000, 300))]
+    want, got = [], []
+    bucket, h = timers.Buckets(100, 50), Handle()
+    bucket.init(h)
+    single = {}
+    for now in [*range(0, 2400, 100)]:  # batches of 100 ms; the watermark is their start
+        own = [r for r in rows if now <= r[1] < now + 100]
+        batch = pd.DataFrame([*own, (None, now, None)], columns=["job", "at_ms", "kind"])
+        assert list(bucket.handleInputRows((0,), iter([batch.iloc[:7], batch.iloc[7:]]), None)) == []
+        for job, part in pd.DataFrame(own, columns=["job", "at_ms", "kind"]).groupby("job"):
+            if job not in single:
+                single[job] = (timers.Deadlines(100, 50), Handle())
+                single[job][0].init(single[job][1])
+            single[job][0].handleInputRows((job,), iter([part]), None)
+        for job, (p, own_handle) in single.items():
+            for t in [t for t in own_handle.timers if t < now]:
+                want += [tuple(r) for d in p.handleExpiredTimer((job,), None, None) for r in d.itertuples(index=False)]
+                own_handle.timers.remove(t)
+        for t in [t for t in h.timers if t <= now]:
+            info = Now(now)
+            info.getExpiryTimeInMs = lambda t=t: t
+            got += [tuple(r) for d in bucket.handleExpiredTimer((0,), Now(now), info) for r in d.itertuples(index=False)]
+            h.timers.remove(t)
+        assert len(h.timers) <= 1  # one timer, however many jobs
+    assert sorted(got) == sorted(want) and len(want) > 40
+    assert h.value is None  # all closed and gone
+
+
+def test_calls_for_state_do_not_grow_with_jobs():
+    bucket, h = timers.Buckets(100, 50), Handle()
+    bucket.init(h)
+    calls = []
+    for name in ("exists", "get", "update", "registerTimer", "deleteTimer"):
+        setattr(h, name, lambda *a, f=getattr(h, name), name=name: (calls.append(name), f(*a))[1])
+    bucket.handleInputRows((0,), iter([pd.DataFrame({"job": [f"j{k}" for k in range(5000)], "at_ms": range(5000), "kind": None})]), None)
+    assert len(calls) <= 5
