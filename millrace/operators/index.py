@@ -68,19 +68,47 @@ class Index(NamedTuple):
         return self.postings.where(F.col("bucket").isin(named)).join(wanted, ["bucket", "token"], "left_semi").drop("bucket")
 
 
+def repeated(rows: DataFrame, id: str) -> DataFrame:
+    """(_id) of those ids, null among them, that more than one row has."""
+    return rows.groupBy(id).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id).alias("_id"))
+
+
+def runs(own: DataFrame, *keep: str) -> DataFrame:
+    """(keep, token, tf) of rows (keep, own), own an array of tokens: counted within each row, so nothing moves or is held beyond it."""
+    sorted_ = own.where(F.size("own") > 0).select(*keep, F.sort_array("own").alias("own"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1)))
+    cut = sorted_.select(*keep, "own", starts.alias("starts"))
+    run = lambda i, k: F.struct(F.get("own", i).alias("token"), (F.coalesce(F.get("starts", k + 1), F.size("own")) - i).cast("long").alias("tf"))
+    return cut.select(*keep, F.explode(F.transform("starts", run)).alias("_run")).select(*keep, "_run.token", "_run.tf")
+
+
+def _place(posted: DataFrame, path: str, id: str, buckets: int) -> None:
+    """Writes postings (id, token_count, token, tf, bucket) in partitions by bucket, in one shuffle.
+
+    A bucket is dealt by its documents too, so a frequent token's postings are written by many tasks, as several files.
+    """
+    parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the session's, which grows with the input
+    deal = F.pmod(F.xxhash64(id), F.lit(max(1, 2 * parts // buckets)))
+    posted.repartition(parts, "bucket", deal).sortWithinPartitions("bucket", "token", id).write.partitionBy("bucket").parquet(path)
+
+
 def write_segment(docs: DataFrame, path: str, id: str, text: str, buckets: int) -> None:
     """The postings and documents of docs (id, text) below a path.
 
-    Counts are made within a document's row. A bucket is dealt by its documents too, so a frequent token's postings are
-    written by many tasks, as several files; the number of tasks is the session's, which grows with the input.
+    Counts are made within a document's row, so postings move once, to where they are written. Only rows whose id another
+    row has as well are counted by a shuffle: postings of one id and length are one.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
     own = docs.select(id, tokens(text).alias("own")).select(id, F.coalesce("own", F.array().cast("array<string>")).alias("own")).withColumn("token_count", F.size("own").cast("long"))
     own.select(id, "token_count").write.parquet(f"{path}/documents")
-    posted = own.select(id, "token_count", F.explode("own").alias("token")).groupBy(id, "token_count", "token").agg(F.count("*").alias("tf"))
-    deal = F.pmod(F.xxhash64(id), F.lit(max(1, 2 * parts // buckets)))
-    placed = posted.withColumn("bucket", bucket_of("token", buckets)).repartition(parts, "bucket", deal).sortWithinPartitions("bucket", "token", id)
-    placed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    again = repeated(spark.read.parquet(f"{path}/documents"), id)
+    if again.isEmpty():
+        posted = runs(own, id, "token_count")
+    else:
+        same = own[id].eqNullSafe(again["_id"])
+        several = own.join(again, same, "left_semi").select(id, "token_count", F.explode("own").alias("token")).groupBy(id, "token_count", "token").agg(F.count("*").alias("tf"))
+        posted = runs(own.join(again, same, "left_anti"), id, "token_count").unionByName(several)
+    _place(posted.withColumn("bucket", bucket_of("token", buckets)), f"{path}/postings", id, buckets)
 
 
 _MANIFEST = "place long, kind string, name string, n long, total long, note string"
@@ -189,8 +217,15 @@ class Segments:
 
     def add(self, docs: DataFrame, note: str = "") -> int:
         """Adds documents, replacing those with the same ids; gives the new revision."""
-        own = docs.where(F.col(self.id).isNotNull()).select(self.id, F.coalesce(self.text, F.lit("")).alias(self.text)).groupBy(self.id).agg(F.max(self.text).alias(self.text))
-        return self._changed(own, own.select(self.id), note)
+        own = docs.where(F.col(self.id).isNotNull()).select(self.id, F.coalesce(self.text, F.lit("")).alias(self.text))
+        again = repeated(own, self.id)
+        ids = own.select(self.id)  # a semi-join's other side, where copies do nothing
+        if not again.isEmpty():  # only texts of repeated ids move, and are sorted where they are dealt
+            same = own[self.id] == again["_id"]
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            several = own.join(again, same, "left_semi").repartition(parts, self.id).groupBy(self.id).agg(F.max(self.text).alias(self.text))
+            own = own.join(again, same, "left_anti").unionByName(several)
+        return self._changed(own, ids, note)
 
     def delete(self, ids: DataFrame, note: str = "") -> int:
         """Deletes the documents of ids (id); unknown ids are passed over."""
@@ -199,13 +234,12 @@ class Segments:
     def merge(self, note: str = "") -> int:
         """The live rows of all segments as one, without tombstones."""
         manifest, name = self.manifest(), uuid.uuid4().hex
-        path, parts = f"{self.root}/segments/{name}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        path = f"{self.root}/segments/{name}"
         documents, posted = (self._live(what, manifest) for what in ("documents", "postings"))
         if documents is None:
             return self._publish([], 0, 0, note)
         documents.write.parquet(f"{path}/documents")
-        deal = F.pmod(F.xxhash64(self.id), F.lit(max(1, 2 * parts // self.buckets)))
-        posted.repartition(parts, "bucket", deal).sortWithinPartitions("bucket", "token", self.id).write.partitionBy("bucket").parquet(f"{path}/postings")
+        _place(posted, f"{path}/postings", self.id, self.buckets)
         n, total = _totals(manifest)
         return self._publish([(0, "segment", name, n, total, "")], n, total, note)
 

@@ -123,3 +123,29 @@ def test_texts_without_tokens(spark, tmp_path, wanted):
     spark.createDataFrame([(1, "!"), (2, None)], SCHEMA).write.parquet(f"{tmp_path}/docs")
     found = index.stored(spark, f"{tmp_path}/docs")
     assert rows(found.statistics) == [(2, 0.0)] and retrieval.bm25(found, wanted, 3).count() == 0
+
+
+def test_counts_are_made_within_rows(spark, docs):
+    from pyspark.sql import functions as F
+
+    own = docs.select("doc_id", F.coalesce(index.tokens("text"), F.array().cast("array<string>")).alias("own"))
+    found = index.runs(own, "doc_id")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "doc_id", "token", "tf") == rows(index.postings(docs), "doc_id", "token", "tf")
+
+
+def test_rows_of_one_id_and_length_are_counted_together(spark, tmp_path):
+    table = spark.createDataFrame([(1, "aa bb"), (1, "bb cc"), (1, "aa"), (None, "aa"), (None, "aa"), (2, "aa aa")], SCHEMA)
+    index.write_segment(table, f"file://{tmp_path}/s", "doc_id", "text", 4)
+    found = spark.read.parquet(f"file://{tmp_path}/s/postings").select(index.F.coalesce("doc_id", index.F.lit(0)).alias("doc_id"), "token_count", "token", "tf")
+    assert rows(found) == [(0, 1, "aa", 2), (1, 1, "aa", 1), (1, 2, "aa", 1), (1, 2, "bb", 2), (1, 2, "cc", 1), (2, 2, "aa", 2)]
+
+
+def test_adding_distinct_ids_sorts_no_text(spark, tmp_path, docs, monkeypatch):
+    own = index.Segments(spark, f"file://{tmp_path}/i", buckets=4)
+    plans = []
+    kept = index.write_segment
+    monkeypatch.setattr(index, "write_segment", lambda d, *a: (plans.append(d._jdf.queryExecution().executedPlan().toString()), kept(d, *a)))
+    own.add(docs)
+    own.add(docs.union(docs))
+    assert "Sort" not in plans[0] and "Exchange" not in plans[0] and "Sort" in plans[1]
