@@ -349,3 +349,20 @@ def test_percentiles_against_sorted_lists(spark):
     found = evaluation.percentiles_at(x, ["k"], "v", {"first": F.lit(1), "p95": F.ceil(n * 0.95), "last": n, "beyond": n + 1}).collect()
     want = {k: (s[0], s[math.ceil(len(s) * 0.95) - 1], s[-1], None) for k, s in ((k, sorted(v)) for k, v in groups.items())}
     assert {r.k: (r.first, r.p95, r.last, r.beyond) for r in found} == want
+
+
+def test_chunks_go_out_in_bounded_batches():
+    """Whatever a batch of texts holds, and within one long text as well."""
+    import pyarrow as pa
+
+    class Rows:
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: run
+
+    text = "A line of words, and so on.\n" * 60_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([text, None, text, text[:500_000]])], names=["doc_id", "text"])
+    found = list(chunks.chunks(Rows())(iter([batch])))
+    assert len(found) > 1 and max(sum(map(len, b.column(2).to_pylist())) for b in found) <= chunks.TOGETHER + chunks.MOST
+    got = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    want = [(i, k, t[a:b], a, b) for i, t in ((1, text), (3, text), (4, text[:500_000])) for k, (a, b) in enumerate(chunks.chunk_spans(t))]
+    assert got == want
