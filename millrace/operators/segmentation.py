@@ -56,21 +56,21 @@ class Segmenter:
         """Spans of the cheapest words of a run; of equally cheap paths the one whose last word is longest."""
         n, unknown = len(run), self.unknown
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-        settled = 0
-
-        def unknowns(to: int) -> None:  # places up to `to` may also be reached by an unknown character
-            nonlocal settled
-            while settled < to:
-                settled += 1
-                if best[settled - 1] + unknown < best[settled]:
-                    best[settled], back[settled] = best[settled - 1] + unknown, -1
-
+        settled = 0  # places up to here may also be reached by an unknown character
         for last, (size, cost) in self.trie.iter(run) if self.costs else ():
+            while settled < last:
+                settled += 1
+                c = best[settled - 1] + unknown
+                if c < best[settled]:
+                    best[settled], back[settled] = c, -1
             end = last + 1
-            unknowns(end - 1)
-            if best[end - size] + cost < best[end]:
-                best[end], back[end] = best[end - size] + cost, size
-        unknowns(n)
+            c = best[end - size] + cost
+            if c < best[end]:
+                best[end], back[end] = c, size
+        for place in range(settled + 1, n + 1):
+            c = best[place - 1] + unknown
+            if c < best[place]:
+                best[place], back[place] = c, -1
         out: list[tuple[int, int]] = []
         end = n
         while end:
