@@ -2,17 +2,19 @@
 
 Candidates must pass prefix filters under several global token orders. Under any one order of all shingles, two
 sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each. The order that generates candidates
-puts frequent shingles last and the rest by hash; candidates must then also share a shingle among the prefixes
-under further orders (other hashes), and only pairs that pass all are compared in full.
+puts frequent shingles last and the rest by hash. A pair's sketches (parities of the hashes that fall on each of n to 2 n
+bits) then bound its overlap: sets differ in no fewer shingles than their sketches do in bits, so sketches, a quarter of a
+byte or less for each shingle, travel in place of sets. Pairs that pass must also share a shingle among the
+prefixes under further orders (other hashes) before they are compared in full.
 
 Equal sets are one class from the start. Groups that share a prefix shingle are handled by size: small ones list
 their pairs within the length filter; large ones (families of near copies) first link each member to their few
 most connected members within the length filter, and after those links are verified and merged, list only pairs of members that are still in
 different components; the largest are compared in blocks by matrix products that return links only. So no group is
 expanded into all its pairs, and no link that changes a component is lost; full sets travel only for members that the
-filter under another order leaves.
+sketches leave.
 
-Joins that carry prefixes and sets are merge joins at every size: both sides grow with the corpus, so a broadcast that a
+Joins that carry sketches and sets are merge joins at every size: both sides grow with the corpus, so a broadcast that a
 small table would get says nothing of a large one. Nothing that grows with the corpus reaches the driver: the list of frequent shingles and the Bloom filter of
 candidates have fixed sizes; beyond them the join is slower, with the same result. A shingle's members are held by one
 task when its group is first read, 20 bytes a member; from then on hot shingles are dealt into parts and blocks.
@@ -82,32 +84,33 @@ def _record(schema: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema)
 
 
-def filter_prefix(s: np.ndarray, threshold, seed: int = ORDERS[0]) -> bytes:
-    """The prefix of a set under another order, as the upper 32 bits of its hashes."""
-    p, k = mix(s ^ np.uint64(seed)), len(s) - need(len(s), threshold) + 1
-    if k < len(p):
-        p = np.partition(p, k - 1)[:k]
-    return np.sort((p >> np.uint64(32)).astype(np.uint32)).tobytes()
+def sketch(s: np.ndarray) -> bytes:
+    """For each bit p of a power of two of bits, at least as many as the set has hashes, whether an odd number of them is p modulo that power."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, threshold=THRESHOLD) -> bool:
-    """Whether two prefixes under one order allow the overlap that the threshold asks for.
+def fold(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch's bytes as the sketch of `size` bytes of the same set."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
-    Up to the smaller last entry both sets are known, so the overlap is at most what is shared there and the rest
-    of either set. Two entries of slack cover hashes that agree in their upper bits.
-    """
+
+def may_link(x: bytes, y: bytes, nx: int, ny: int, threshold=THRESHOLD) -> bool:
+    """Whether two sets' sketches allow the threshold: each bit in which they differ stands for a shingle that only one set has."""
     if min(nx, ny) < need(max(nx, ny), threshold):
         return False
-    last = min(x[-1], y[-1])
-    a, b = int(np.searchsorted(x, last, side="right")), int(np.searchsorted(y, last, side="right"))
-    shared = int(np.isin(x[:a], y[:b]).sum()) if a and b else 0
-    most = shared + 2 + min(nx - a, ny - b)
-    return (threshold[0] + threshold[1]) * most >= threshold[0] * (nx + ny)
+    size = min(len(x), len(y))
+    p, q = (fold(np.frombuffer(v, np.uint8), size) if len(v) > size else v for v in (x, y))
+    differ = (int.from_bytes(p, "little") ^ int.from_bytes(q, "little")).bit_count()
+    return (threshold[1] - threshold[0]) * (nx + ny) >= (threshold[1] + threshold[0]) * differ
 
 
-def _scan(width: int, threshold):
-    """Rows (kind 0: doc_id, n, sig, prefix under the filtering order) for texts and (kind 1: shingle, count) for those frequent in a task."""
-    names = ["kind", "doc_id", "n", "sig", "prefix", "hash"]
+def _scan(width: int):
+    """Rows (kind 0: doc_id, n, sig, sketch) for texts and (kind 1: shingle, count) for those frequent in a task."""
+    names = ["kind", "doc_id", "n", "sig", "sketch", "hash"]
 
     def frequent(sets: list[np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(sets)
@@ -123,17 +126,17 @@ def _scan(width: int, threshold):
         for batch in batches(it, most=TOGETHER):
             sets = _sets(batch, width)
             sigs = [signature(s) if len(s) else None for s in sets]
-            prefixes = []
+            sketches = []
             for s, g in zip(sets, sigs):
                 if g is not None and g not in seen:
                     seen.add(g)
                     held.append(s)
                     size += len(s)
-                    prefixes.append(filter_prefix(s, threshold))
+                    sketches.append(sketch(s))
                 else:
-                    prefixes.append(None)
+                    sketches.append(None)
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            yield _record(names, np.zeros(len(n), np.int32), batch.column(0), n, pa.array(sigs, pa.int64()), pa.array(prefixes, pa.binary()), _text_hashes(batch))
+            yield _record(names, np.zeros(len(n), np.int32), batch.column(0), n, pa.array(sigs, pa.int64()), pa.array(sketches, pa.binary()), _text_hashes(batch))
             if size >= MOST_COUNTED:
                 yield frequent(held)
                 held, size = [], 0
@@ -372,18 +375,17 @@ def _filter(threshold):
         for batch in it:
             a, b = batch.column(0), batch.column(1)
             n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            x, y = batch.column(4), batch.column(5)
-            keep = [may_link(np.frombuffer(x[i].as_buffer(), np.uint32), np.frombuffer(y[i].as_buffer(), np.uint32), n[i], m[i], threshold) for i in range(len(n))]
-            keep = pa.array(keep, pa.bool_())
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            keep = pa.array([may_link(*v, threshold) for v in zip(x, y, n, m)], pa.bool_())
             yield _record(["a", "b"], a.filter(keep), b.filter(keep))
 
     return run
 
 
 def _near(pairs: DataFrame, classes: DataFrame, threshold, name: str) -> DataFrame:
-    """The pairs (a, b) of classes that pass the prefix filter under another order."""
-    left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x"))
-    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
+    """The pairs (a, b) of classes whose sketches allow the threshold."""
+    left = classes.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = classes.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
     near = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "na", "nb", "x", "y")
     return stash(near.mapInArrow(_filter(threshold), "a long, b long"), name)
 
@@ -453,7 +455,7 @@ def _chosen(rows: dict[str, np.ndarray], want: np.ndarray, names: list[str]) ->
     use = np.flatnonzero(want.any(axis=0) | want.any(axis=1))
     if not len(use):
         return None
-    kinds = {"before": pa.list_(pa.int64()), "prefix": pa.binary()}
+    kinds = {"before": pa.list_(pa.int64()), "sketch": pa.binary()}
     return _record(names, *(pa.array([rows[c][i] for i in use], kinds[c]) if c in kinds else rows[c][use] for c in names))
 
 
@@ -469,26 +471,35 @@ def _needed(threshold):
     return run
 
 
+def _differ(sketches: list[bytes]) -> np.ndarray:
+    """In how many bits each two sketches differ, at the smaller one's size."""
+    sizes = np.array([len(x) for x in sketches])
+    total = np.zeros((len(sketches), len(sketches)), dtype=np.float32)
+    for size in np.unique(sizes):
+        use = np.flatnonzero(sizes >= size)
+        flat = np.stack([fold(np.frombuffer(sketches[i], np.uint8), size) for i in use])
+        same = np.zeros((len(use), len(use)), dtype=np.float32)
+        for low in range(0, size, 512):
+            m = 2 * np.unpackbits(flat[:, low : low + 512], axis=1).astype(np.float32) - 1
+            same += m @ m.T
+        here = np.minimum(sizes[use, None], sizes[None, use]) == size
+        at = np.ix_(use, use)
+        total[at] = np.where(here, (8 * size - same) / 2, total[at])
+    return total
+
+
 def _may_link_matrix(rows: dict[str, np.ndarray], want: np.ndarray, threshold) -> np.ndarray:
     """may_link() for the wanted pairs of a block pair."""
-    i, j = np.nonzero(want)
-    if not len(i):
+    if not want.any():
         return want
-    prefix = [np.frombuffer(x, np.uint32) for x in rows["prefix"]]
-    last = np.array([p[-1] for p in prefix])
-    upto = np.stack([np.searchsorted(p, last, side="right") for p in prefix])  # entries of each up to each one's last
     n = rows["n"].astype(np.int64)
-    low = np.where(last[i] <= last[j], i, j)
-    most = _counts(prefix)[i, j].astype(np.int64) + 2 + np.minimum(n[i] - upto[i, low], n[j] - upto[j, low])
-    ok = (threshold[0] + threshold[1]) * most >= threshold[0] * (n[i] + n[j])
-    out = np.zeros_like(want)
-    out[i[ok], j[ok]] = True
-    return out
+    most = (threshold[1] - threshold[0]) * (n[:, None] + n[None, :])
+    return want & (most >= (threshold[1] + threshold[0]) * _differ(list(rows["sketch"])).astype(np.int64))
 
 
 def _filtered(threshold):
-    """The needed rows that still take part after the filter under another order."""
-    names = [x.split()[0] for x in (_DEALT + ", prefix binary").split(", ")]
+    """The needed rows that still take part where sketches allow the threshold."""
+    names = [x.split()[0] for x in (_DEALT + ", sketch binary").split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(it):
@@ -528,11 +539,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    scan = stash(docs.mapInArrow(_scan(width, threshold), "kind int, doc_id long, n long, sig long, prefix binary, hash long"), "shingle-scan")
+    scan = stash(docs.mapInArrow(_scan(width), "kind int, doc_id long, n long, sig long, sketch binary, hash long"), "shingle-scan")
     counted = scan.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = counted.orderBy(F.desc("n"), "doc_id").limit(MOST_FREQUENT).select("doc_id").toArrow().column(0).to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))
-    classes = scan.where("kind = 0 and prefix is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("hash").alias("hash"))
+    classes = scan.where("kind = 0 and sketch is not null").groupBy("sig").agg(F.first("n").alias("n"), F.min("sketch").alias("sketch"), F.min("hash").alias("hash"))
     prefixes = docs.mapInArrow(_prefixes(width, threshold, frequent), "token long, sig long, n int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = prefixes.repartition(parts, "token").sortWithinPartitions("token")
@@ -565,12 +576,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     dealt = large.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = dealt.select(F.xxhash64("token", "low", "high").alias("key"), "block", "low", "high", "sig", "n", "component", "before")
     dealt = stash(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_needed(threshold), _DEALT), "blocks")
-    dealt = dealt.join(classes.select("sig", "prefix").hint("merge"), "sig").select(*dealt.columns, "prefix").repartition(parts, "key").sortWithinPartitions("key")
-    dealt = stash(dealt.mapInArrow(_filtered(threshold), f"{_DEALT}, prefix binary"), "near-blocks")
+    dealt = dealt.join(classes.select("sig", "sketch").hint("merge"), "sig").select(*dealt.columns, "sketch").repartition(parts, "key").sortWithinPartitions("key")
+    dealt = stash(dealt.mapInArrow(_filtered(threshold), f"{_DEALT}, sketch binary"), "near-blocks")
     sets = _fetch(docs, _ends(late).unionByName(dealt.select("sig")).distinct(), classes, width, "late-sets")
     late_links = _compare(late, sets, threshold)
     if sets is not None:
-        full = dealt.join(sets.hint("merge"), "sig").select("key", "block", "low", "high", "sig", "n", "component", "before", "prefix", "hashes")
+        full = dealt.join(sets.hint("merge"), "sig").select("key", "block", "low", "high", "sig", "n", "component", "before", "sketch", "hashes")
         late_links = late_links.unionByName(full.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_blocks(threshold), "a long, b long"))
     late_links = stash(late_links, "late-links")
     lifted = late_links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")

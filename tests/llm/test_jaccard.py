@@ -82,3 +82,26 @@ def test_threshold_is_exact(spark):
 def test_odd_rows(odd, empty):
     same(J.jaccard_components(odd), [(r.doc_id, r.text) for r in odd.collect()])
     assert J.jaccard_components(empty).count() == 0
+
+
+def test_sketches_are_short_and_drop_no_link():
+    """A sketch has at most a quarter of a byte for each shingle, never differs in more bits than sets do in shingles, and tells sets of half their shingles apart."""
+    rng = np.random.default_rng(7)
+    every = rng.integers(0, 1 << 63, 6000).astype(np.uint64)
+    sets, kinds = [], []
+    for n in (1, 3, 60, 64, 65, 500, 512, 520, 1500):
+        base = rng.permutation(every)[: 2 * n]
+        for shift in sorted({0, n // 20, n // 7, n // 4, n // 3, n}):
+            sets.append(np.unique(base[shift : shift + n]))
+    n = np.array([len(s) for s in sets])
+    sketches = [J.sketch(s) for s in sets]
+    assert all(len(x) <= max(8, len(s) / 4) for x, s in zip(sketches, sets))
+    links = np.array([[100 * (both := len(np.intersect1d(x, y))) >= 75 * (len(x) + len(y) - both) for y in sets] for x in sets])
+    one = np.array([[J.may_link(sketches[i], sketches[j], n[i], n[j]) for j in range(len(sets))] for i in range(len(sets))])
+    like = np.array([[min(a, b) >= J.need(max(a, b)) for b in n] for a in n])
+    assert (one | ~links).all()
+    assert (J._may_link_matrix({"n": n, "sketch": sketches}, like, J.THRESHOLD) == one).all()
+    differ = J._differ(sketches)
+    assert all(differ[i, j] <= len(np.setxor1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(len(sets)))
+    base = rng.permutation(every)[:1000]
+    assert not J.may_link(J.sketch(np.sort(base[:600])), J.sketch(np.sort(base[200:800])), 600, 600)  # 0.5
