@@ -366,3 +366,23 @@ def test_chunks_go_out_in_bounded_batches():
     got = [tuple(r.values()) for b in found for r in b.to_pylist()]
     want = [(i, k, t[a:b], a, b) for i, t in ((1, text), (3, text), (4, text[:500_000])) for k, (a, b) in enumerate(chunks.chunk_spans(t))]
     assert got == want
+
+
+def test_near_duplicates_send_texts_only_where_sketches_meet(spark):
+    """Unlike texts of one small alphabet, which share most trigrams, are not sent to each other's blocks; near ones are."""
+    import glob
+    import os
+    import random
+
+    from millrace.sources.tables import shared_dir
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdef") for _ in range(rng.randint(80, 100))) for _ in range(200)]
+    texts += [t[:40] + "x" + t[41:] for t in texts[:3]]
+    x = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert rows(curation.near_duplicates(x, "id", block=20), "a", "b") == [(0, 200), (1, 201), (2, 202)]
+    last = max(glob.glob(shared_dir(spark).removeprefix("file://") + "/trigrams-*"), key=os.path.getmtime)
+    assert 6 <= spark.read.parquet(f"{last}/meetings").count() <= 30
+    grams = [curation._trigram_codes(t) for t in texts]
+    bits = [np.unpackbits(np.frombuffer(curation.sketch(g), np.uint8)) for g in grams]
+    assert all((bits[i] != bits[j]).sum() <= len(np.setxor1d(grams[i], grams[j])) for i in range(len(texts)) for j in range(i))
