@@ -3,8 +3,8 @@
 A boundary before a single space between two visible characters is always a boundary of the tokenizer's pieces, so
 texts fall into units (a space and what follows it) that encode alone as they do in context. Arrow splits the texts of
 a batch at spaces and numbers their distinct units, so Python looks at each distinct unit of a batch once, and ids are
-gathered by number. Each worker remembers units it has seen (2 * MEMO at most: when one generation is full, the one
-before it goes). New units go to the library many to a string, and the ids are cut apart where a token begins with a
+gathered by number. Each worker remembers units it has seen (2 * MEMO or the 2 * `most` it was asked for, and one batch's: when
+one generation is full, the one before it goes). New units go to the library many to a string, and the ids are cut apart where a token begins with a
 space: only a unit's first one does. Texts where a space stands between other white space, or that spell an added
 token, go to the library whole.
 """
@@ -42,14 +42,17 @@ class Encoder:
     """encode(text) gives the ids as little-endian uint32 bytes; decode(ids) the text."""
 
     @classmethod
-    def of(cls, path: str | None = None) -> Encoder:
-        """One encoder for each file and worker; later tasks of the worker find its memory warm."""
+    def of(cls, path: str | None = None, most: int | None = None) -> Encoder:
+        """One encoder for each file and worker; later tasks of the worker find its memory warm. `most` units (MEMO if
+        not given) are a generation of its memory."""
         path = path or default_path()
         if (cls, path) not in KEPT:
             KEPT[cls, path] = cls(path)
+        KEPT[cls, path].most = most
         return KEPT[cls, path]
 
     def __init__(self, path: str):
+        self.most: int | None = None
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,7 +92,7 @@ class Encoder:
 
     def _units(self, units: list[str]) -> list[bytes]:
         """The ids of units after a space."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > (self.most or MEMO):
             self.memo, self.older = {}, self.memo
         memo, older = self.memo, self.older
         out = [*map(memo.get, units)]

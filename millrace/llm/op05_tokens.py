@@ -35,7 +35,8 @@ from millrace.llm.common import batches, settle, stash, table, texts
 
 END = 0  # appended to each document
 BLOCK = 1 << 17  # tokens
-TOGETHER = 1 << 21  # bytes of texts that are encoded at once
+TOGETHER = 1 << 22  # bytes of texts that are encoded at once
+UNITS = 500_000  # units in a generation of the encoder's memory: some 200 bytes each, in two generations
 _MAGIC = np.frombuffer(b"MRT1", dtype=np.uint8)
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -91,7 +92,7 @@ def _write(path: str | None):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle(drop=False)
-        encoder, part = Encoder.of(path), TaskContext.get().partitionId()
+        encoder, part = Encoder.of(path, UNITS), TaskContext.get().partitionId()
         seq, first, size = 0, 0, 0
         ids, held = [], []
 

@@ -66,3 +66,28 @@ def test_odd_rows(odd, empty, monkeypatch):
         at += r.n_tokens
     assert [r.n_tokens for r in ordered if r.doc_id in (1, 2)] == [1, 1]
     assert T.read_tokens(T.write_tokens(empty)).count() == 0
+
+
+def test_memory_of_units_is_as_large_as_asked_for():
+    """Units that come back after more others than MEMO are not encoded again where the memory is asked to hold them, and ids stay the same."""
+    import random
+
+    from millrace.llm import bpe
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(3000)]
+    parts = [" ".join(words[k : k + 300]) for k in range(0, 3000, 300)] * 2
+    learned, ids = {}, {}
+    for most in (100, 4000):
+        encoder = bpe.Encoder(bpe.default_path())
+        encoder.most, learn, learned[most] = most, encoder._learn, 0
+
+        def counted(units, learn=learn, most=most):
+            learned[most] += len(units)
+            learn(units)
+
+        encoder._learn = counted
+        ids[most] = [encoder.encode(p) for p in parts]
+    assert learned[100] > 5500 and learned[4000] <= 3000
+    assert ids[100] == ids[4000] == [encoder._whole([p])[0] for p in parts]
+    assert bpe.Encoder.of(most=7).most == 7 and bpe.Encoder.of().most is None
